@@ -13,7 +13,7 @@ from mailprism.dims import Rules
 from mailprism.functions.brands import clean_brand, letters_and_digits, normalize_brand
 from mailprism.functions.scalars import title_case
 from mailprism.functions.subjects import contains_any
-from mailprism.operators.ranking import counts, known_brand
+from mailprism.operators.ranking import computed_once, counts, known_brand
 
 MIN_SCORE = 4
 AMBIGUITY = 0.7
@@ -71,7 +71,16 @@ def industry_by_keywords(df: DataFrame, rules: Rules | None = None, min_score: i
     best, second = F.get("_s", 0), F.get("_s", 1)
     clear = F.coalesce(F.try_divide(second["x"].cast("double"), best["x"]) <= ambiguity, F.lit(True))
     label = F.get(F.array(*[F.lit(i) for i in industries]), -best["neg"])
-    return out.withColumn(name, F.when((best["x"] >= min_score) & clear, label)).drop("_s", "_subject", "_text")
+    return computed_once(out, **{name: F.when((best["x"] >= min_score) & clear, label)}).drop("_s", "_subject", "_text")
+
+
+def keyword_hits(df: DataFrame, rules: Rules | None = None, key: str = "id") -> DataFrame:
+    """(key, industry, keyword, weight, in_subject) for every industry keyword found in subject or preview."""
+    table = _rule_array((rules or Rules()).industry_keywords, "industry", "keyword", "weight")
+    out = df.withColumns({"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", "subject", _has(df, "preview")))})
+    hits = F.filter(table, lambda r: F.contains(F.col("_text"), r["keyword"]) | F.contains(F.col("_subject"), r["keyword"]))
+    found = out.select(key, "_subject", F.inline(hits))
+    return found.select(key, "industry", "keyword", "weight", F.contains("_subject", F.col("keyword")).alias("in_subject"))
 
 
 # --- campaign type ----------------------------------------------------------
@@ -107,7 +116,7 @@ def campaign_type(df: DataFrame, rules: Rules | None = None, body: str | None =
     percent = F.rlike("_subject", F.lit(r"\p{Nd}+(?U:\s)*%"))
     sale = percent & (contains_any("_subject", dims.PERCENT_SALE_WORDS) | ~contains_any("_subject", dims.PERCENT_OTHER_WORDS))
     label = F.when(sale, "Sale").otherwise(F.get(F.array(*[F.lit(k) for k in kinds]), best))
-    return out.withColumn(name, label).drop(*texts)
+    return computed_once(out, **{name: label}).drop(*texts)
 
 
 # --- industry from the brand ------------------------------------------------
@@ -237,60 +246,72 @@ def domain_name(sender) -> Column:
     return title_case(F.get(labels, 0))
 
 
-def subject_brand(subject) -> Column:
-    """Brand written in front of the subject: "[Brand] …", "Brand: …", "Brand - …" or "Brand | …"."""
-    s = F.col(subject) if isinstance(subject, str) else subject
-    patterns = [
-        r"^\[([A-Za-z][A-Za-z0-9\s&]+?)\]",
-        r"^([A-Za-z][A-Za-z0-9\s&]+?):\s",
-        r"^([A-Za-z][A-Za-z0-9\s&]+?)\s*[-|]\s",
-    ]
-    names = [clean_brand(_group(s, "(?U)" + rx)) for rx in patterns]
-    return F.coalesce(*[F.when(F.length(n).between(2, 30), n) for n in names])
-
-
-def copyright_brand(footer: Column, text: Column) -> Column:
-    """Name in a copyright line of the footer, or anywhere when the mail has no footer."""
-    name = r"([A-Za-z][A-Za-z0-9\s&]+?)"
-    patterns = [
-        r"©\s*\d{4}\s+" + name + r"(?:\s*[,\.|]|$)",
-        r"copyright\s*(?:©?\s*\d{4})?\s+" + name + r"(?:\s*[,\.|]|$)",
-        name + r"\s*©\s*\d{4}",
-    ]
-    anywhere = r"©\s*\d{4}\s+([A-Za-z][A-Za-z0-9\s&]{2,30}?)(?:\s*[,\.|All]|$)"
-    in_footer = F.coalesce(*[clean_brand(_group(footer, "(?iU)" + rx)) for rx in patterns])
-    return F.when(footer.isNotNull(), in_footer).otherwise(clean_brand(_group(text, "(?iU)" + anywhere)))
+# Brand in front of a subject; name next to a copyright sign.
+_NAME = r"([A-Za-z][A-Za-z0-9\s&]+?)"
+SUBJECT_BRAND = [r"^\[" + _NAME + r"\]", r"^" + _NAME + r":\s", r"^" + _NAME + r"\s*[-|]\s"]
+FOOTER_BRAND = [
+    r"©\s*\d{4}\s+" + _NAME + r"(?:\s*[,\.|]|$)",
+    r"copyright\s*(?:©?\s*\d{4})?\s+" + _NAME + r"(?:\s*[,\.|]|$)",
+    _NAME + r"\s*©\s*\d{4}",
+]
+TEXT_BRAND = r"©\s*\d{4}\s+([A-Za-z][A-Za-z0-9\s&]{2,30}?)(?:\s*[,\.|All]|$)"
+# candidate source -> confidence
+BRAND_SCORES = {"display": 80, "domain": 60, "site_name": 90, "twitter_site": 85, "app_name": 85, "logo": 75,
+                "footer": 70, "text": 65, "subject": 50}
+MAX_SUBJECT_BRAND = 30
+
+
+def _candidate(source: str, text: Column, n=0) -> Column:
+    group = list(BRAND_SCORES).index(source)
+    order = F.lit(group * 100) + n
+    return F.struct(F.lit(-BRAND_SCORES[source]).alias("neg"), order.alias("pos"), F.lit(group).alias("grp"), text.alias("text"))
+
+
+def brand_candidates(html: bool = False) -> Column:
+    """array<struct<neg, pos, grp, text>> of raw candidate names, in the order they are tried."""
+    single = [_candidate("display", display_name("sender")), _candidate("domain", domain_name("sender"))]
+    single += [_candidate("subject", _group(F.col("subject"), "(?U)" + rx), n) for n, rx in enumerate(SUBJECT_BRAND)]
+    if not html:
+        return F.array(*single)
+    sig = F.col("signals")
+    single += [
+        _candidate("site_name", sig["site_name"]), _candidate("twitter_site", F.ltrim(sig["twitter_site"], F.lit("@"))),
+        _candidate("app_name", sig["app_name"])]
+    single += [_candidate("footer", _group(sig["footer_text"], "(?iU)" + rx), n) for n, rx in enumerate(FOOTER_BRAND)]
+    single.append(_candidate("text", F.when(sig["footer_text"].isNull(), _group(sig["all_text"], "(?iU)" + TEXT_BRAND))))
+    logos = F.transform(sig["logo_alts"], lambda alt, i: _candidate("logo", alt, i))
+    return F.concat(F.array(*single), logos)
 
 
 def extract_brand(df: DataFrame, rules: Rules | None = None, html: bool = False, name: str = "new_brand") -> DataFrame:
     """Adds the brand: known sender, else the best of the scored candidates, else 'Unknown'.
 
-    With ``html`` the frame must carry the ``signals`` struct made by ``html.html_features``.
-    Candidates are compared with the known senders in score order (containment both ways).
+    With ``html`` the frame must carry the ``signals`` struct made by ``html.html_features``. Every
+    source gives at most one name, its first usable one. The names are compared with the known
+    senders in score order (containment both ways); without a hit the best name wins.
     """
     rules = rules or Rules()
-    cands = [(clean_brand(display_name("sender")), 80), (domain_name("sender"), 60)]
-    if html:
-        sig = F.col("signals")
-        cands += [(clean_brand(sig["site_name"]), 90), (clean_brand(F.ltrim(sig["twitter_site"], F.lit("@"))), 85), (clean_brand(sig["app_name"]), 85)]
-        logo = F.filter(F.transform(sig["logo_alts"], clean_brand), lambda a: a.isNotNull())
-        cands.append((F.get(logo, 0), 75))
-        cands.append((copyright_brand(sig["footer_text"], sig["all_text"]), F.when(sig["footer_text"].isNotNull(), 70).otherwise(65)))
-    cands.append((subject_brand("subject"), 50))
-    rows = F.array(*[
-        F.struct((-(F.lit(score) if isinstance(score, int) else score)).alias("neg"), F.lit(pos).alias("pos"), c.alias("name"))
-        for pos, (c, score) in enumerate(cands)])
-    ordered = F.array_sort(F.filter(rows, lambda c: c["name"].isNotNull()))
+    domain, subject = list(BRAND_SCORES).index("domain"), list(BRAND_SCORES).index("subject")
+
+    def named(c):
+        clean = F.when(c["grp"] == domain, c["text"]).otherwise(clean_brand(c["text"]))
+        return F.struct(c["neg"].alias("neg"), c["pos"].alias("pos"), c["grp"].alias("grp"), clean.alias("name"))
+
+    def usable(c):
+        return c["name"].isNotNull() & ((c["grp"] != subject) | (F.length(c["name"]) <= MAX_SUBJECT_BRAND))
+
+    out = df.withColumn("_all", F.filter(brand_candidates(html), lambda c: c["text"].isNotNull()))
+    out = out.withColumn("_c", F.array_sort(F.filter(F.transform("_all", named), usable)))
+    firsts = F.filter("_c", lambda c, i: (i == 0) | (F.get(F.col("_c"), i - 1)["grp"] != c["grp"]))
     table = _known(rules)
 
     def mapped(cand):
         low = F.lower(cand["name"])
         return F.get(F.filter(table, lambda r: F.contains(low, r["key"]) | F.contains(r["key"], low)), 0)["brand"]
 
-    out = df.withColumn("_c", ordered)
-    hits = F.filter(F.transform("_c", mapped), lambda b: b.isNotNull())
+    hits = F.filter(F.transform(firsts, mapped), lambda b: b.isNotNull())
     best = F.coalesce(brand_from_sender("sender", rules), F.get(hits, 0), F.get("_c", 0)["name"], F.lit("Unknown"))
-    return out.withColumn(name, best).drop("_c")
+    return computed_once(out, **{name: best}).drop("_all", "_c")
 
 
 # --- overrides, renames, labels ---------------------------------------------
@@ -424,7 +445,7 @@ def reprocess(df: DataFrame, columns=("brand", "industry", "type"), only_missing
         out = extract_brand(out, rules, html=html, name="_new")
         lost = F.col("brand").isNull() | F.col("brand").isin("Unknown", "unknown")
         take = (F.col("_new") != "Unknown") & (lost if only_missing else F.lit(True))
-        out = out.withColumn("brand", F.when(take, F.col("_new")).otherwise(F.col("brand"))).drop("_new")
+        out = computed_once(out, brand=F.when(take, F.col("_new")).otherwise(F.col("brand"))).drop("_new")
     if "industry" in columns:
         out = classify_industry(out, rules, labeler)
         fresh = F.coalesce("industry", "new_industry") if only_missing else F.coalesce("new_industry", "industry")

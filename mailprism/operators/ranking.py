@@ -33,6 +33,16 @@ def present(col) -> Column:
     return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``withColumns`` behind a one-row generator.
+
+    Filters and projections above cannot be substituted into the expressions, so an expensive
+    column is evaluated once per row however often it is used later.
+    """
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def top_n_per(df: DataFrame, by, order, n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows of every group with their rank; ``by`` empty means the whole frame."""
     by = _cols(by)

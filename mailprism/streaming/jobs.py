@@ -121,8 +121,8 @@ def start_ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
     messages = (
         spark.readStream.schema(mail.message_schema()).option("maxFilesPerTrigger", files_per_trigger).json(source))
 
-    def append(batch, _batch_id):
-        rows = mail.ingest(mail.with_headers(batch), t, rules)
+    def append(batch, batch_id):
+        rows = mail.ingest(mail.with_headers(batch), t, rules, staging=f"{checkpoint}-staging/batch={batch_id}")
         store.append_to(batch.sparkSession, target, rows, "gmail_id")
 
     writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
