@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailprism import dims
 from mailprism.functions.scalars import floor_days
-from mailprism.operators.ranking import counts, latest_per, top_n_per
+from mailprism.operators.ranking import counts, top_n_per
 
 PAID = ["starter", "pro", "agency"]
 

@@ -198,7 +198,7 @@ def classify_industry(df: DataFrame, rules: Rules | None = None, labeler=None, b
     out = df.join(matched, "brand", "left")
     if labeler is not None:
         answers = labeler(known.join(matched, "brand", "left_anti"))
-        labels = validated(answers, spark).select(
+        labels = validated(answers).select(
             "brand", F.col("industry").alias("_l_ind"), F.col("subcategory").alias("_l_cat"), F.col("confidence").alias("_l_conf"))
         out = out.join(labels, "brand", "left")
     else:
@@ -388,20 +388,18 @@ def label_batches(df: DataFrame, size: int = 10, order: str = "id", width: int =
     return out.withColumns({"batch_id": F.floor(n / size).cast("long"), "pos": (n % size + 1).cast("int")}).drop("_range", "_rn", "_off")
 
 
-def validated(answers: DataFrame, spark) -> DataFrame:
+def validated(answers: DataFrame) -> DataFrame:
     """Brand-level labels checked against the taxonomy, with defaults for anything invalid."""
-    industries = dims.INDUSTRIES
     types = [k for k, _ in dims.CAMPAIGN_TYPES]
-    subs = dims.subcategory_table(spark).withColumn("_ok", F.lit(True))
-    out = answers.withColumn(
-        "industry", F.when(F.col("industry").isin(industries), F.col("industry")).otherwise(dims.DEFAULT_INDUSTRY))
-    out = out.join(subs, ["industry", "subcategory"], "left")
-    good = F.col("confidence").between(0, 1)
+    pairs = [f"{i}|{sub}" for i, subs in dims.SUBCATEGORIES.items() for sub in subs]
+    industry = F.when(F.col("industry").isin(dims.INDUSTRIES), F.col("industry")).otherwise(dims.DEFAULT_INDUSTRY)
+    out = answers.withColumn("industry", industry)
+    fits = F.concat_ws("|", "industry", "subcategory").isin(pairs)
     return out.withColumns({
-        "subcategory": F.when(F.col("_ok"), F.col("subcategory")).otherwise("Others"),
+        "subcategory": F.when(fits, F.col("subcategory")).otherwise("Others"),
         "campaign_type": F.when(F.col("campaign_type").isin(types), F.col("campaign_type")).otherwise("Newsletter"),
-        "confidence": F.when(good, F.col("confidence")).otherwise(0.8),
-    }).drop("_ok")
+        "confidence": F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(0.8),
+    })
 
 
 def validate_brand_labels(answers: DataFrame) -> DataFrame:
@@ -412,7 +410,7 @@ def validate_brand_labels(answers: DataFrame) -> DataFrame:
     fields = parsed.select(
         *answers.columns, broken.alias("_broken"), F.col("_a.industry").alias("industry"), F.col("_a.subcategory").alias("subcategory"),
         F.col("_a.campaign_type").alias("campaign_type"), F.col("_a.confidence").try_cast("double").alias("confidence"))
-    out = validated(fields, answers.sparkSession)
+    out = validated(fields)
     return out.withColumn("confidence", F.when(F.col("_broken"), 0.5).otherwise(F.col("confidence"))).drop("_broken")
 
 

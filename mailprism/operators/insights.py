@@ -94,10 +94,10 @@ def weekly_scoreboard(df: DataFrame, t) -> DataFrame:
         this, last = (F.coalesce(F.col(f"{c}_{w}"), F.lit(0)).cast("double") for w in (0, 1))
         cols += [this.alias(f"{c}_this"), last.alias(f"{c}_last"), pct_change(this, last).alias(f"{c}_change")]
     cols += [F.col("busiest_day_0").alias("busiest_day_this"), F.col("busiest_day_1").alias("busiest_day_last")]
-    mover = biggest_mover(df, t)
-    for name in ("brand", "change_pct", "this_count", "last_count"):
-        cols.append(mover.select(name).scalar().alias(f"mover_{name}"))
-    return one.select(*cols)
+    parts = ("brand", "change_pct", "this_count", "last_count")
+    mover = biggest_mover(df, t).select(F.struct(*parts).alias("m")).scalar()
+    out = one.withColumn("_m", mover)  # one subquery for all four fields
+    return out.select(*cols, *[F.col(f"_m.{p}").alias(f"mover_{p}") for p in parts])
 
 
 def brand_weeks(df: DataFrame, t) -> DataFrame:
@@ -152,14 +152,18 @@ def sequence_window(df: DataFrame, t) -> DataFrame:
     return weeks_slice(df, t, 1, known=True)
 
 
-def sequence_members(df: DataFrame, t, max_days: int = 7, min_count: int = 3, top: int = 20) -> DataFrame:
-    """Mails of the ``top`` longest sequences with their position gap to the previous mail in hours."""
+def run_members(df: DataFrame, t, max_days: int = 7, min_count: int = 3, top: int = 20) -> DataFrame:
+    """Mails of the ``top`` longest sequences (one per brand) with the sequence's size."""
     rows = sequence_window(df, t)
     runs = longest_runs(rows, max_days, min_count).orderBy(F.desc("run_count"), "brand").limit(top)
-    member = (F.col("received_at") >= F.col("anchor")) & (
+    inside = (F.col("received_at") >= F.col("anchor")) & (
         F.unix_micros("received_at") < F.unix_micros("anchor") + F.lit((max_days + 1) * MICROS_PER_DAY))
-    inside = rows.join(runs, "brand").where(member)
-    inside = previous_time(inside, "brand")
+    return rows.join(runs, "brand").where(inside)  # at most ``top`` rows on the right
+
+
+def sequence_members(df: DataFrame, t, max_days: int = 7, min_count: int = 3, top: int = 20) -> DataFrame:
+    """Mails of the longest sequences with the gap to the previous mail in hours."""
+    inside = previous_time(run_members(df, t, max_days, min_count, top), "brand")
     gap = F.bround((F.unix_micros("received_at") - F.unix_micros("prev_at")) / F.lit(3.6e9), 1)
     return inside.withColumn("gap_hours", gap)
 
@@ -181,7 +185,7 @@ def previous_time(df: DataFrame, key: str, bucket: str = "hour") -> DataFrame:
 
 def brand_sequences(df: DataFrame, t, max_days: int = 7, min_count: int = 3, top: int = 20) -> DataFrame:
     """One row per sequence: brand, mails, span in whole days, words shared by all subjects."""
-    members = sequence_members(df, t, max_days, min_count, top)
+    members = run_members(df, t, max_days, min_count, top)
     spans = members.groupBy("brand").agg(
         F.max("run_count").alias("email_count"),
         floor_days(F.min("received_at"), F.max("received_at")).alias("span_days"))
@@ -213,15 +217,13 @@ def subject_formulas(df: DataFrame, t, n: int = 4) -> DataFrame:
     """Formula shares this week against the average of the non-empty trailing weeks."""
     tally = formula_weeks(df, t, n)
     is_this = F.col("week_no") == 0
-    this_total = tally.agg(F.coalesce(F.sum(F.when(is_this, F.col("cnt"))), F.lit(0))).scalar()
-    past = tally.where(~is_this)
-    weeks = past.agg(F.greatest(F.count_distinct("week_no"), F.lit(1))).scalar()
-    past_total = past.agg(F.coalesce(F.sum("cnt"), F.lit(0))).scalar()
-    out = tally.groupBy("formula").agg(
-        F.coalesce(F.sum(F.when(is_this, F.col("cnt"))), F.lit(0)).alias("this_week_count"),
-        F.coalesce(F.sum(F.when(~is_this, F.col("cnt"))), F.lit(0)).alias("_past"))
-    this_pct = pct("this_week_count", this_total)
-    avg_pct = pct(ratio("_past", weeks), ratio(past_total, weeks))
+    now = F.coalesce(F.sum(F.when(is_this, F.col("cnt"))), F.lit(0))
+    past = F.coalesce(F.sum(F.when(~is_this, F.col("cnt"))), F.lit(0))
+    weeks = F.greatest(F.count_distinct(F.when(~is_this, F.col("week_no"))), F.lit(1))
+    totals = tally.agg(F.struct(now.alias("now"), past.alias("past"), weeks.alias("weeks")).alias("t")).scalar()
+    out = tally.groupBy("formula").agg(now.alias("this_week_count"), past.alias("_past")).withColumn("_t", totals)
+    this_pct = pct("this_week_count", F.col("_t.now"))
+    avg_pct = pct(ratio("_past", F.col("_t.weeks")), ratio("_t.past", F.col("_t.weeks")))
     out = out.select("formula", "this_week_count", this_pct.alias("this_week_pct"), avg_pct.alias("trailing_avg_pct"))
     out = out.withColumn("change_pct", pct_change("this_week_pct", "trailing_avg_pct"))
     trend = (

@@ -15,10 +15,10 @@ from mailprism.functions.scalars import (
     day_name, floor_days, icon_url, mean_len, pct, per_week, ratio, registrable_domain,
     send_frequency_label, time_bucket,
 )
-from mailprism.functions.subjects import contains_any, has_emoji, subject_flags, subject_words
+from mailprism.functions.subjects import has_emoji, subject_flags, subject_words
 from mailprism.operators.ranking import (
-    NEWEST, _cols, counts, diverse_examples, has_brand, known_brand, latest_per, modal, newest_subjects,
-    present, top_n_per,
+    NEWEST, _cols, counts, diverse_examples, has_brand, known_brand, modal, newest_subjects, present,
+    tally_cells, top_n_per,
 )
 
 ALL = "all"
@@ -42,22 +42,26 @@ def _fact(section: str, item: Column) -> Column:
     return F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"))
 
 
-def section_counts(df: DataFrame, by, sections) -> DataFrame:
-    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at)."""
+def section_counts(df: DataFrame, by, sections, lowest=()) -> DataFrame:
+    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at, lowest…).
+
+    ``lowest`` names columns whose minimum is carried along.
+    """
     by = _cols(by)
     facts = F.array(_fact(ALL, F.lit("")), *[_fact(n, c) for n, c in _sections(sections).items()])
     if "word" in sections:
         words = F.coalesce(subject_words("subject"), F.array().cast("array<string>"))
         facts = F.concat(facts, F.transform(words, lambda w: _fact("word", w)))
     subject = present("subject")
-    rows = df.select(
-        *by,
-        "received_at",
+    # measures first: expressions beside a generator would run once per exploded row
+    once = df.select(
+        *by, "received_at", *lowest,
         F.coalesce(F.length(subject), F.lit(0)).alias("_chars"),
         subject.isNotNull().cast("int").alias("_subjects"),
         F.coalesce(has_emoji(subject, "analytics"), F.lit(False)).cast("int").alias("_emoji"),
-        F.inline(facts),
-    ).where(F.col("item").isNotNull())
+        F.filter(facts, lambda f: f["item"].isNotNull()).alias("_facts"),
+    )
+    rows = once.select(*[c for c in once.columns if c != "_facts"], F.inline("_facts"))
     return rows.groupBy(*by, "section", "item").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum("_chars").alias("chars"),
@@ -65,18 +69,19 @@ def section_counts(df: DataFrame, by, sections) -> DataFrame:
         F.sum("_emoji").alias("emoji"),
         F.min("received_at").alias("first_at"),
         F.max("received_at").alias("last_at"),
+        *[F.min(c).alias(c) for c in lowest],
     )
 
 
-def profile(df: DataFrame, by, sections) -> DataFrame:
+def profile(df: DataFrame, by, sections, lowest=()) -> DataFrame:
     """One row per group: totals plus, per section, array<struct<neg, item, cnt, first_at, last_at>>.
 
     Arrays are ordered by count descending then item. ``word`` and ``brand`` keep the
-    top ten (``n_brand`` still counts all); the other sections are small taxonomies.
+    top ten (``n_brand`` and ``brand_mails`` still count all); the other sections are small taxonomies.
     """
     by = _cols(by)
     ordered = Window.partitionBy(*by, "section").orderBy(F.desc("cnt"), F.asc("item"))
-    tally = section_counts(df, by, sections).withColumn("_rank", F.row_number().over(ordered))
+    tally = section_counts(df, by, sections, lowest).withColumn("_rank", F.row_number().over(ordered))
     entry = F.struct((-F.col("cnt")).alias("neg"), "item", "cnt", "first_at", "last_at")
 
     def only(section, value):
@@ -90,10 +95,10 @@ def profile(df: DataFrame, by, sections) -> DataFrame:
 
     aggs = [F.max(only(ALL, F.col(c))).alias(n) for c, n in
             [("cnt", "total"), ("chars", "chars"), ("subjects", "subjects"), ("emoji", "emoji"),
-             ("first_at", "first_at"), ("last_at", "last_at")]]
+             ("first_at", "first_at"), ("last_at", "last_at"), *[(c, c) for c in lowest]]]
     aggs += [listed(s) for s in sections]
     if "brand" in sections:
-        aggs.append(F.count(only("brand", F.lit(1))).alias("n_brand"))
+        aggs += [F.count(only("brand", F.lit(1))).alias("n_brand"), F.sum(only("brand", F.col("cnt"))).alias("brand_mails")]
     out = tally.groupBy(*by).agg(*aggs)
     return out.withColumns({
         "avg_subject_length": mean_len("chars", "subjects"),
@@ -182,9 +187,7 @@ BRAND_SECTIONS = ["type", "industry", "day", "bucket", "word"]
 def brand_profile(df: DataFrame, brand: str | None = None) -> DataFrame:
     """Profile per (case-insensitive) brand: rate, breakdowns, subject statistics, icon."""
     rows = with_brand_key(pick(df, "brand", brand)).where(has_brand())
-    base = profile(rows, "brand_key", BRAND_SECTIONS)
-    sender = rows.groupBy("brand_key").agg(F.min("sender").alias("sender"))
-    out = base.join(sender, "brand_key", "left")
+    out = profile(rows, "brand_key", BRAND_SECTIONS, lowest=["sender"])
     return out.select(
         "brand_key", "total", first_item("industry").alias("primary_industry"),
         per_week("total", "first_at", "last_at").alias("emails_per_week"),
@@ -309,14 +312,12 @@ def email_public(df: DataFrame, email_id: int | None = None) -> DataFrame:
 def industry_profile(df: DataFrame, industry: str | None = None) -> DataFrame:
     """Totals, top brands, type mix in percent of all rows, send days, averages."""
     rows = pick(df, "industry", industry).where(F.col("industry").isNotNull()).withColumn("industry_key", F.lower("industry"))
-    base = profile(rows, "industry_key", ["type", "day", "brand"])
-    brand_mails = rows.where(known_brand()).groupBy("industry_key").agg(F.count(F.lit(1)).alias("_bm"))
-    out = base.join(brand_mails, "industry_key", "left")
+    out = profile(rows, "industry_key", ["type", "day", "brand"])
     mix = F.transform(F.col("type"), lambda e: F.struct(e["item"].alias("item"), F.bround(e["cnt"] / F.col("total") * 100, 1).alias("pct")))
     return out.select(
         "industry_key", "total", F.col("n_brand").alias("total_brands"), F.col("brand").alias("top_brands"),
         mix.alias("type_mix"), F.col("day").alias("send_days"),
-        F.coalesce(F.bround(ratio("_bm", "n_brand"), 1), F.lit(0.0)).alias("avg_emails_per_brand"),
+        F.coalesce(F.bround(ratio("brand_mails", "n_brand"), 1), F.lit(0.0)).alias("avg_emails_per_brand"),
         "avg_subject_length")
 
 
@@ -354,35 +355,28 @@ def industry_block(df: DataFrame, industry: str | None = None, n: int = 5) -> Da
         F.sum("cnt").alias("total"), F.count_distinct(F.when(known_brand(), F.col("brand"))).alias("total_brands"))
 
     def top(col, name):
-        tally = cells.where(F.col(col).isNotNull()).groupBy("industry_key", col).agg(F.sum("cnt").alias("cnt"))
-        ranked = top_n_per(tally, "industry_key", [F.desc("cnt"), F.asc(col)], n)
-        return ranked.groupBy("industry_key").agg(
-            F.array_sort(F.collect_list(F.struct("rank", F.col(col).alias("item"), "cnt"))).alias(name))
+        ranked = top_n_per(tally_cells(cells, col, ["industry_key"]), "industry_key", [F.desc("cnt"), F.asc("item")], n)
+        return ranked.groupBy("industry_key").agg(F.array_sort(F.collect_list(F.struct("rank", "item", "cnt"))).alias(name))
 
     out = totals.where("total_brands > 0")
     return out.join(top("type", "top_types"), "industry_key", "left").join(top("brand", "top_brands"), "industry_key", "left")
 
 
 def overview(df: DataFrame, top: int = 10) -> DataFrame:
-    """Whole-archive counts in long form (section, item, cnt)."""
-    cells = df.groupBy("brand", "industry", "type").agg(F.count(F.lit(1)).alias("cnt"))
-
-    def part(section, col, rows):
-        return rows.groupBy(F.col(col).alias("item")).agg(F.sum("cnt").alias("cnt")).select(F.lit(section).alias("section"), "item", "cnt")
-
-    brands = cells.where(known_brand())
-    scalars = cells.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("emails"),
-        F.count_distinct(F.when(known_brand(), F.col("brand"))).alias("brands"))
-    heads = scalars.select(F.inline(F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("emails").alias("item"), F.col("emails").alias("cnt")),
-        F.struct(F.lit("total").alias("section"), F.lit("brands").alias("item"), F.col("brands").alias("cnt")))))
+    """Whole-archive counts in long form (section, item, cnt); all sections share one set of cells."""
+    cells = df.groupBy("brand", "industry", "type").agg(
+        F.count(F.lit(1)).alias("cnt"), F.max(F.when(known_brand(), F.col("brand"))).alias("known"))
+
+    def part(section, rows):
+        return rows.select(F.lit(section).alias("section"), "item", "cnt")
+
+    one = cells.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("emails"), F.count_distinct("known").alias("brands"))
+    heads = one.select(F.inline(F.array(*[
+        F.struct(F.lit("total").alias("section"), F.lit(c).alias("item"), F.col(c).alias("cnt")) for c in ("emails", "brands")])))
+    best = tally_cells(cells, "known").orderBy(F.desc("cnt"), "item").limit(top)
     return (
-        heads
-        .unionByName(part("industry", "industry", cells.where(F.col("industry").isNotNull())))
-        .unionByName(part("type", "type", cells.where(F.col("type").isNotNull())))
-        .unionByName(part("top_brand", "brand", brands).orderBy(F.desc("cnt"), "item").limit(top))
-    )
+        heads.unionByName(part("industry", tally_cells(cells, "industry")))
+        .unionByName(part("type", tally_cells(cells, "type"))).unionByName(part("top_brand", best)))
 
 
 # --- types ------------------------------------------------------------------

@@ -62,6 +62,16 @@ def counts(df: DataFrame, by, name: str = "cnt") -> DataFrame:
     return df.groupBy(*_cols(by)).agg(F.count(F.lit(1)).alias(name))
 
 
+def tally_cells(cells: DataFrame, col: str, by=(), weight: str = "cnt") -> DataFrame:
+    """(by…, item, cnt) of one column of pre-aggregated cells, nulls left out.
+
+    The null test is on an aggregate result, so it is not pushed below the cells: every tally
+    of the same cells shares one scan and one exchange.
+    """
+    out = cells.groupBy(*by, col).agg(F.max(col).alias("item"), F.sum(weight).alias("cnt"))
+    return out.where(F.col("item").isNotNull()).select(*by, "item", "cnt")
+
+
 def top_k(df: DataFrame, col: str, k: int) -> DataFrame:
     """Most common values, ties by value."""
     return counts(df.where(F.col(col).isNotNull()), col).orderBy(F.desc("cnt"), col).limit(k)

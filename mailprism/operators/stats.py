@@ -6,16 +6,16 @@ Brand rankings follow one pattern: one wide aggregate per brand, exploded into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailprism.functions.scalars import DAY_NAMES, floor_days, pct, per_week, ratio, snippet
+from mailprism.functions.scalars import DAY_NAMES, pct, per_week, ratio, snippet
 from mailprism.functions.subjects import (
     CASUAL_PARTS, TIP_PERSONAL_PARTS, contains_any_ci, has_digit, has_emoji, is_all_caps, is_urgent,
     keywords, mentions_discount, mentions_off, tactic,
 )
 from mailprism.operators.filters import active_window, in_active_window
-from mailprism.operators.ranking import counts, has_brand, hash_sample, present, top_n_per
+from mailprism.operators.ranking import counts, has_brand, hash_sample, tally_cells, top_n_per
 
 SUNDAY_FIRST = [DAY_NAMES[-1], *DAY_NAMES[:-1]]
 
@@ -123,8 +123,8 @@ def weekly_digest(df: DataFrame, t) -> DataFrame:
     cells = rows.groupBy("brand", "type").agg(_mails().alias("cnt"))
 
     def best(col):
-        tally = cells.where(F.col(col).isNotNull()).groupBy(col).agg(F.sum("cnt").alias("cnt"))
-        return tally.agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col(col).alias("v")))["v"].alias("v")).scalar()
+        rows = tally_cells(cells, col)
+        return rows.agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("item").alias("v")))["v"].alias("v")).scalar()
 
     one = cells.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("emails"), F.count_distinct("brand").alias("brands"))
     return one.select(
@@ -427,8 +427,7 @@ def data_points(df: DataFrame, t, n: int = 5) -> DataFrame:
         pct("asked", "cnt").alias("question_pct"), pct("exclaimed", "cnt").alias("exclamation_pct"), pct("urgent", "cnt").alias("urgency_pct"))
 
     def top(col, section):
-        tally = cells.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("item")).agg(F.sum("mails").alias("cnt"))
-        ranked = top_n_per(tally, None, [F.desc("cnt"), F.asc("item")], n)
+        ranked = top_n_per(tally_cells(cells, col, weight="mails"), None, [F.desc("cnt"), F.asc("item")], n)
         return ranked.select(F.lit(section).alias("section"), "rank", "item", F.col("cnt").cast("double").alias("value"),
                              F.lit(None).cast("double").alias("extra"))
 
@@ -463,10 +462,11 @@ def timing_patterns(df: DataFrame, t, n: int = 3) -> DataFrame:
                         pct(-F.col(f"{pick}.neg"), "total", 0).alias("value"), F.lit(None).cast("double").alias("extra"))
 
     heads = one.where("total IS NOT NULL").select(F.inline(F.array(line("peak_day", "hi"), line("lowest_day", "lo"))))
-    weekend = cells.where(F.col("dow").isin(0, 6) & has_brand()).groupBy("brand").agg(F.sum("cnt").alias("cnt"))
-    weekend = top_n_per(weekend.where(F.col("cnt") >= 3), None, [F.desc("cnt"), F.asc("brand")], n)
+    rest = cells.withColumn("weekend", F.when(F.col("dow").isin(0, 6), F.col("cnt")).otherwise(0))
+    weekend = tally_cells(rest, "brand", weight="weekend").where(F.col("cnt") >= 3)
+    weekend = top_n_per(weekend, None, [F.desc("cnt"), F.asc("item")], n)
     return heads.unionByName(weekend.select(
-        F.lit("weekend_senders").alias("section"), "rank", F.col("brand").alias("item"),
+        F.lit("weekend_senders").alias("section"), "rank", "item",
         F.col("cnt").cast("double").alias("value"), F.lit(None).cast("double").alias("extra")))
 
 
@@ -489,24 +489,24 @@ def burst_subjects(df: DataFrame, t, n: int = 3, min_count: int = 3, top: int =
 
 
 def spotlight_candidates(df: DataFrame, t, seed: str = "0") -> DataFrame:
-    """Pools of standout subjects (short, question, urgency); any five when all are empty.
+    """Pools of standout subjects (ten short, ten questions, the urgent ones of a sample of 30);
+    any five when all pools are empty. A mail may appear in several pools.
 
-    A mail may appear in several pools.
+    One pass: every mail is listed under the pools it fits, and each pool keeps its first mails
+    in hash order.
     """
     rows = in_active_window(df, t, 7).where(F.col("subject").isNotNull())
-    size = F.length("subject")
-    pools = [
-        ("short", rows.where(size.between(5, 30)), 10),
-        ("question", rows.where(F.contains("subject", F.lit("?"))), 10),
-        ("urgency", hash_sample(rows, 30, seed).drop("sample_no").where(is_urgent("subject", "spotlight")), 30),
-        ("any", rows, 5),
-    ]
-    out = None
-    for priority, (name, pool, n) in enumerate(pools):
-        part = hash_sample(pool, n, seed).select(F.lit(priority).alias("_p"), F.lit(name).alias("pool"), "sample_no", "id", "brand", "type", "subject")
-        out = part if out is None else out.unionByName(part)
-    firsts = out.agg(F.min("_p")).scalar()
-    out = out.where((F.col("_p") < 3) | (firsts == 3))
+    fits = {"short": F.length("subject").between(5, 30), "question": F.contains("subject", F.lit("?")), "sample": F.lit(True)}
+    listed = rows.select("id", "brand", "type", "subject", F.explode(
+        F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in fits.items()]))).alias("pool"))
+    drawn = hash_sample(listed, 30, seed, by="pool")
+    drawn = drawn.where((F.col("pool") == "sample") | (F.col("sample_no") <= 10))
+    urgent = is_urgent("subject", "spotlight")
+    pools = F.when(F.col("pool") != "sample", F.array("pool")).otherwise(F.array_compact(F.array(
+        F.when(urgent, F.lit("urgency")), F.when(F.col("sample_no") <= 5, F.lit("any")))))
+    named = drawn.withColumn("_pools", pools).drop("pool").withColumn("pool", F.explode("_pools")).drop("_pools")
+    found = F.count_if(F.col("pool") != "any").over(Window.partitionBy())  # at most 55 rows
+    out = named.withColumn("_found", found).where((F.col("pool") != "any") | (F.col("_found") == 0))
     return out.select(
         "pool", "sample_no", "id", F.coalesce("brand", F.lit("Unknown")).alias("brand"), "subject",
         F.coalesce("type", F.lit("Promotional")).alias("type"), tactic("subject").alias("tactic"))
@@ -517,24 +517,29 @@ def topic_match(df: DataFrame, texts: DataFrame, t, limit: int = 10, per_keyword
     """For every (text_id, text) mails whose subject contains one of its first keywords.
 
     The substring test is an equi join: a keyword has letters only, so it can only occur inside
-    a run of letters, and every run is expanded to its substrings. Each distinct keyword keeps
-    ``per_keyword`` mails (hash order) before texts are joined back.
+    a run of letters. The distinct runs are expanded to their substrings and matched with the
+    distinct keywords; mails join on their runs. Each keyword keeps ``per_keyword`` mails (hash
+    order) before texts are joined back.
     """
     asked = texts.select("text_id", F.posexplode(F.slice(keywords("text"), 1, n_keywords)).alias("kw_pos", "keyword"))
     wanted = asked.select("keyword").distinct()
     longest = wanted.agg(F.max(F.length("keyword"))).scalar()
     rows = in_active_window(df, t, 30).where(F.col("subject").isNotNull() & has_brand())
-    runs = F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0)))
+    rows = rows.withColumn("_runs", F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0))))
 
     def parts(run):
         starts = F.sequence(F.lit(1), F.length(run) - 2)
         return F.flatten(F.transform(starts, lambda i: F.transform(
             F.sequence(F.lit(3), F.length(run) - i + 1), lambda n: F.substr(run, i, n))))
 
-    subs = F.array_distinct(F.flatten(F.transform(runs, parts)))
-    subs = F.filter(subs, lambda s: F.length(s) <= F.col("_longest"))
-    pieces = rows.withColumn("_longest", longest).select("id", "brand", "subject", "type", "preview", "received_at", F.explode(subs).alias("keyword"))
-    hits = hash_sample(pieces.join(wanted, "keyword"), per_keyword, seed, by="keyword")
+    # substrings are taken from the vocabulary of the subjects, not from every subject
+    vocabulary = rows.select(F.explode("_runs").alias("run")).distinct().withColumn("_longest", longest)
+    subs = F.filter(F.array_distinct(parts(F.col("run"))), lambda s: F.length(s) <= F.col("_longest"))
+    pairs = vocabulary.select("run", F.explode(subs).alias("keyword")).join(wanted, "keyword")
+    found_in = rows.select("id", "brand", "subject", "type", "preview", "received_at", "_runs", F.explode("_runs").alias("run")).join(pairs, "run")
+    # a keyword in several words of one subject counts once: at the first of them
+    first_run = F.get(F.filter("_runs", lambda r: F.contains(r, F.col("keyword"))), 0)
+    hits = hash_sample(found_in.where(F.col("run") == first_run).drop("_runs", "run"), per_keyword, seed, by="keyword")
     found = asked.join(hits, "keyword")
     by_subject = top_n_per(found, ["text_id", "subject"], [F.asc("kw_pos"), F.asc("sample_no")], 1, "_r").drop("_r")
     out = top_n_per(by_subject, "text_id", [F.asc("kw_pos"), F.asc("sample_no")], limit)

@@ -123,7 +123,7 @@ g AS (SELECT formula, c AS this_week_count, {s.pct('c', 'now_n')} AS this_week_p
 h AS (SELECT *, {s.pct_change('this_week_pct', 'trailing_avg_pct')} AS change_pct FROM g)
 SELECT *, CASE WHEN change_pct >= 20 THEN 'rising' WHEN change_pct <= -20 THEN 'falling' ELSE 'stable' END AS trend FROM h""")
 def _(i):
-    return ins.subject_formulas(i.emails, i.t)
+    return ins.subject_formulas(i.mails, i.t)
 
 
 _HITS = {"emoji_rate": s.emoji("subject", "insights"), "discount_rate": s.discount("subject"), "question_rate": "contains(subject, '?')",
@@ -424,8 +424,8 @@ f AS (SELECT kw.doc_id, kw.pos, h.* FROM kw JOIN h ON kw.word = h.word QUALIFY r
 SELECT doc_id AS text_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, sn) AS INTEGER) AS rank, word AS keyword, id, brand, subject, coalesce(type, 'Promotional') AS type, left(coalesce(preview, ''), 120) AS preview,
  strftime(received_at, '%A') AS day FROM f QUALIFY rank <= 10""")
 def _(i):
-    texts = i.table("documents").select(F.col("doc_id").alias("text_id"), "text")
-    return st.topic_match(i.emails, texts, i.t)
+    texts = i.spread(i.table("documents"), "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return st.topic_match(i.mails, texts, i.t)
 
 
 # --- distributions ----------------------------------------------------------

@@ -145,7 +145,7 @@ def _(i):
 WITH {s.keyword_cte('documents', 'doc_id', 'text')}
 SELECT d.doc_id, coalesce((SELECT string_agg(word, ' ' ORDER BY pos) FROM kw WHERE kw.doc_id = d.doc_id), '') AS keywords FROM documents d""")
 def _(i):
-    return i.table("documents").select("doc_id", F.array_join(sub.keywords("text"), " ").alias("keywords"))
+    return i.spread(i.table("documents"), "documents").select("doc_id", F.array_join(sub.keywords("text"), " ").alias("keywords"))
 
 
 @query("f15_window_label", f"""
@@ -408,7 +408,7 @@ WITH w AS (SELECT brand, unnest({s.words('subject', sub.TOP_WORD_STOPS)}) AS wor
 c AS (SELECT brand, word, count(*) AS cnt FROM w GROUP BY brand, word)
 SELECT brand, word, cnt, CAST(row_number() OVER (PARTITION BY brand ORDER BY cnt DESC, word) AS INTEGER) AS rank FROM c QUALIFY rank <= 10""")
 def _(i):
-    return rk.top_words(i.emails, "brand", 10).select("brand", "word", "cnt", "rank")
+    return rk.top_words(i.mails, "brand", 10).select("brand", "word", "cnt", "rank")
 
 
 @query("w03_diverse_examples", f"""
@@ -502,7 +502,7 @@ def _(i):
 WITH {s.keyword_cte('emails', 'id', 'subject')}
 SELECT id, CAST(count(*) AS BIGINT) AS n, string_agg(word, ' ' ORDER BY pos) AS keywords FROM kw GROUP BY id""")
 def _(i):
-    k = i.emails.select("id", sub.keywords("subject").alias("k")).where(F.size("k") > 0)
+    k = i.mails.select("id", sub.keywords("subject").alias("k")).where(F.size("k") > 0)
     return k.select("id", F.size("k").cast("long").alias("n"), F.array_join("k", " ").alias("keywords"))
 
 
@@ -556,7 +556,7 @@ def _(i):
 
 @query("c04_subject_formula", f"SELECT id, {s.formula('subject')} AS formula FROM emails")
 def _(i):
-    return i.emails.select("id", sub.subject_formula("subject").alias("formula"))
+    return i.mails.select("id", sub.subject_formula("subject").alias("formula"))
 
 
 @query("c05_tactic", f"SELECT id, {s.tactic('subject')} AS tactic FROM emails")

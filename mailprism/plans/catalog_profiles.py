@@ -134,7 +134,7 @@ SELECT b.k AS brand_key, b.total, ind.best AS primary_industry, {RATE} AS emails
  {s.icon(s.domain('b.sender'))} AS icon_url
 FROM b LEFT JOIN ty USING (k) LEFT JOIN ind USING (k) LEFT JOIN dy USING (k) LEFT JOIN tm USING (k) LEFT JOIN w USING (k)""")
 def _(i):
-    out = texts(pr.brand_profile(i.emails), "campaign_breakdown", "send_days", "send_times", "top_words")
+    out = texts(pr.brand_profile(i.mails), "campaign_breakdown", "send_days", "send_times", "top_words")
     return out.withColumns({"first_email": stamp("first_email"), "last_email": stamp("last_email")})
 
 
@@ -158,7 +158,7 @@ b AS (SELECT k, month, count(*) AS total FROM x GROUP BY k, month), ty AS {secti
 r AS (SELECT k, month, string_agg(strftime(received_at, '%Y-%m-%d') || ' ' || subject, '|' ORDER BY received_at DESC, id) AS v FROM {s.top_n('x', 'k, month', 'received_at DESC, id', 10)} GROUP BY k, month)
 SELECT b.k AS brand_key, b.month, b.total, coalesce(ty.v, '') AS campaign_breakdown, r.v AS emails FROM b LEFT JOIN ty ON b.k = ty.k AND b.month = ty.month JOIN r ON b.k = r.k AND b.month = r.month""")
 def _(i):
-    out = texts(pr.calendar(i.emails, i.t), "campaign_breakdown")
+    out = texts(pr.calendar(i.mails, i.t), "campaign_breakdown")
     return out.withColumn("emails", F.array_join(F.transform("emails", lambda e: F.concat_ws(" ", e["date"], e["subject"])), "|"))
 
 
@@ -182,7 +182,7 @@ SELECT b.k AS brand_key, b.total, prim.industry AS primary_industry, {RATE} AS e
  subj.v AS sample_subjects, rec.v AS recent_emails, coalesce(fc.v, '') AS festivals, coalesce(rel.v, '') AS related
 FROM b LEFT JOIN prim USING (k) LEFT JOIN subj USING (k) LEFT JOIN rec USING (k) LEFT JOIN fc USING (k) LEFT JOIN rel USING (k)""")
 def _(i):
-    out = pr.brand_public_profile(i.emails, i.festivals)
+    out = pr.brand_public_profile(i.mails, i.festivals)
     fest = F.transform("festivals", lambda e: F.concat_ws(":", e["name"], e["year"].cast("string"), e["cnt"].cast("string")))
     return out.select(
         "brand_key", "total", "primary_industry", "emails_per_week", "avg_subject_length", "emoji_rate",
@@ -235,7 +235,7 @@ SELECT b.k AS industry_key, b.total, b.n_brand AS total_brands, coalesce(br.v, '
  {s.mean('bm.n', 'b.n_brand')} AS avg_emails_per_brand, b.avg_subject_length
 FROM b LEFT JOIN br USING (k) LEFT JOIN ty USING (k) LEFT JOIN dy USING (k) LEFT JOIN bm USING (k)""")
 def _(i):
-    return texts(pr.industry_profile(i.emails), "top_brands", "send_days").withColumn("type_mix", shares("type_mix"))
+    return texts(pr.industry_profile(i.mails), "top_brands", "send_days").withColumn("type_mix", shares("type_mix"))
 
 
 _STRICT = f"(CASE WHEN {s.days('lo', 'hi')} > 0 THEN round_even(CAST(n AS DOUBLE) / {s.days('lo', 'hi')} * 7, 1) ELSE 0.0 END)"
@@ -252,7 +252,7 @@ SELECT b.k AS industry_key, b.n_brand AS total_brands, b.total, coalesce(br.v, '
  b.avg_subject_length, b.emoji_rate, dy.best AS peak_send_day, tm.best AS peak_send_time, mo.v AS seasonal
 FROM b LEFT JOIN ty USING (k) LEFT JOIN dy USING (k) LEFT JOIN tm USING (k) LEFT JOIN br USING (k) LEFT JOIN rec USING (k) LEFT JOIN mo USING (k)""")
 def _(i):
-    out = pr.industry_public_profile(i.emails)
+    out = pr.industry_public_profile(i.mails)
     rate = F.transform("top_brands", lambda e: F.concat_ws(":", e["item"], e["emails_per_week"].cast("string")))
     return out.withColumns({
         "top_brands": F.array_join(rate, "|"), "types": shares("types"), "recent_emails": ids("recent_emails"), "seasonal": pr.listing("seasonal")})
@@ -293,7 +293,7 @@ SELECT b.k AS slug, b.total, b.n_brand AS total_brands, coalesce(br.v, '') AS to
  (SELECT string_agg(slug, '|' ORDER BY pos) FROM (SELECT slug, pos FROM slugs WHERE slug <> b.k ORDER BY pos LIMIT 5)) AS related_types
 FROM b LEFT JOIN br USING (k) LEFT JOIN ind USING (k) LEFT JOIN dy USING (k) LEFT JOIN w USING (k) LEFT JOIN ex USING (k) LEFT JOIN subj USING (k)""")
 def _(i):
-    out = texts(pr.type_profile(i.emails, i.slugs), "top_brands", "top_words")
+    out = texts(pr.type_profile(i.mails, i.slugs), "top_brands", "top_words")
     return out.withColumns({
         "industries": shares("industries"), "examples": ids("examples"), "sample_subjects": names("sample_subjects", "subject"),
         "related_types": F.array_join("related_types", "|")})
@@ -325,7 +325,7 @@ SELECT t.slug, t.year, b.total, b.n_brand AS total_brands, coalesce(ind.v, '') A
  b.avg_subject_length, b.emoji_rate, dy.best AS peak_send_day, coalesce(w.v, '') AS top_words
 FROM b JOIN t USING (k) LEFT JOIN br USING (k) LEFT JOIN ind USING (k) LEFT JOIN ty USING (k) LEFT JOIN dy USING (k) LEFT JOIN w USING (k) LEFT JOIN ex USING (k) LEFT JOIN rec USING (k)""")
 def _(i):
-    out = texts(pr.festival_profile(i.emails, i.festivals), "top_brands", "campaign_types", "top_words")
+    out = texts(pr.festival_profile(i.mails, i.festivals), "top_brands", "campaign_types", "top_words")
     return out.withColumns({"industries": shares("industries"), "best_subject_lines": ids("best_subject_lines"), "best_emails": ids("best_emails")})
 
 

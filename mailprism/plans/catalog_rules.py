@@ -88,14 +88,14 @@ def brand_of(src: str, name: str) -> str:
 
 @query("c01_industry_keywords", f"WITH {KW}, {kw_industry('emails', 'ki')} SELECT e.id, ki.industry AS kw_industry FROM emails e LEFT JOIN ki ON e.id = ki.id")
 def _(i):
-    return cl.industry_by_keywords(i.emails, i.rules).select("id", "kw_industry")
+    return cl.industry_by_keywords(i.mails, i.rules).select("id", "kw_industry")
 
 
 @query("w11_best_and_second", f"""
 WITH {KW}, {kw_industry('emails', 'ki')}, best AS (SELECT id, max(sc) FILTER (WHERE r = 1) AS b, max(sc) FILTER (WHERE r = 2) AS s2 FROM ki_r GROUP BY id)
 SELECT CASE WHEN b IS NULL THEN 'none' WHEN b < 4 THEN 'weak' WHEN CAST(s2 AS DOUBLE) / b > 0.7 THEN 'ambiguous' ELSE 'clear' END AS state, count(*) AS n FROM emails e LEFT JOIN best ON e.id = best.id GROUP BY 1""")
 def _(i):
-    lax = cl.industry_by_keywords(i.emails, i.rules, min_score=1, ambiguity=1.0, name="any_ind")
+    lax = cl.industry_by_keywords(i.mails, i.rules, min_score=1, ambiguity=1.0, name="any_ind")
     both = cl.industry_by_keywords(lax, i.rules, ambiguity=1.0, name="strong")
     both = cl.industry_by_keywords(both, i.rules)
     state = (
@@ -107,12 +107,12 @@ def _(i):
 @query("j12_keyword_hits", f"""
 WITH {KW} SELECT e.id, ikw.industry, k AS keyword, w AS weight, contains(lower(subject), k) AS in_subject FROM emails e JOIN ikw ON contains(lower(concat_ws(' ', subject, preview)), k)""")
 def _(i):
-    return cl.keyword_hits(i.emails, i.rules)
+    return cl.keyword_hits(i.mails, i.rules)
 
 
 @query("c02_campaign_type", f"WITH {TK}, {kw_type('emails', 'kt')} SELECT id, type AS kw_type FROM kt")
 def _(i):
-    return cl.campaign_type(i.emails, i.rules).select("id", "kw_type")
+    return cl.campaign_type(i.mails, i.rules).select("id", "kw_type")
 
 
 @query("j09_exact_brand", f"WITH {KEYS} SELECT b.brand, bkey.industry FROM (SELECT DISTINCT brand FROM emails WHERE brand IS NOT NULL) b LEFT JOIN bkey ON {_norm_sql('b.brand')} = bkey.key")
@@ -139,7 +139,7 @@ _CASCADE = f"""{KEYS}, {KW}, {fuzzy(f'(SELECT brand FROM emails WHERE {s.KNOWN})
 WITH {_CASCADE} SELECT e.id, coalesce(fz.industry, ki.industry) AS new_industry, CASE WHEN fz.industry IS NOT NULL THEN 'keyword' WHEN ki.industry IS NOT NULL THEN 'content' END AS classified_by, coalesce(CAST(fz.confidence AS DOUBLE), 0.0) AS confidence
 FROM emails e LEFT JOIN fz ON e.brand = fz.brand LEFT JOIN ki ON e.id = ki.id""")
 def _(i):
-    out = cl.classify_industry(i.emails, i.rules)
+    out = cl.classify_industry(i.mails, i.rules)
     return out.select("id", "new_industry", "classified_by", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
@@ -150,13 +150,13 @@ def _(i):
 
 @query("c06_extract_brand", f"WITH {SENDERS}, {brand_of('emails', 'bo')} SELECT e.id, bo.brand AS new_brand FROM emails e JOIN bo ON e.sender IS NOT DISTINCT FROM bo.sender AND e.subject = bo.subject")
 def _(i):
-    return cl.extract_brand(i.emails, i.rules).select("id", "new_brand")
+    return cl.extract_brand(i.mails, i.rules).select("id", "new_brand")
 
 
 @query("c06_extract_brand_html")
 def _(i):
-    signals = ht.html_features(i.view("email_html"), ("signals",), keep_html=False)
-    return cl.extract_brand(i.emails.join(signals, "page_id"), i.rules, html=True).select("id", "new_brand")
+    signals = ht.html_features(i.html, ("signals",), keep_html=False)
+    return cl.extract_brand(i.mails.join(signals, "page_id"), i.rules, html=True).select("id", "new_brand")
 
 
 # --- overrides and renames --------------------------------------------------
@@ -199,7 +199,7 @@ fin AS (SELECT e2.id, e2.brand, old_brand, coalesce(old_industry, fz.industry, k
 
 @query("c09_reprocess", f"WITH {_REP} SELECT id, brand, industry, type FROM fin")
 def _(i):
-    return cl.reprocess(i.emails, rules=i.rules).select("id", "brand", "industry", "type")
+    return cl.reprocess(i.mails, rules=i.rules).select("id", "brand", "industry", "type")
 
 
 _REPORT = " UNION ALL ".join(
@@ -209,7 +209,7 @@ _REPORT = " UNION ALL ".join(
 
 @query("a38_change_report", f"WITH {_REP} {_REPORT}")
 def _(i):
-    return cl.change_report(cl.reprocess(i.emails, rules=i.rules))
+    return cl.change_report(cl.reprocess(i.mails, rules=i.rules))
 
 
 @query("a38_unmatched_brands", f"SELECT brand, count(*) AS cnt FROM emails WHERE {s.KNOWN} AND industry IS NULL GROUP BY brand ORDER BY cnt DESC, brand LIMIT 50")
@@ -270,26 +270,26 @@ def _(i):
             "brand", F.lit("Gifts & Lifestyle").alias("industry"), F.lit("Gift Cards").alias("subcategory"),
             F.lit("Sale").alias("campaign_type"), F.lit(0.9).alias("confidence"))
 
-    return cl.classify_industry(i.emails, i.rules, labeler).select("id", "new_industry", "classified_by")
+    return cl.classify_industry(i.mails, i.rules, labeler).select("id", "new_industry", "classified_by")
 
 
 # --- HTML -------------------------------------------------------------------
 
-# the pages use three entities; tags are dropped after scripts, styles and comments
-_UNESC = "replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+# the pages use four entities; tags are dropped after scripts, styles and comments
+_UNESC = "replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 _BARE = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->|<!.*?>', chr(1), 'g')"
 _CHUNKS = f"list_filter(list_transform(string_split(regexp_replace({_BARE}, '<[^>]*>', chr(1), 'g'), chr(1)), lambda c: trim({_UNESC.format(x='c')})), lambda c: c <> '')"
 
 
 @query("h01_clean_html", f"""
-SELECT page_id, md5({"replace(replace({x}, '&copy;', '©'), '&middot;', '·')".format(x="replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '<img[^>]* width=.1. [^>]*>', '', 'g'), ' onclick=\"go()\"', '')")}) AS clean_md5 FROM email_html""")
+SELECT page_id, md5({"replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))".format(x="replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '<img[^>]* width=.1. [^>]*>', '', 'g'), ' onclick=\"go()\"', '')")}) AS clean_md5 FROM email_html""")
 def _(i):
-    return ht.clean_html(i.view("email_html")).select("page_id", F.md5("html").alias("clean_md5"))
+    return ht.clean_html(i.html).select("page_id", F.md5("html").alias("clean_md5"))
 
 
 @query("h02_visible_text", f"SELECT page_id, md5(array_to_string({_CHUNKS}, ' ')) AS text_md5, left(array_to_string({_CHUNKS}, ' '), 200) AS preview FROM email_html")
 def _(i):
-    return ht.visible_text(i.view("email_html")).select("page_id", F.md5("visible_text").alias("text_md5"), "preview")
+    return ht.visible_text(i.html).select("page_id", F.md5("visible_text").alias("text_md5"), "preview")
 
 
 def _n_of(rx):
@@ -305,7 +305,7 @@ _COPY = _UNESC.format(x=_COPY)
 SELECT page_id, {_n_of('<a ')} AS links, {_n_of('<img ')} AS images, {_n_of('</h[1-4]>')} AS headings, {_n_of('<(?:ul|ol)[ >]')} AS lists, true AS has_viewport, false AS has_dark_mode,
  CAST(len(regexp_extract_all({_COPY}, '\\S+')) AS BIGINT) AS words FROM email_html""")
 def _(i):
-    f = ht.html_features(i.view("email_html"), ("structure",), keep_html=False)
+    f = ht.html_features(i.html, ("structure",), keep_html=False)
     return f.select(
         "page_id", F.size("links").cast("long").alias("links"), F.size("images").cast("long").alias("images"), F.size("headings").cast("long").alias("headings"),
         F.col("list_count").cast("long").alias("lists"), "has_viewport", "has_dark_mode", sg._word_count(F.col("copy_text")).cast("long").alias("words"))
@@ -318,24 +318,24 @@ _SLIM = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_rep
 
 @query("h04_slim_html", f"SELECT page_id, md5(trim({_SLIM})) AS slim_md5, CAST(length(trim({_SLIM})) AS BIGINT) AS chars FROM email_html")
 def _(i):
-    h = i.view("email_html").select("page_id", ht.slim_html("html").alias("h"))
+    h = i.html.select("page_id", ht.slim_html("html").alias("h"))
     return h.select("page_id", F.md5("h").alias("slim_md5"), F.length("h").cast("long").alias("chars"))
 
 
 @query("h05_first_image", "SELECT page_id, regexp_extract(html, '<img src=\"([^\"]*)\"', 1) AS image FROM email_html")
 def _(i):
-    return i.view("email_html").select("page_id", ht.first_image("html").alias("image"))
+    return i.html.select("page_id", ht.first_image("html").alias("image"))
 
 
 @query("h06_template_blocks")
 def _(i):
-    return ht.template_blocks(i.view("email_html"))
+    return ht.template_blocks(i.html)
 
 
 @query("h06_template_structure", """
 SELECT page_id, true AS has_hero_image, CAST(2 AS BIGINT) AS images FROM email_html""")
 def _(i):
-    out = ht.template_structure(i.view("email_html"))
+    out = ht.template_structure(i.html)
     return out.select("page_id", "has_hero_image", F.size(F.filter("slots", lambda x: x.startswith("image_"))).cast("long").alias("images"))
 
 
@@ -344,7 +344,7 @@ _FOOT = _UNESC.format(x="regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")
 
 @query("h07_brand_signals", f"SELECT page_id, {_FOOT} AS footer_text, CAST(0 AS BIGINT) AS logos, true AS no_meta FROM email_html")
 def _(i):
-    f = ht.html_features(i.view("email_html"), ("signals",), keep_html=False)
+    f = ht.html_features(i.html, ("signals",), keep_html=False)
     sig = F.col("signals")
     return f.select(
         "page_id", sig["footer_text"].alias("footer_text"), F.size(sig["logo_alts"]).cast("long").alias("logos"),
@@ -353,7 +353,7 @@ def _(i):
 
 @query("u04_html_udf")
 def _(i):
-    f = ht.html_features(i.view("email_html"), ("clean", "text", "structure", "signals", "blocks"), keep_html=False)
+    f = ht.html_features(i.html, ("clean", "text", "structure", "signals", "blocks"), keep_html=False)
     return f.select("page_id", F.length("clean").alias("clean_chars"), F.size("blocks").alias("blocks"), F.size("links").alias("links"), F.length("visible_text").alias("text_chars"))
 
 
@@ -378,7 +378,7 @@ sp AS (SELECT id, lw, wn, n, tok, greatest(0, least(100, 50 + CASE WHEN n BETWEE
 @query("q01_score_subject", f"""
 WITH {_SUBJECT} SELECT id, CAST(score AS INTEGER) AS score, {grade('score')} AS grade, CAST(CASE WHEN n > 80 OR n < 20 THEN 1 ELSE 0 END + CASE WHEN tok THEN 0 ELSE 1 END + CASE WHEN lw > wn * 0.5 AND wn > 2 THEN 1 ELSE 0 END AS BIGINT) AS bad FROM sp""")
 def _(i):
-    out = sg.score_dimensions(i.emails, ["subject"]).select("id", "subject_score.*")
+    out = sg.score_dimensions(i.mails, ["subject"]).select("id", "subject_score.*")
     return out.select("id", "score", "grade", F.size(F.filter("findings", lambda f: f["type"] == "bad")).cast("long").alias("bad"))
 
 
@@ -388,7 +388,7 @@ _STRATEGY = f"""st AS (SELECT id, 50 + {flag("type <> ''", 15)} + {flag("industr
 
 @query("q05_score_strategy", f"WITH {_STRATEGY} SELECT id, CAST(score AS INTEGER) AS score, {grade('score')} AS grade FROM st")
 def _(i):
-    return sg.score_dimensions(i.emails, ["strategy"]).select("id", "strategy_score.score", "strategy_score.grade")
+    return sg.score_dimensions(i.mails, ["strategy"]).select("id", "strategy_score.score", "strategy_score.grade")
 
 
 @query("q06_grade", f"SELECT id, id % 101 AS score, {grade('id % 101')} AS grade FROM emails")
@@ -416,8 +416,8 @@ def _(i):
 
 def html_scored(i):
     """Mails with all five scores; only narrow HTML measures join."""
-    parsed = ht.html_features(i.view("email_html"), ("structure",))
-    return sg.score_emails(i.emails.join(sg.html_measures(parsed, "page_id"), "page_id"))
+    parsed = ht.html_features(i.html, ("structure",))
+    return sg.score_emails(i.mails.join(sg.html_measures(parsed, "page_id"), "page_id"))
 
 
 _PAGE = f"""pg AS (SELECT page_id, len(regexp_extract_all(cp, '\\S+')) AS wn, len(regexp_extract_all(cp, '[^\\s.!?][^.!?]*')) AS sn, len(regexp_extract_all(cp, '[^\\s.!?]+')) AS sw, html FROM (SELECT page_id, html, {_COPY} AS cp FROM email_html)),
@@ -433,8 +433,8 @@ def _dimension(name, points, table):
     @query(name, f"WITH {_PAGE} SELECT e.id, CAST({points} AS INTEGER) AS score, {grade(points)} AS grade FROM emails e JOIN {table} USING (page_id)")
     def _(i):
         dim = points.split("_")[0]
-        parsed = ht.html_features(i.view("email_html"), ("structure",))
-        measured = i.emails.join(sg.html_measures(parsed, "page_id"), "page_id")
+        parsed = ht.html_features(i.html, ("structure",))
+        measured = i.mails.join(sg.html_measures(parsed, "page_id"), "page_id")
         return sg.score_dimensions(measured, [dim]).select("id", f"{dim}_score.score", f"{dim}_score.grade")
 
 
