@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailprism.functions.scalars import floor_days, window_label
 from mailprism.functions.subjects import has_emoji
-from mailprism.operators.ranking import NEWEST, counts, known_brand
+from mailprism.operators.ranking import newest_first, counts, known_brand
 
 LIST_COLUMNS = ["id", "gmail_id", "subject", "sender", "brand", "category", "type", "industry", "received_at", "preview"]
 SEARCH_COLUMNS = ["subject", "preview", "brand", "type", "industry"]
@@ -41,7 +41,7 @@ def list_emails(df, brand=None, type=None, industry=None, category=None, q=None,
         df = df.where(F.col("received_at") >= _ts(t) - F.make_dt_interval(F.lit(archive_days)))
     if q:
         df = df.where(text_match(q))
-    out = slim(df).orderBy(*NEWEST)
+    out = slim(df).orderBy(*newest_first())
     if skip:
         out = out.offset(skip)
     return out if limit is None else out.limit(limit)
@@ -87,7 +87,7 @@ def subject_lines(df, brand=None, industry=None, campaign_type=None, limit=100)
     for name, value in {"brand": brand, "industry": industry, "type": campaign_type}.items():
         if value:
             df = df.where(F.col(name).ilike(value))
-    out = df.orderBy(*NEWEST).limit(min(limit, 500))
+    out = df.orderBy(*newest_first()).limit(min(limit, 500))
     return out.select(
         "id", "subject", "brand", "industry", F.col("type").alias("campaign_type"),
         F.date_format("received_at", "yyyy-MM-dd").alias("date"),
@@ -176,7 +176,7 @@ def newest(df: DataFrame, skip: int = 0, limit: int | None = None, ts: str = "cr
 
 
 def id_dates(df: DataFrame) -> DataFrame:
-    return df.select("id", "received_at").orderBy(*NEWEST)
+    return df.select("id", "received_at").orderBy(*newest_first())
 
 
 def library_ids(library: DataFrame, user_id, col: str) -> DataFrame:

@@ -17,7 +17,7 @@ from mailprism.functions.scalars import (
 )
 from mailprism.functions.subjects import has_emoji, subject_flags, subject_words
 from mailprism.operators.ranking import (
-    NEWEST, _cols, counts, diverse_examples, has_brand, known_brand, modal, newest_subjects, present,
+    newest_first, _cols, counts, diverse_examples, has_brand, known_brand, modal, newest_subjects, present,
     tally_cells, top_n_per,
 )
 
@@ -223,7 +223,7 @@ def calendar(df: DataFrame, t, brand: str | None = None, months: int = 3, exampl
     rows = rows.withColumn("month", F.date_format("received_at", "yyyy-MM"))
     base = profile(rows, ["brand_key", "month"], ["type"]).select(
         "brand_key", "month", "total", F.col("type").alias("campaign_breakdown"))
-    newest = top_n_per(rows, ["brand_key", "month"], NEWEST, examples)
+    newest = top_n_per(rows, ["brand_key", "month"], newest_first(), examples)
     item = F.struct("rank", F.date_format("received_at", "yyyy-MM-dd").alias("date"), "subject", "type")
     listed = newest.groupBy("brand_key", "month").agg(F.array_sort(F.collect_list(item)).alias("emails"))
     return base.join(listed, ["brand_key", "month"], "left")
@@ -259,7 +259,7 @@ def brand_public_profile(df: DataFrame, festivals: DataFrame, brand: str | None
     out = brand_profile(df, brand)
     subjects = newest_subjects(rows, "brand_key", 5).groupBy("brand_key").agg(
         F.array_sort(F.collect_list(F.struct("rank", "subject"))).alias("sample_subjects"))
-    recent = top_n_per(rows, "brand_key", NEWEST, 10).groupBy("brand_key").agg(
+    recent = top_n_per(rows, "brand_key", newest_first(), 10).groupBy("brand_key").agg(
         F.array_sort(F.collect_list(F.struct("rank", "id", "subject", "type", "received_at"))).alias("recent_emails"))
     fest = festival_rows(rows, festivals).where("relevant")
     fest = fest.groupBy("brand_key", "slug", "name", "year").agg(F.count(F.lit(1)).alias("cnt"))
@@ -284,7 +284,7 @@ def similar_emails(df: DataFrame, n: int = 5) -> DataFrame:
 
 def _neighbours(rows: DataFrame, by, n: int) -> DataFrame:
     # Each group is cut to its newest n+1 before the join, which then has one small row per group.
-    top = top_n_per(rows, by, NEWEST, n + 1, "_r").groupBy(*by).agg(
+    top = top_n_per(rows, by, newest_first(), n + 1, "_r").groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("_r", F.col("id").alias("other_id")))).alias("_pool"))
     joined = rows.select("id", *by).join(top, by)
     others = F.filter(F.col("_pool"), lambda e: e["other_id"] != F.col("id"))
@@ -328,7 +328,7 @@ def industry_public_profile(df: DataFrame, industry: str | None = None, recent:
     """
     rows = pick(df, "industry", industry).where(F.col("industry").isNotNull()).withColumn("industry_key", F.lower("industry"))
     base = profile(rows, "industry_key", ["type", "day", "bucket", "brand", "month"])
-    newest = top_n_per(rows, "industry_key", NEWEST, recent).groupBy("industry_key").agg(
+    newest = top_n_per(rows, "industry_key", newest_first(), recent).groupBy("industry_key").agg(
         F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("recent_emails"))
     days = floor_days("first_at", "last_at")
     rate = F.when((days > 0) & (F.col("n_brand") > 0),
@@ -487,7 +487,7 @@ def festival_profile(df: DataFrame, festivals: DataFrame, slug: str | None = Non
     base = profile(rows, keys, ["industry", "brand", "type", "day", "word"])
     lines = diverse_examples(rows.where(present("subject").isNotNull()), keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("best_subject_lines"))
-    newest = top_n_per(rows, keys, NEWEST, 10).groupBy(*keys).agg(
+    newest = top_n_per(rows, keys, newest_first(), 10).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("best_emails"))
     industries = F.transform("industry", lambda e: F.struct(
         e["item"].alias("item"), e["cnt"].alias("cnt"), F.bround(e["cnt"] / F.col("total") * 100, 1).alias("pct")))

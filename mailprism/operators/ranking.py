@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from mailprism.functions.subjects import subject_words
 
-NEWEST = [F.desc_nulls_last("received_at"), F.asc("id")]
+def newest_first() -> list:
+    """Order: newest mail first, unknown times last, then by id."""
+    return [F.desc_nulls_last("received_at"), F.asc("id")]
 
 
 def _cols(by) -> list:
@@ -55,7 +57,7 @@ def top_n_per(df: DataFrame, by, order, n: int, rank: str = "rank") -> DataFrame
 
 def latest_per(df: DataFrame, key, order=None) -> DataFrame:
     """Newest row of every key."""
-    return top_n_per(df, key, order or NEWEST, 1, "_rank").drop("_rank")
+    return top_n_per(df, key, order or newest_first(), 1, "_rank").drop("_rank")
 
 
 def counts(df: DataFrame, by, name: str = "cnt") -> DataFrame:
@@ -95,7 +97,7 @@ def share(df: DataFrame, col: str, total: Column | None = None) -> DataFrame:
 def page(df: DataFrame, skip: int = 0, limit: int | None = None, order=None) -> DataFrame:
     """Rows ``skip``.. in order, with the total number of rows as ``total``."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    out = df.orderBy(*(order or NEWEST))
+    out = df.orderBy(*(order or newest_first()))
     if skip:
         out = out.offset(skip)
     if limit is not None:
@@ -126,8 +128,8 @@ def newest_subjects(df: DataFrame, by, n: int = 5) -> DataFrame:
 def diverse_examples(df: DataFrame, by=None, per: int = 2, n: int = 15, brand: str = "brand") -> DataFrame:
     """Newest ``n`` rows per group with at most ``per`` of one brand (null is one brand)."""
     by = _cols(by)
-    capped = top_n_per(df, by + [brand], NEWEST, per, "_of_brand").drop("_of_brand")
-    return top_n_per(capped, by, NEWEST, n)
+    capped = top_n_per(df, by + [brand], newest_first(), per, "_of_brand").drop("_of_brand")
+    return top_n_per(capped, by, newest_first(), n)
 
 
 def duplicates(df: DataFrame, key) -> DataFrame:

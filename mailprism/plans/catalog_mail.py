@@ -394,7 +394,7 @@ WITH x AS (SELECT id, brand, CASE WHEN id % 4 = 0 THEN NULL ELSE received_at END
 SELECT brand, id, CAST(row_number() OVER (PARTITION BY brand ORDER BY received_at DESC NULLS LAST, id) AS INTEGER) AS rank FROM x QUALIFY rank <= 20""")
 def _(i):
     x = i.emails.where(rk.has_brand()).withColumn("received_at", F.when(F.col("id") % 4 != 0, F.col("received_at")))
-    return rk.top_n_per(x, "brand", rk.NEWEST, 20).select("brand", "id", "rank")
+    return rk.top_n_per(x, "brand", rk.newest_first(), 20).select("brand", "id", "rank")
 
 
 @query("t05_hash_sample", """
@@ -431,7 +431,7 @@ WITH x AS (SELECT *, strftime(received_at, '%Y-%m') AS month FROM emails WHERE b
 SELECT brand, month, rank, id FROM r""")
 def _(i):
     x = i.emails.where(rk.has_brand()).withColumn("month", F.date_format("received_at", "yyyy-MM"))
-    return rk.top_n_per(x, ["brand", "month"], rk.NEWEST, 10).select("brand", "month", "rank", "id")
+    return rk.top_n_per(x, ["brand", "month"], rk.newest_first(), 10).select("brand", "month", "rank", "id")
 
 
 @query("w06_latest_per_key", f"WITH r AS {s.top_n('emails', 'brand', 'received_at DESC, id', 1)} SELECT brand, id, subject FROM r")
