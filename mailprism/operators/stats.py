@@ -517,29 +517,27 @@ def topic_match(df: DataFrame, texts: DataFrame, t, limit: int = 10, per_keyword
     """For every (text_id, text) mails whose subject contains one of its first keywords.
 
     The substring test is an equi join: a keyword has letters only, so it can only occur inside
-    a run of letters. The distinct runs are expanded to their substrings and matched with the
-    distinct keywords; mails join on their runs. Each keyword keeps ``per_keyword`` mails (hash
-    order) before texts are joined back.
+    a run of letters. The first ``per_keyword`` mails of a keyword (hash order) are among the first
+    ones of the runs that contain it, so every run is cut to that many mails before any join;
+    the distinct runs are then expanded to substrings and matched with the distinct keywords.
     """
     asked = texts.select("text_id", F.posexplode(F.slice(keywords("text"), 1, n_keywords)).alias("kw_pos", "keyword"))
     wanted = asked.select("keyword").distinct()
     longest = wanted.agg(F.max(F.length("keyword"))).scalar()
     rows = in_active_window(df, t, 30).where(F.col("subject").isNotNull() & has_brand())
-    rows = rows.withColumn("_runs", F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0))))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower("subject"), F.lit("[a-z]{3,}"), F.lit(0)))
+    columns = ["id", "brand", "subject", "type", "preview", "received_at"]
+    by_run = hash_sample(rows.select(*columns, F.explode(runs).alias("run")), per_keyword, seed, by="run").drop("sample_no")
 
     def parts(run):
         starts = F.sequence(F.lit(1), F.length(run) - 2)
         return F.flatten(F.transform(starts, lambda i: F.transform(
             F.sequence(F.lit(3), F.length(run) - i + 1), lambda n: F.substr(run, i, n))))
 
-    # substrings are taken from the vocabulary of the subjects, not from every subject
-    vocabulary = rows.select(F.explode("_runs").alias("run")).distinct().withColumn("_longest", longest)
+    vocabulary = by_run.select("run").distinct().withColumn("_longest", longest)
     subs = F.filter(F.array_distinct(parts(F.col("run"))), lambda s: F.length(s) <= F.col("_longest"))
     pairs = vocabulary.select("run", F.explode(subs).alias("keyword")).join(wanted, "keyword")
-    found_in = rows.select("id", "brand", "subject", "type", "preview", "received_at", "_runs", F.explode("_runs").alias("run")).join(pairs, "run")
-    # a keyword in several words of one subject counts once: at the first of them
-    first_run = F.get(F.filter("_runs", lambda r: F.contains(r, F.col("keyword"))), 0)
-    hits = hash_sample(found_in.where(F.col("run") == first_run).drop("_runs", "run"), per_keyword, seed, by="keyword")
+    hits = hash_sample(by_run.join(pairs, "run").dropDuplicates(["keyword", "id"]), per_keyword, seed, by="keyword")
     found = asked.join(hits, "keyword")
     by_subject = top_n_per(found, ["text_id", "subject"], [F.asc("kw_pos"), F.asc("sample_no")], 1, "_r").drop("_r")
     out = top_n_per(by_subject, "text_id", [F.asc("kw_pos"), F.asc("sample_no")], limit)

@@ -53,7 +53,7 @@ def report(i):
 
 
 @query("j19_usage_report", f"""
-WITH {LIMITS}, {_USED} SELECT user_id, used.plan, used.feature, used, coalesce(num_value, -1) AS "limit", CASE WHEN num_value IS NULL THEN -1 ELSE greatest(0, num_value - used) END AS remaining
+WITH {LIMITS}, {_USED} SELECT user_id, used.plan, used.feature, used, CAST(coalesce(num_value, -1) AS BIGINT) AS "limit", CASE WHEN num_value IS NULL THEN -1 ELSE greatest(0, num_value - used) END AS remaining
 FROM used JOIN plan_limits l ON used.plan = l.plan AND used.feature = l.feature""")
 def _(i):
     out = report(i).select("user_id", "plan", "feature", "used", "limit", "remaining")
@@ -61,7 +61,7 @@ def _(i):
 
 
 @query("e03_limit_check", f"""
-WITH {LIMITS}, {_USED} SELECT user_id, used.plan, used.feature, used, coalesce(l.num_value, -1) AS "limit", (l.num_value IS NULL OR used < l.num_value) AS allowed, CASE WHEN l.num_value IS NULL THEN -1 ELSE greatest(0, l.num_value - used) END AS remaining,
+WITH {LIMITS}, {_USED} SELECT user_id, used.plan, used.feature, used, CAST(coalesce(l.num_value, -1) AS BIGINT) AS "limit", (l.num_value IS NULL OR used < l.num_value) AS allowed, CASE WHEN l.num_value IS NULL THEN -1 ELSE greatest(0, l.num_value - used) END AS remaining,
  CASE WHEN l.num_value IS NOT NULL THEN (SELECT arg_min(h.plan, h.rank) FROM plan_limits h WHERE h.feature = l.feature AND h.rank > l.rank AND (h.num_value IS NULL OR h.num_value > l.num_value)) END AS upgrade_to
 FROM used JOIN plan_limits l ON used.plan = l.plan AND used.feature = l.feature""")
 def _(i):

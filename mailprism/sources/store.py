@@ -13,8 +13,13 @@ from mailprism.operators.ranking import top_n_per
 
 
 def unseen(existing: DataFrame, batch: DataFrame, key: str, order=None) -> DataFrame:
-    """Batch rows with a new key, one per key (the first in ``order`` when given)."""
-    fresh = batch.join(existing.select(key), key, "left_anti")
+    """Batch rows with a new key, one per key (the first in ``order`` when given).
+
+    The stored keys are first reduced to those of the batch: a batch that is small enough is
+    broadcast by Spark, and the large table is only scanned, never shuffled.
+    """
+    known = existing.select(key).join(batch.select(key), key, "left_semi")
+    fresh = batch.join(known, key, "left_anti")
     if order is None:
         return fresh.dropDuplicates([key])
     return top_n_per(fresh, key, order, 1, "_first").drop("_first")

@@ -144,7 +144,7 @@ def test_brand_from_html(table):
 
 def test_label_answers(table):
     rows = table([(n,) for n in range(12)], "id long")
-    batches = classify.label_batches(rows, width=5)
+    batches = classify.label_batches(rows, ranges=5)
     assert [(r["batch_id"], r["pos"]) for r in batches.orderBy("id").collect()] == [(n // 10, n % 10 + 1) for n in range(12)]
     answer = '```json\n[{"i":1,"t":"Sale"},{"i":2,"t":"Nope"},{"i":99,"t":"Sale"}]\n```'
     got = classify.merge_label_answers(batches, table([(0, answer), (1, "sorry")], "batch_id long, answer string"))
