@@ -43,33 +43,26 @@ def _fact(section: str, item: Column) -> Column:
 
 
 def section_counts(df: DataFrame, by, sections, lowest=()) -> DataFrame:
-    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at, lowest…).
+    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at).
 
-    ``lowest`` names columns whose minimum is carried along.
+    ``lowest`` names further columns listed as sections of their own. The subject measures are
+    taken on the one ``all`` fact of a mail only. Every buffer is a number or a time, so Spark
+    aggregates by hashing and not by sorting the facts.
     """
     by = _cols(by)
-    facts = F.array(_fact(ALL, F.lit("")), *[_fact(n, c) for n, c in _sections(sections).items()])
+    facts = F.array(_fact(ALL, F.lit("")), *[_fact(n, c) for n, c in _sections(sections).items()], *[_fact(c, F.col(c)) for c in lowest])
     if "word" in sections:
         words = F.coalesce(subject_words("subject"), F.array().cast("array<string>"))
         facts = F.concat(facts, F.transform(words, lambda w: _fact("word", w)))
-    subject = present("subject")
-    # measures first: expressions beside a generator would run once per exploded row
-    once = df.select(
-        *by, "received_at", *lowest,
-        F.coalesce(F.length(subject), F.lit(0)).alias("_chars"),
-        subject.isNotNull().cast("int").alias("_subjects"),
-        F.coalesce(has_emoji(subject, "analytics"), F.lit(False)).cast("int").alias("_emoji"),
-        F.filter(facts, lambda f: f["item"].isNotNull()).alias("_facts"),
-    )
-    rows = once.select(*[c for c in once.columns if c != "_facts"], F.inline("_facts"))
+    rows = df.select(*by, "received_at", present("subject").alias("subject"), F.inline(facts)).where(F.col("item").isNotNull())
+    subject = F.when(F.col("section") == ALL, F.col("subject"))
     return rows.groupBy(*by, "section", "item").agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.sum("_chars").alias("chars"),
-        F.sum("_subjects").alias("subjects"),
-        F.sum("_emoji").alias("emoji"),
+        F.coalesce(F.sum(F.length(subject)), F.lit(0)).alias("chars"),
+        F.count(subject).alias("subjects"),
+        F.count_if(has_emoji(subject, "analytics")).alias("emoji"),
         F.min("received_at").alias("first_at"),
         F.max("received_at").alias("last_at"),
-        *[F.min(c).alias(c) for c in lowest],
     )
 
 
@@ -95,7 +88,8 @@ def profile(df: DataFrame, by, sections, lowest=()) -> DataFrame:
 
     aggs = [F.max(only(ALL, F.col(c))).alias(n) for c, n in
             [("cnt", "total"), ("chars", "chars"), ("subjects", "subjects"), ("emoji", "emoji"),
-             ("first_at", "first_at"), ("last_at", "last_at"), *[(c, c) for c in lowest]]]
+             ("first_at", "first_at"), ("last_at", "last_at")]]
+    aggs += [F.min(only(c, F.col("item"))).alias(c) for c in lowest]
     aggs += [listed(s) for s in sections]
     if "brand" in sections:
         aggs += [F.count(only("brand", F.lit(1))).alias("n_brand"), F.sum(only("brand", F.col("cnt"))).alias("brand_mails")]
@@ -364,8 +358,8 @@ def industry_block(df: DataFrame, industry: str | None = None, n: int = 5) -> Da
 
 def overview(df: DataFrame, top: int = 10) -> DataFrame:
     """Whole-archive counts in long form (section, item, cnt); all sections share one set of cells."""
-    cells = df.groupBy("brand", "industry", "type").agg(
-        F.count(F.lit(1)).alias("cnt"), F.max(F.when(known_brand(), F.col("brand"))).alias("known"))
+    cells = df.groupBy("brand", "industry", "type").agg(F.count(F.lit(1)).alias("cnt"))
+    cells = cells.withColumn("known", F.when(known_brand(), F.col("brand")))
 
     def part(section, rows):
         return rows.select(F.lit(section).alias("section"), "item", "cnt")

@@ -240,9 +240,10 @@ def brand_strategy(df: DataFrame, t, brand: str | None = None, top: int = 20) ->
     rows = df.where(has_brand())
     if brand is not None:
         rows = rows.where(F.col("brand") == brand)
-    cells = rows.groupBy("brand", "type").agg(
-        _mails(inside).alias("cnt"), F.sum(F.length("subject")).alias("chars"), F.count("subject").alias("subjects"),
-        F.min("industry").alias("industry"))
+    # number buffers only on the mails (hash aggregation); the text minimum is taken on cells
+    cells = rows.groupBy("brand", "type", "industry").agg(
+        _mails(inside).alias("cnt"), F.sum(F.length("subject")).alias("chars"), F.count("subject").alias("subjects"))
+    cells = cells.groupBy("brand", "type").agg(*[F.sum(c).alias(c) for c in ("cnt", "chars", "subjects")], F.min("industry").alias("industry"))
     kind = F.when(F.col("type").isNotNull() & (F.col("cnt") > 0),
                   F.struct((-F.col("cnt")).alias("neg"), F.col("type").alias("item"), "cnt"))
     out = cells.groupBy("brand").agg(
@@ -263,9 +264,10 @@ def brand_difference(df: DataFrame, t, a: str, b: str, sample: int | None = None
     ``sample`` limits the subjects averaged per brand (by id); None averages all of them.
     """
     rows = df.where(F.col("brand").isin(a, b))
-    cells = rows.groupBy("brand", "type").agg(
+    cells = rows.groupBy("brand", "type", "industry").agg(
         _mails(F.col("received_at") >= _since(df, t, 30)).alias("recent"), _mails().alias("cnt"),
-        F.sum(F.length("subject")).alias("chars"), F.count("subject").alias("subjects"), F.min("industry").alias("industry"))
+        F.sum(F.length("subject")).alias("chars"), F.count("subject").alias("subjects"))
+    cells = cells.groupBy("brand", "type").agg(*[F.sum(c).alias(c) for c in ("recent", "cnt", "chars", "subjects")], F.min("industry").alias("industry"))
     vote = F.when(F.col("type").isNotNull(), F.struct((-F.col("cnt")).alias("neg"), F.col("type").alias("v")))
     out = cells.groupBy("brand").agg(
         F.sum("recent").alias("total"), F.sum("chars").alias("chars"), F.sum("subjects").alias("subjects"),

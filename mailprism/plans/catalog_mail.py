@@ -203,7 +203,7 @@ def _(i):
     body = F.to_json(F.struct("subject", F.col("preview").alias("preview_text"), F.concat(F.lit("<p>\"x\"</p>"), F.coalesce("type", F.lit(""))).alias("html")))
     broken = F.concat(F.lit("Here you go: "), F.replace(body, F.lit("}"), F.lit(",}")))
     text = F.when(F.col("id") % 3 == 0, body).when(F.col("id") % 3 == 1, F.concat(F.lit("Sure! "), body, F.lit(" done"))).otherwise(broken)
-    out = i.emails.select("id", answer_fields(text).alias("a"))
+    out = rk.computed_once(i.mails.select("id", text.alias("text")), a=answer_fields("text"))
     return out.select("id", "a.subject", F.col("a.preview_text").alias("preview"))
 
 
