@@ -24,6 +24,7 @@ def build_session(app: str = "mailprism", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no stack capture per column expression
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

@@ -63,7 +63,7 @@ def test_title_case_equals_python(values):
 
 
 def test_safe_filename(values):
-    texts = ["The Nicobar Sale is Almost Here!", "--A--", "x" * 59 + " y z", "100% ₹ off"]
+    texts = ["The Summer Sale is Almost Here!", "--A--", "x" * 59 + " y z", "100% ₹ off"]
     want = [re.sub(r"[^a-z0-9]+", "-", t.lower())[:60].strip("-") for t in texts]
     assert one(values, texts, scalars.safe_filename) == want
 

@@ -56,12 +56,12 @@ def test_mail_dates(table):
 
 
 def test_html_tree(spark, tmp_path):
-    for brand, name in [("nicobar", "2026-01-28_the-sale-is-here.html"), ("hello", "2026-01-29_hi.html"), ("hello", "oddname.html")]:
+    for brand, name in [("northwind", "2026-01-28_the-sale-is-here.html"), ("hello", "2026-01-29_hi.html"), ("hello", "oddname.html")]:
         (tmp_path / brand).mkdir(exist_ok=True)
         (tmp_path / brand / name).write_text("<p>x\ny</p>")
     rows = mail.read_html_tree(spark, str(tmp_path)).collect()
     assert [(r["brand"], str(r["date"]), r["subject"], r["path"], r["html"]) for r in rows] == [
-        ("Hello", "2026-01-29", "Hi", "hello/2026-01-29_hi.html", "<p>x\ny</p>"), ("Nicobar", "2026-01-28", "The Sale Is Here", "nicobar/2026-01-28_the-sale-is-here.html", "<p>x\ny</p>"),
+        ("Hello", "2026-01-29", "Hi", "hello/2026-01-29_hi.html", "<p>x\ny</p>"), ("Northwind", "2026-01-28", "The Sale Is Here", "northwind/2026-01-28_the-sale-is-here.html", "<p>x\ny</p>"),
         ("Hello", "0001-01-01", "oddname", "hello/oddname.html", "<p>x\ny</p>")]
     assert mail.read_html_tree(spark, str(tmp_path), with_html=False).count() == 3
 
