@@ -93,3 +93,29 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return earlier.join(step_on, "root", "left").select("node", F.coalesce("final", "root").alias("root"))
 
     return reduce(follow, reversed(hooks))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """At most ``rows`` labelled documents (text, label 0/1) in a fixed pseudo-random order.
+
+    Repeated label rows of a key are averaged (a half counts as 1); null labels are left out. Keys are drawn
+    before texts are touched; keys that repeat in ``docs`` cannot take the sample beyond ``rows``.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k"))
+    known = known.agg((F.avg(label) >= 0.5).cast("int").alias("label"))
+    drawn = known.orderBy(F.xxhash64("k"), "k").limit(rows)
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(drawn, "k")
+    return texts.select("text", "label", F.xxhash64("k", "text").alias("h")).orderBy("h", "text").limit(rows).drop("h")
+
+
+def fit_in_task(sample: DataFrame, fit, schema: str):
+    """Run ``fit(pandas frame)`` -> dict of one row over a bounded sample in one task; the row."""
+    import pandas as pd
+
+    def run(batches):
+        parts = list(batches)
+        whole = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in names})
+        yield pd.DataFrame([fit(whole)])
+
+    names = sample.columns
+    return sample.repartition(1).mapInPandas(run, schema).first()
