@@ -32,11 +32,11 @@ class Scratch:
         self.folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.scratch_path = path
         return saved
