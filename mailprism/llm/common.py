@@ -49,6 +49,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not use yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(sizes, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to about ``limit`` (one large row stands alone)."""
     start, total = 0, 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import Scratch, spark_of
+from mailprism.llm.common import Scratch, fresh, spark_of
 
 GAPS = (3, 6, 9)  # from the first kept run of three tokens to the second
 WINDOW = 12
@@ -40,12 +40,12 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
              item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Documents that hold a passage of a benchmark item with at most two substituted tokens in twelve.
 
-    One row per document and item: ``doc_id``, ``item_id``, ``item_copies`` (items of equal tokens: the smallest
+    One row per document and item: ``doc_id``, ``text_id`` (hash of the document's text), ``item_id``, ``item_copies`` (items of equal tokens: the smallest
     id stands for all), ``item_tokens``, ``doc_start`` (token of the document that lies on the item's first,
     below zero if the document begins inside the item), ``overlap`` (tokens compared), ``matching`` (equal ones),
     ``best_window`` (most equal tokens in twelve in a row). Items of 6 to 11 tokens have to occur whole and
     unchanged; shorter ones say nothing and are passed over. Null, empty and short texts give no rows, nor do
-    empty tables; repeated document rows give one row together; a null key is a key like any other. Other
+    empty tables; rows that repeat a key and a text are one document; a null key is a key like any other. Other
     columns are not looked at.
 
     The training side is never shuffled for the search while the seeds are few (counted, at most
@@ -60,15 +60,15 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     sought = scratch.save(seeds(bench, "item_words", ["item_id"]).withColumnRenamed("at", "item_at"))
     if sought.count() <= broadcast_rows:
         sought = F.broadcast(sought)
-    own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    placed = seeds(own.select("doc_id", words("text").alias("doc_words")), "doc_words", ["doc_id"])
-    hits = placed.join(sought, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_start"))
+    own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_id"), F.col(text).alias("text"))
+    placed = seeds(own.select("doc_id", "text_id", words("text").alias("doc_words")), "doc_words", ["doc_id", "text_id"])
+    hits = placed.join(sought, "seed").select("doc_id", "text_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_start"))
     hits = scratch.save(hits.distinct())
 
     texts = own.where("text IS NOT NULL").alias("d")
-    found = texts.join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))).select("h.*", words("d.text").alias("doc_words"))
+    found = texts.join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_id") == F.col("h.text_id"))).select("h.*", words("d.text").alias("doc_words"))
     found = found.join(bench, F.col("h.item_id").eqNullSafe(bench["item_id"])).select(
-        "doc_id", "h.item_id", "doc_start", "doc_words", "item_words", "item_copies")
+        "doc_id", "text_id", "h.item_id", "doc_start", "doc_words", "item_words", "item_copies")
     found = found.withColumn("first", F.greatest(-F.col("doc_start"), F.lit(0))).withColumn(
         "overlap", F.least(F.size("item_words"), F.size("doc_words") - F.col("doc_start")) - F.col("first")).where("overlap > 0")
     same = F.zip_with(F.slice("item_words", F.col("first") + 1, F.col("overlap")),
@@ -77,17 +77,25 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     spans = F.transform(F.sequence(F.lit(1), F.greatest(F.col("overlap") - WINDOW + 1, F.lit(1))),
                         lambda i: total(F.slice(F.col("same"), i, WINDOW)))
     scored = found.withColumn("same", same).select(
-        "doc_id", "item_id", "item_copies", F.size("item_words").alias("item_tokens"), "doc_start", "overlap",
+        "doc_id", "text_id", "item_id", "item_copies", F.size("item_words").alias("item_tokens"), "doc_start", "overlap",
         total(F.col("same")).alias("matching"), F.array_max(spans).alias("best_window"))
     enough = F.least(F.lit(WINDOW - SUBSTITUTED), F.greatest(F.col("item_tokens"), F.lit(0)))
     good = scored.where(F.when(F.col("item_tokens") >= WINDOW, (F.col("overlap") >= WINDOW) & (F.col("best_window") >= enough))
                         .otherwise(F.col("matching") == F.col("item_tokens")))
     best = F.max(F.struct("best_window", "matching", "overlap", (-F.col("doc_start")).alias("back"))).alias("m")
-    return good.groupBy("doc_id", "item_id", "item_copies", "item_tokens").agg(best).select(
-        "doc_id", "item_id", F.col("item_copies"), "item_tokens", (-F.col("m.back")).alias("doc_start"),
+    return good.groupBy("doc_id", "text_id", "item_id", "item_copies", "item_tokens").agg(best).select(
+        "doc_id", "text_id", "item_id", "item_copies", "item_tokens", (-F.col("m.back")).alias("doc_start"),
         F.col("m.overlap").alias("overlap"), F.col("m.matching").alias("matching"), F.col("m.best_window").alias("best_window"))
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without passages of a benchmark item, with their columns."""
+    found = overlaps(docs, items, key, text).select(F.col("doc_id").alias("key"), "text_id").distinct()
+    marked = docs.withColumn(mark := fresh("text_id", docs), F.xxhash64(F.col(text)))
+    kept = marked.join(found, marked[key].eqNullSafe(found["key"]) & (marked[mark] == found["text_id"]), "left_anti")
+    return kept.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH bench AS (
  SELECT words, min(item_id) AS item_id, count(*) AS item_copies

@@ -8,6 +8,7 @@ from math import erf, lgamma, log, log1p, exp, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,21 +138,21 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, projections: int = P
     distinct = scratch.save(good.groupBy("label", "embedding").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("copies"))
                             .withColumn("size", F.size("embedding")))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tile, count = None, (TaskContext.get().partitionId() << 24) - 1, 0
         for batch in batches:
             tiles, places = [], []
-            for group in zip(batch["label"], batch["size"]):
+            for group in zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()):
                 if group != last or count == TILE:
                     last, tile, count = group, tile + 1, 0
                 tiles.append(tile)
                 places.append(count)
                 count += 1
-            yield batch.assign(tile=tiles, place=places)
+            yield batch.append_column("tile", pa.array(tiles, pa.int64())).append_column("place", pa.array(places, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", tile long, place long"
     spread = distinct.repartitionByRange(max(1, -(-distinct.count() // TILE)), "label", "size", F.xxhash64("embedding"))
-    nodes = scratch.save(spread.sortWithinPartitions("label", "size").mapInPandas(place, schema))
+    nodes = scratch.save(spread.sortWithinPartitions("label", "size").mapInArrow(place, schema))
     tiles = scratch.save(nodes.groupBy("tile").agg(F.first("label").alias("label"), F.first("size").alias("size"),
                                                    F.collect_list(F.struct("place", "copies", "embedding")).alias("rows")))
     ids = tiles.select("label", "size", "tile")

@@ -175,13 +175,14 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
     model = fit_in_task(sample, fit, "languages array<string>, parameters array<binary>")
     shared = spark_of(docs).sparkContext.broadcast((list(model["languages"]), [bytes(x) for x in model["parameters"]]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         names, parameters = shared.value
         network = Network(len(names))
         for k, v in zip(sorted(network.p), parameters):
             network.p[k] = np.frombuffer(v, "<f4").reshape(network.p[k].shape)
-        for batch in batches:
-            raw = [x.encode("utf-8", "surrogatepass") if letters else b"" for x, letters in zip(batch["text"], batch["letters"])]
+        for texts, letters in batches:
+            raw = [x.encode("utf-8", "surrogatepass") if some else b"" for x, some in zip(texts, letters)]
             best, score = [], []
             for a, b in pieces([len(x) for x in raw]):
                 data, lengths, owner = spans_of(raw[a:b])
@@ -195,12 +196,11 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
                 mean = total / np.maximum(sizes, 1)[:, None]
                 best += [names[k] if n and names else UNKNOWN for k, n in zip(mean.argmax(axis=1), sizes)]
                 score.append(np.clip(mean.max(axis=1), 0, 1))
-            yield pd.DataFrame({key: batch[key], "lang_pred": best, "score": np.concatenate(score) if score else []})
+            yield pd.DataFrame({"lang_pred": best, "score": np.concatenate(score) if score else []})
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    kind = docs.schema[key].dataType.simpleString()
-    whole = docs.select(F.col(key), F.col(text).alias("text"), letters)
-    return whole.mapInPandas(run, f"`{key}` {kind}, lang_pred string, score double")
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    found = docs.select(F.col(key).alias("key"), predict(F.col(text), letters).alias("found"))
+    return found.select(F.col("key").alias(key), "found.lang_pred", "found.score")
 
 
 def query(docs: DataFrame) -> DataFrame:

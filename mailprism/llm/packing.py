@@ -7,8 +7,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -64,22 +67,18 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
     """
     place = path or public_tokenizers.path(f"{VOCABULARY}.tiktoken")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, step = words_of(place), 4 * window
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        words = words_of(place)
         for batch in batches:
-            rows = []
-            for name, value in zip(batch[key], batch[text]):
-                ids = words.text(value) + END.to_bytes(4, "little")
-                n = len(ids) // 4
-                rows += [(name, a // 4, min(window, n - a // 4), n, ids[a:a + step]) for a in range(0, len(ids), step)]
-                if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=[key, "start", "length", "doc_tokens", "ids"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=[key, "start", "length", "doc_tokens", "ids"])
+            yield pd.Series([words.text(x) + END.to_bytes(4, "little") for x in batch])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, start long, length long, doc_tokens long, ids binary")
+    ids = docs.select(F.col(key).alias("key"), encode(F.col(text)).alias("all")).withColumn("doc_tokens", (F.length("all") / 4).cast("long"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(window).cast("long"))
+    cut = ids.select("key", "doc_tokens", "all", F.explode(starts).alias("start"))
+    part = F.substring(F.col("all"), (4 * F.col("start") + 1).cast("int"), F.lit(4 * window))
+    return cut.select(F.col("key").alias(key), "start", F.least(F.lit(window).cast("long"), F.col("doc_tokens") - F.col("start")).alias("length"),
+                      "doc_tokens", part.alias("ids"))
 
 
 class Capacity:
@@ -139,35 +138,37 @@ def assign(pieces: DataFrame, documents: int, window: int = WINDOW) -> DataFrame
     any room is left. Sequence ids are unique over all tasks. Offsets have no gaps; equal lengths keep the
     order of arrival, any order being as good.
     """
-    names = pieces.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
 
-        def packed(part: pd.DataFrame) -> pd.DataFrame:
+        def placed(part: pa.Table, sequences: list[int], offsets: list[int]) -> list[pa.RecordBatch]:
+            added = part.append_column("sequence_id", pa.array(sequences, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+            return added.to_batches()
+
+        def packed(part: pa.Table) -> list[pa.RecordBatch]:
             nonlocal number
-            part = part.sort_values("length", ascending=False, kind="stable")
-            where = best_fit(part["length"].tolist(), window)
-            part = part.assign(sequence_id=[number + a for a, _ in where], offset=[b for _, b in where])
-            number += max(a for a, _ in where) + 1
-            return part
+            lengths = part["length"].to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            where = best_fit(lengths[order].tolist(), window)
+            first, number = number, number + max(a for a, _ in where) + 1
+            return placed(part.take(order), [first + a for a, _ in where], [b for _, b in where])
 
-        held: list[pd.DataFrame] = []
+        held: list[pa.Table] = []
         for batch in batches:
-            whole = batch["length"] == window
-            full = batch[whole]
-            if len(full):
-                yield full.assign(sequence_id=range(number, number + len(full)), offset=0)
-                number += len(full)
-            held.append(batch[~whole])
+            whole = pa.Table.from_batches([batch])
+            full = pc.equal(whole["length"], window)
+            alone = whole.filter(full)
+            yield from placed(alone, list(range(number, number + len(alone))), [0] * len(alone))
+            number += len(alone)
+            held.append(whole.filter(pc.invert(full)))
             if sum(map(len, held)) >= HELD:
-                yield packed(pd.concat(held))
+                yield from packed(pa.concat_tables(held))
                 held = []
         if any(map(len, held)):
-            yield packed(pd.concat(held))
+            yield from packed(pa.concat_tables(held))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return pieces.select(names).repartition(max(1, -(-documents // HELD))).mapInPandas(run, schema)
+    return pieces.repartition(max(1, -(-documents // HELD))).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

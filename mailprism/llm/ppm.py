@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -111,19 +112,22 @@ class Block:
 
 def extract(docs: DataFrame, order: int, key: str) -> DataFrame:
     """Documents (key, text, learn) as blocks: see ``Block.rows``. A block's number is its task and its place there."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("string", pa.int64()), ("seen", pa.int64()), ("word", pa.binary()), ("texts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(order), TaskContext.get().partitionId() << 32
         for batch in batches:
-            lists = [words_of(x) for x in batch["text"]]
+            names, learn = batch.column(key).to_pylist(), batch.column("learn").to_pylist()
+            lists = [words_of(x) for x in batch.column("text").to_pylist()]
             for a, b in pieces([sum(map(len, x)) for x in lists]):
-                block.add(batch[key].iloc[a:b].tolist(), batch["learn"].iloc[a:b].tolist(), lists[a:b])
+                block.add(names[a:b], learn[a:b], lists[a:b])
                 if block.size >= BLOCK:
-                    yield from block.rows(number)
+                    yield from (pa.RecordBatch.from_pandas(x, schema, preserve_index=False) for x in block.rows(number))
                     block, number = Block(order), number + 1
         if block.names:
-            yield from block.rows(number)
+            yield from (pa.RecordBatch.from_pandas(x, schema, preserve_index=False) for x in block.rows(number))
 
-    return docs.mapInPandas(run, "kind int, block long, string long, seen long, word binary, texts binary")
+    return docs.mapInArrow(run, "kind int, block long, string long, seen long, word binary, texts binary")
 
 
 def follow(counts: DataFrame, order: int, scratch: Scratch) -> DataFrame:
@@ -186,8 +190,8 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
     """
     scratch = Scratch(spark_of(docs), "ppm")
     learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
-    own = docs.select(F.col(key), F.col(text).alias("text"), learn.alias("learn"))
-    found = scratch.save(extract(own, order, key), "kind")
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), learn.alias("learn"))
+    found = scratch.save(extract(own, order, "key"), "kind")
     asked = found.where("kind = 1").select("block", "string", "seen")
     model = scratch.save(follow(asked.groupBy("string").agg(F.sum("seen").alias("seen")), order, scratch))
 
@@ -222,7 +226,7 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
             base.append(np.log10(counts + 1.0).sum() - len(counts) * np.log10(tokens + kinds + 1))
             size.append(len(counts))
             hits.append((counts > 0).sum())
-        return pd.DataFrame({key: names, "n_tokens": size, "n_known": hits, "train_tokens": tokens, "base_score": base, "score": total})
+        return pd.DataFrame({key: pd.Series(names, dtype=object), "n_tokens": size, "n_known": hits, "train_tokens": tokens, "base_score": base, "score": total})
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.llm.common import fit_in_task, labelled_sample, pieces, remainder, spark_of
@@ -150,25 +150,25 @@ def fit(sample: pd.DataFrame) -> dict:
     return {"parameters": [v.astype("<f4").tobytes() for v in arrays], "constant": None}
 
 
-def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score (0 to 1) of every whole text by a fitted model."""
-    shared = spark_of(docs).sparkContext.broadcast(([bytes(x) for x in model["parameters"]], model["constant"]))
+def scorer(spark: SparkSession, model):
+    """Column function: score (0 to 1) of whole texts by a fitted model."""
+    shared = spark.sparkContext.broadcast(([bytes(x) for x in model["parameters"]], model["constant"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         arrays, constant = shared.value
         bags = Bags()
         if arrays:
             bags.mean, bags.scale = (np.frombuffer(v, "<f4") for v in arrays[:2])
             bags.p = {k: np.frombuffer(v, "<f4").reshape(s) for (k, s), v in zip(Bags.SHAPES.items(), arrays[2:])}
         for batch in batches:
-            texts = batch[text].tolist()
+            texts = batch.tolist()
             scores = np.full(len(texts), constant if constant is not None else 0.0)
             for a, b in pieces([len(x or "") for x in texts]) if arrays else ():
                 scores[a:b] = bags.score(*features(texts[a:b]))
-            yield pd.DataFrame({key: batch[key], "score": scores})
+            yield pd.Series(scores)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, score double")
+    return score
 
 
 def quality(docs: DataFrame, labels: DataFrame, learn_from=None, label: str = "quality", sample: int = SAMPLE,
@@ -182,7 +182,8 @@ def quality(docs: DataFrame, labels: DataFrame, learn_from=None, label: str = "q
     """
     known = labels if learn_from is None else labels.where(learn_from)
     model = fit_in_task(labelled_sample(docs, known, label, sample, key, text), fit, "parameters array<binary>, constant double")
-    return score(docs, model, key, text).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    score = scorer(spark_of(docs), model)
+    return docs.select(F.col(key), score(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

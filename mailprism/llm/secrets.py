@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import Scratch, spark_of
+from mailprism.llm.common import Scratch, fresh, spark_of
 
 SHORTEST = 16  # characters of a candidate
 CANDIDATE = r"([A-Za-z0-9+/_\-]{16,}={0,2})"
@@ -152,8 +152,9 @@ def findings(docs: DataFrame, labels=rule_labels, sample: int = SAMPLE, key: str
 
 def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found value in its text replaced by ``mark``; rows without findings stay as they are."""
-    values = found.groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text_id")).agg(F.collect_set("value").alias("_values"))
-    longest_first = F.array_sort("_values", lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).otherwise(1))
+    names = [fresh(x, docs) for x in ("found_key", "found_text", "found_values")]
+    values = found.groupBy(F.col(key).alias(names[0]), F.col("text_id").alias(names[1])).agg(F.collect_set("value").alias(names[2]))
+    longest_first = F.array_sort(names[2], lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).otherwise(1))
     cleaned = F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))
-    joined = docs.join(values, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_text_id")), "left")
-    return joined.withColumn(text, F.when(F.col("_values").isNull(), F.col(text)).otherwise(cleaned)).select(*docs.columns)
+    joined = docs.join(values, F.col(key).eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])), "left")
+    return joined.withColumn(text, F.when(F.col(names[2]).isNull(), F.col(text)).otherwise(cleaned)).select(*docs.columns)

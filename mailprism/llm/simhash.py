@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import Scratch, components, pieces, spark_of
+from mailprism.llm.common import Scratch, components, fresh, pieces, spark_of
 
 SEED = 42
 TILE = 1 << 15  # distinct fingerprints in a tile
@@ -61,26 +61,25 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, ::-1], axis=1)
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ``fp`` (64 × ``lanes`` bits as bytes), ``pop`` (bits set).
+def fingerprint(words: int, lanes: int):
+    """Column function: ``fp`` (64 × ``lanes`` bits as bytes) and ``pop`` (bits set) of whole texts.
 
     A text of fewer words than a shingle is one shingle; a null, empty or blank text has fingerprint zero.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("fp binary, pop int")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[text].tolist()
-            parts = []
+            texts = batch.tolist()
+            parts = [np.zeros((0, 8 * lanes), np.uint8)]
             for a, b in pieces([len(x) if x else 0 for x in texts]):
                 hashed = [shingle_hashes(x, words) for x in texts[a:b]]
                 lengths = np.array([len(x) for x in hashed], np.int64)
                 flat = np.fromiter((h for x in hashed for h in x), np.uint64, lengths.sum())
                 parts.append(np.hstack([majority(lane(flat, k), lengths) for k in range(lanes)]))
-            if parts:
-                fp = np.ascontiguousarray(np.vstack(parts))
-                yield pd.DataFrame({key: batch[key], "fp": [x.tobytes() for x in fp], "pop": np.bitwise_count(fp).sum(axis=1, dtype=np.int32)})
+            fp = np.ascontiguousarray(np.vstack(parts))
+            yield pd.DataFrame({"fp": [x.tobytes() for x in fp], "pop": np.bitwise_count(fp).sum(axis=1, dtype=np.int32)})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, fp binary, pop int")
+    return run
 
 
 def tiles(distinct: DataFrame, n: int, tile: int = TILE) -> DataFrame:
@@ -190,21 +189,36 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, lanes: int
                     text: str = "text", tile: int = TILE) -> DataFrame:
     """Group documents whose SimHash fingerprints differ in at most ``radius`` bits, directly or through others.
 
-    Returns per input row: key, ``fp`` (bytes), ``component`` (the smallest key of the group; null keys are
-    passed over, a group of null keys only has null). Repeated rows stay repeated and share a group; rows
-    without words share fingerprint zero, which links like any other; an empty table gives no rows. Other
-    columns of ``docs`` are not looked at, so they may have any names.
+    Returns per input row: key, ``text_id`` (hash of the row's text), ``fp`` (bytes), ``group`` (bytes, equal within
+    a group), ``component`` (the smallest key of the group; null keys are passed over, a group of null keys only
+    has null). Repeated rows stay repeated and share a group; rows without words share fingerprint zero, which
+    links like any other; an empty table gives no rows. Other columns of ``docs`` are not looked at, so they may
+    have any names.
 
     All pairs of distinct fingerprints are compared exactly, tile against tile; equal ones meet beforehand
     in a grouping, so a large group of copies is one fingerprint. A tile pair returns a forest (at most one
     edge per fingerprint), never its links one by one.
     """
     scratch = Scratch(spark_of(docs), "simhash")
-    prints = scratch.save(fingerprints(docs, words, lanes, key, text))
-    distinct = scratch.save(prints.groupBy("fp", "pop").agg(F.min(key).alias("least")))
+    shown = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_id"), fingerprint(words, lanes)(F.col(text)).alias("f"))
+    prints = scratch.save(shown.select("key", "text_id", "f.fp", "f.pop"))
+    distinct = scratch.save(prints.groupBy("fp", "pop").agg(F.min("key").alias("least")))
     edges = links(distinct.select("fp", "pop"), scratch, radius, lanes, tile)
     roots = components(edges, scratch).withColumnRenamed("node", "fp")
-    rooted = scratch.save(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select(key, "fp", "component")
+    rooted = scratch.save(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("group")))
+    least = rooted.groupBy("group").agg(F.min("least").alias("component"))
+    named = rooted.join(least, "group").select("fp", "group", "component")
+    return prints.join(named, "fp").select(F.col("key").alias(key), "text_id", "fp", "group", "component")
+
+
+def one_of_each(docs: DataFrame, words: int, radius: int, lanes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest key (then text hash) stays.
+
+    Groups as in ``near_duplicates``. Rows that repeat a key and a text are one document; a null key stands last.
+    """
+    groups = near_duplicates(docs, words, radius, lanes, key, text)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "text_id")).alias("first"))
+    first = Scratch(spark_of(docs), "kept").save(first.select("first.key", "first.text_id"))
+    marked = docs.withColumn(mark := fresh("text_id", docs), F.xxhash64(F.col(text)))
+    kept = marked.join(first, marked[key].eqNullSafe(first["key"]) & (marked[mark] == first["text_id"]), "left_semi")
+    return kept.dropDuplicates([key, mark]).select(*docs.columns)

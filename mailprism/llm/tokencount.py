@@ -10,6 +10,7 @@ import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 START = "▁"  # stands before each word, as in the vocabulary
@@ -112,12 +113,11 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     place = path or public_tokenizers.path(MODEL)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_words long, n_tokens long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = counts_of(place)
         for batch in batches:
-            words = [x.split() if x else [] for x in batch[text]]
-            yield pd.DataFrame({key: batch[key], "n_words": [len(x) for x in words],
-                                "n_tokens": [sum(map(known.__getitem__, x)) for x in words]})
+            words = [x.split() if x else [] for x in batch]
+            yield pd.DataFrame({"n_words": [len(x) for x in words], "n_tokens": [sum(map(known.__getitem__, x)) for x in words]})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_words long, n_tokens long")
+    return docs.select(F.col(key).alias("key"), count(F.col(text)).alias("n")).select(F.col("key").alias(key), "n.n_words", "n.n_tokens")

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import fit_in_task, labelled_sample, pieces, remainder, spark_of
+from mailprism.llm.common import fit_in_task, fresh, labelled_sample, pieces, remainder, spark_of
 
 ORDERS = (3, 4, 5, 6)  # bytes of an n-gram
 BITS = 18  # buckets of an order: 2 ** BITS
@@ -95,27 +95,35 @@ def fit(sample: pd.DataFrame) -> dict:
     return {"features": chosen.astype("<i4").tobytes(), "weights": (weight * scaled).astype("<f4").tobytes(), "bias": float(bias)}
 
 
-def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Score (0 to 1) of every whole text by a fitted model."""
+def scorer(spark: SparkSession, model):
+    """Column function: score (0 to 1) of whole texts by a fitted model."""
     size = len(ORDERS) << BITS
-    shared = spark_of(docs).sparkContext.broadcast((bytes(model["features"]), bytes(model["weights"]), model["bias"]))
+    shared = spark.sparkContext.broadcast((bytes(model["features"]), bytes(model["weights"]), model["bias"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, weights, bias = shared.value
         weight = np.zeros(size, np.float32)
         weight[np.frombuffer(features, "<i4")] = np.frombuffer(weights, "<f4")
         wanted = weight != 0
         for batch in batches:
-            texts = batch[text].tolist()
+            texts = batch.tolist()
             margins = np.zeros(len(texts))
             for a, b in pieces([len(x or "") for x in texts]):
                 doc, feature = present(texts[a:b], wanted)
                 margins[a:b] = np.bincount(doc, weight[feature], b - a)
             with np.errstate(over="ignore"):
-                yield pd.DataFrame({key: batch[key], "score": 1 / (1 + np.exp(-(margins + bias)))})
+                yield pd.Series(1 / (1 + np.exp(-(margins + bias))))
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, score double")
+    return score
+
+
+def trained(docs: DataFrame, labels: DataFrame, learn_from=None, label: str = "toxic", sample: int = SAMPLE,
+            key: str = "doc_id", text: str = "text"):
+    """Column function that scores texts, fitted on labelled rows (see ``toxicity``)."""
+    known = labels if learn_from is None else labels.where(learn_from)
+    model = fit_in_task(labelled_sample(docs, known, label, sample, key, text), fit, "features binary, weights binary, bias double")
+    return scorer(spark_of(docs), model)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, label: str = "toxic", sample: int = SAMPLE,
@@ -127,10 +135,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from=None, label: str = "
     a text without features; repeated rows are scored each; with no positive label every score is 0; empty
     tables give no rows; other columns are not looked at.
     """
-    known = labels if learn_from is None else labels.where(learn_from)
-    model = fit_in_task(labelled_sample(docs, known, label, sample, key, text), fit, "features binary, weights binary, bias double")
-    scored = score(docs, model, key, text)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    score = trained(docs, labels, learn_from, label, sample, key, text)
+    return docs.select(F.col(key), score(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, learn_from=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns."""
+    name = fresh("toxicity", docs)
+    scored = docs.withColumn(name, trained(docs, labels, learn_from, key=key, text=text)(F.col(text)))
+    return scored.where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
