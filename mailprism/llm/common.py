@@ -117,7 +117,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
 
 
 def fit_in_task(sample: DataFrame, fit, schema: str):
-    """Run ``fit(pandas frame)`` -> dict of one row over a bounded sample in one task; the row."""
+    """Run ``fit(pandas frame)`` -> dict of one row over a bounded sample in one task; the row.
+
+    Spark leaves out tasks over tables that it knows to be empty; an empty frame is fitted here.
+    """
     import pandas as pd
 
     def run(batches):
@@ -126,4 +129,4 @@ def fit_in_task(sample: DataFrame, fit, schema: str):
         yield pd.DataFrame([fit(whole)])
 
     names = sample.columns
-    return sample.repartition(1).mapInPandas(run, schema).first()
+    return sample.repartition(1).mapInPandas(run, schema).first() or fit(pd.DataFrame({c: [] for c in names}))

@@ -72,7 +72,7 @@ def candidates(one: np.ndarray, other: np.ndarray, width: float, count: int) ->
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def compare_tiles(a: int, b: int, one, other, link: float, projections: int, width: float, recall: float) -> pd.DataFrame:
+def compare_tiles(a: int, b: int, one, other, link: float, projections: int, width: float, recall: float, tile: int) -> pd.DataFrame:
     """Links between two tiles (arrays of (place, copies, embedding)): rows (a, b, links).
 
     ``b`` names a node of the same group as ``a`` (a forest, at most one row per node); rows without it carry the
@@ -91,7 +91,7 @@ def compare_tiles(a: int, b: int, one, other, link: float, projections: int, wid
     near = np.concatenate(near) if near else np.zeros(0, bool)
     i, j = i[near], j[near]
     shift = 0 if a == b else len(unit[0])
-    nodes = place[0] + a * TILE if a == b else np.concatenate([place[0] + a * TILE, place[1] + b * TILE])
+    nodes = place[0] + a * tile if a == b else np.concatenate([place[0] + a * tile, place[1] + b * tile])
     size = copies[0] if a == b else np.concatenate(copies)
     j = j + shift
     links = np.bincount(i, size[j], len(nodes)) + np.bincount(j, size[i], len(nodes))
@@ -120,7 +120,8 @@ def usable(vector: Column, label: Column) -> Column:
 
 
 def near_duplicates(vectors: DataFrame, link: float = LINK, projections: int = PROJECTIONS, width: float = WIDTH,
-                    recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+                    recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", label: str = "label",
+                    tile: int = TILE) -> DataFrame:
     """Link vectors of equal labels whose cosine is at least ``link`` and group what links reach.
 
     One row per input row: key, ``n_links`` (other rows linked directly), ``component`` (smallest key reachable,
@@ -129,7 +130,7 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, projections: int = P
     rows and equal vectors link with each other; they are one vector while pairs are sought, so a large group of
     copies costs nothing. An empty table gives no rows; other columns are not looked at.
 
-    A label's vectors are dealt to tiles of ``TILE``; every pair of tiles of a label is one unit of work, whose
+    A label's vectors are dealt to tiles of ``tile``; every pair of tiles of a label is one unit of work, whose
     result (a forest and counts) is no larger than the tiles. A link is found with probability ``recall`` or more.
     """
     scratch = Scratch(spark_of(vectors), "embeddings")
@@ -139,19 +140,19 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, projections: int = P
                             .withColumn("size", F.size("embedding")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tile, count = None, (TaskContext.get().partitionId() << 24) - 1, 0
+        last, number, count = None, (TaskContext.get().partitionId() << 24) - 1, 0
         for batch in batches:
             tiles, places = [], []
             for group in zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()):
-                if group != last or count == TILE:
-                    last, tile, count = group, tile + 1, 0
-                tiles.append(tile)
+                if group != last or count == tile:
+                    last, number, count = group, number + 1, 0
+                tiles.append(number)
                 places.append(count)
                 count += 1
             yield batch.append_column("tile", pa.array(tiles, pa.int64())).append_column("place", pa.array(places, pa.int64()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema) + ", tile long, place long"
-    spread = distinct.repartitionByRange(max(1, -(-distinct.count() // TILE)), "label", "size", F.xxhash64("embedding"))
+    spread = distinct.repartitionByRange(max(1, -(-distinct.count() // tile)), "label", "size", F.xxhash64("embedding"))
     nodes = scratch.save(spread.sortWithinPartitions("label", "size").mapInArrow(place, schema))
     tiles = scratch.save(nodes.groupBy("tile").agg(F.first("label").alias("label"), F.first("size").alias("size"),
                                                    F.collect_list(F.struct("place", "copies", "embedding")).alias("rows")))
@@ -164,13 +165,13 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, projections: int = P
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b, x, y in zip(batch["a"], batch["b"], batch["rows_a"], batch["rows_b"]):
-                yield compare_tiles(a, b, x, y, link, projections, width, recall)
+                yield compare_tiles(a, b, x, y, link, projections, width, recall, tile)
 
     work = pairs.join(one, "a").join(other, "b").repartition(tasks, "a", "b")
     found = scratch.save(work.mapInPandas(compare, "a long, b long, links long"))
     roots = components(found.where("b >= 0").select("a", "b"), scratch)
     counted = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    named = nodes.select((F.col("tile") * TILE + F.col("place")).alias("node"), "label", "embedding", "least", "copies")
+    named = nodes.select((F.col("tile") * tile + F.col("place")).alias("node"), "label", "embedding", "least", "copies")
     named = scratch.save(named.join(counted, "node", "left").join(roots, "node", "left").select(
         "label", "embedding", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
     groups = named.groupBy("root").agg(F.min("least").alias("component"))
