@@ -1,14 +1,12 @@
-"""HTML operators: one Arrow-batched parse per mail yields everything the rules need.
-
-The parser is the standard library's tokenizer with a few counters; scoring,
-matching and ranking happen in Catalyst on the returned struct.
-"""
+"""HTML operators: one Arrow-batched read per page gives tokens; every rule is an expression over them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
 from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailprism.functions import markup
@@ -16,42 +14,229 @@ from mailprism.functions import markup
 cloudpickle.register_pickle_by_value(markup)
 
 PREVIEW_CHARS = 200
+TEMPLATE_BLOCKS = 20
+BODY_CHARS = 200
+ROWS = 64  # pages whose tokens a worker holds at once
 
-PARTS = {
-    "clean": "clean string",
-    "text": "visible_text string, all_text string",
-    "structure": (
-        "links array<struct<href:string,text:string>>, images array<struct<src:string,alt:string>>, "
-        "headings array<struct<tag:string,text:string>>, list_count int, has_viewport boolean, "
-        "has_dark_mode boolean, copy_text string"
-    ),
-    "signals": (
-        "signals struct<site_name:string,twitter_site:string,app_name:string,"
-        "logo_alts:array<string>,footer_text:string,all_text:string>"
-    ),
-    "blocks": "blocks array<struct<type:string,slot:string,tag:string,text:string,url:string,alt:string,width:string>>",
-}
-
+# Element groups and the marks of logo images and button links.
+DROPPED = ["script", "object", "embed"]
+HEADINGS = ["h1", "h2", "h3", "h4"]
+BLOCK_HEADINGS = ["h1", "h2", "h3"]
+TEXT_BLOCKS = ["p", "td", "div"]
+LOGO_MARKS = ["logo", "brand", "header-logo", "main-logo", "site-logo"]
+BUTTON_STYLES = ["background-color", "background:", "padding:", "border-radius"]
+BUTTON_CLASSES = ["btn", "button", "cta"]
 
-def parse_udf(parts):
-    """Vectorised UDF html -> struct of the requested parts."""
-    parts = tuple(parts)
-    schema = ", ".join(PARTS[p] for p in parts)
 
-    row = markup.page_row
+def token_udf():
+    """Vectorised UDF html -> struct of tokens and error."""
+    read, rows = markup.tokenize, ROWS
 
-    @F.pandas_udf(schema)
-    def parse(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([row(h, parts) for h in html])
+    @F.pandas_udf(markup.SCHEMA)
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                yield pd.DataFrame([read(h) for h in batch.iloc[at:at + rows]])
 
     return parse
 
 
+# --- expressions over one token, and over the tokens of a page ----------------
+
+
+def attribute(token: Column, name: str) -> Column:
+    """Value of a token's last attribute of that name; empty when it has none."""
+    found = F.filter(token["attrs"], lambda a: a["name"] == name)
+    return F.coalesce(F.element_at(F.when(F.size(found) > 0, found), -1)["value"], F.lit(""))
+
+
+def is_open(token: Column, *tags: str) -> Column:
+    return (token["kind"] == "open") & token["tag"].isin(*tags)
+
+
+def is_close(token: Column, *tags: str) -> Column:
+    return (token["kind"] == "close") & token["tag"].isin(*tags)
+
+
+def outside(token: Column, *tags: str) -> Column:
+    return ~F.arrays_overlap(token["within"], F.array(*map(F.lit, tags)))
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def joined(tokens: Column, by: str) -> Column:
+    return F.array_join(F.transform(tokens, lambda t: t["text"]), by)
+
+
+def between(tokens: Column, low: Column, high: Column) -> Column:
+    """Tokens after position ``low`` and before ``high``."""
+    return F.filter(tokens, lambda t: (t["pos"] > low) & (t["pos"] < high))
+
+
+def neighbours(tokens: Column) -> Column:
+    """Pairs (one, next) of tokens that follow each other in a list; the last one's next is null."""
+    return F.transform(tokens, lambda t, i: F.struct(t.alias("one"), F.get(tokens, i + 1).alias("next")))
+
+
+def escaped(text: Column, quotes: bool) -> Column:
+    for plain, entity in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("'", "&#x27;")] if quotes else [])]:
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    """Without dropped elements, one-pixel images and event handlers; all else as written."""
+    def start(t: Column) -> Column:
+        kept = F.filter(t["attrs"], lambda a: ~a["name"].startswith("on"))
+        shown = F.transform(kept, lambda a: F.when(a["value"].isNull(), a["name"]).otherwise(
+            F.concat(a["name"], F.lit('="'), escaped(a["value"], True), F.lit('"'))))
+        again = F.concat(F.lit("<"), F.array_join(F.concat(F.array(t["tag"]), shown), " "), F.lit(">"))
+        pixel = (t["tag"] == "img") & ((attribute(t, "width") == "1") | (attribute(t, "height") == "1"))
+        return F.when(pixel, "").when(F.exists(t["attrs"], lambda a: a["name"].startswith("on")), again).otherwise(t["text"])
+
+    def source(t: Column) -> Column:
+        shown = (F.when(t["kind"] == "open", start(t)).when(t["kind"] == "close", F.concat(F.lit("</"), t["tag"], F.lit(">")))
+                 .when(t["kind"] == "comment", F.concat(F.lit("<!--"), t["text"], F.lit("-->")))
+                 .when(t["kind"] == "decl", F.concat(F.lit("<!"), t["text"], F.lit(">")))
+                 .when(t["kind"] == "section", F.concat(F.lit("<!["), t["text"], F.lit("]>")))
+                 .when(outside(t, "style"), escaped(t["text"], False)).otherwise(t["text"]))
+        hidden = F.coalesce(t["tag"].isin(*DROPPED), F.lit(False)) | ~outside(t, *DROPPED)
+        return F.when(hidden, "").otherwise(shown)
+
+    return df.withColumn("clean", F.array_join(F.transform("_tokens", source), ""))
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    """Shared lists: data outside scripts and styles, and data outside styles."""
+    data = F.filter("_tokens", lambda t: t["kind"] == "text")
+    return df.withColumns({"_seen": F.filter(data, lambda t: outside(t, "script", "style")), "_data": F.filter(data, lambda t: outside(t, "style"))})
+
+
+def _text(df: DataFrame) -> DataFrame:
+    shown = F.filter(F.transform("_seen", lambda t: strip(t["text"])), lambda x: x != "")
+    return df.withColumns({"visible_text": F.array_join(shown, " "), "all_text": joined(F.col("_seen"), " ")})
+
+
+def _structure(df: DataFrame) -> DataFrame:
+    """A link reaches from a start tag to the next tag of a link; a heading's text is what directly follows its start tag."""
+    data, tokens = F.col("_data"), F.col("_tokens")
+    df = df.withColumns({
+        "_anchors": neighbours(F.filter(tokens, lambda t: t["tag"] == "a")),
+        "_heads": F.filter(tokens, lambda t: is_close(t, *HEADINGS)),
+        "_titles": F.filter(data, lambda t: t["follows"].isin(*HEADINGS)),
+    })
+    pairs = F.filter("_anchors", lambda p: (p["one"]["kind"] == "open") & F.coalesce(p["next"]["kind"] == "close", F.lit(False)))
+    links = F.transform(pairs, lambda p: F.struct(
+        attribute(p["one"], "href").alias("href"), strip(joined(between(data, p["one"]["pos"], p["next"]["pos"]), "")).alias("text")))
+    linked = F.filter("_anchors", lambda p: p["one"]["kind"] == "open")
+    in_link = lambda t: F.exists(linked, lambda p: (t["pos"] > p["one"]["pos"]) & (p["next"].isNull() | (t["pos"] < p["next"]["pos"])))
+    heads = F.transform("_heads", lambda h, i: F.struct(
+        h["tag"].alias("tag"), strip(joined(between(F.col("_titles"), F.coalesce(F.get("_heads", i - 1)["pos"], F.lit(-1)), h["pos"]), "")).alias("text")))
+    images = F.transform(F.filter(tokens, lambda t: is_open(t, "img")), lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "alt").alias("alt")))
+    viewport = lambda t: (F.lower(attribute(t, "name")) == "viewport") | F.lower(attribute(t, "content")).contains("viewport")
+    return df.withColumns({
+        "links": links, "images": images, "headings": heads,
+        "list_count": F.size(F.filter(tokens, lambda t: is_open(t, "ul", "ol"))),
+        "has_viewport": F.exists(tokens, lambda t: is_open(t, "meta") & viewport(t)),
+        "has_dark_mode": F.exists(tokens, lambda t: (t["kind"] == "text") & ~outside(t, "style") & t["text"].contains("prefers-color-scheme")),
+        "copy_text": strip(joined(F.filter(data, lambda t: ~in_link(t)), " ")),
+    })
+
+
+def _signals(df: DataFrame) -> DataFrame:
+    """Names in meta tags, alt texts of logo images, and the text of the footer (the element, else its class)."""
+    tokens = F.col("_tokens")
+    first = lambda found: F.get(found, 0)
+    meta = lambda key, value: F.nullif(attribute(first(F.filter(tokens, lambda t: is_open(t, "meta") & (attribute(t, key) == value))), "content"), F.lit(""))
+    df = df.withColumn("_pictures", F.transform(F.filter(tokens, lambda t: is_open(t, "img")), lambda t: F.struct(
+        *(F.lower(attribute(t, x)).alias(x) for x in ("class", "id", "src")), attribute(t, "alt").alias("alt"))))
+    with_mark = lambda field, mark: first(F.filter("_pictures", lambda p: p[field].contains(mark)))
+    logos = F.array(*(F.coalesce(with_mark("class", m), with_mark("id", m), with_mark("src", "logo"))["alt"] for m in LOGO_MARKS))
+    footer = F.coalesce(first(F.filter(tokens, lambda t: is_open(t, "footer"))), first(F.filter(
+        tokens, lambda t: (t["kind"] == "open") & ~t["tag"].isin(*sorted(markup.VOID)) & F.lower(attribute(t, "class")).contains("footer"))))
+    df = df.withColumn("_footer", footer)
+    inside = between(F.col("_seen"), F.col("_footer")["pos"], F.coalesce(F.col("_footer")["ends"], F.size(tokens)))
+    return df.withColumn("signals", F.struct(
+        meta("property", "og:site_name").alias("site_name"), meta("name", "twitter:site").alias("twitter_site"),
+        meta("name", "application-name").alias("app_name"),
+        F.filter(logos, lambda x: F.length(x).between(2, 49)).alias("logo_alts"),
+        F.when(F.col("_footer").isNotNull(), joined(inside, "")).alias("footer_text"), joined(F.col("_seen"), "").alias("all_text")))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    """Template blocks in reading order: images, headings, button links and paragraphs, each numbered in its kind.
+
+    A heading is a start tag whose next heading tag is an end tag. A paragraph begins at a text element that stands
+    neither in one nor in a heading, and lasts to the first end of a text element unless a heading begins before.
+    """
+    tokens, data, void = F.col("_tokens"), F.col("_data"), F.lit(None).cast("string")
+    words = lambda low, high: strip(F.array_join(F.transform(between(data, low, high), lambda t: strip(t["text"])), " "))
+    part = lambda kind, pos, tag=void, text=void, url=void, alt=void, width=void: F.struct(
+        F.lit(kind).alias("type"), pos.alias("at"), tag.alias("tag"), text.alias("text"), url.alias("url"), alt.alias("alt"), width.alias("width"))
+    tags = [*BLOCK_HEADINGS, *TEXT_BLOCKS]
+    df = df.withColumns({
+        "_titled": neighbours(F.filter(tokens, lambda t: t["tag"].isin(*BLOCK_HEADINGS))),
+        "_marks": F.filter(tokens, lambda t: t["tag"].isin(*tags)),
+        "_buttons": F.filter(tokens, lambda t: is_open(t, "a") & (
+            F.lower(attribute(t, "style")).rlike("|".join(BUTTON_STYLES)) | F.lower(attribute(t, "class")).rlike("|".join(BUTTON_CLASSES)))),
+    })
+    images = F.transform(F.filter(tokens, lambda t: is_open(t, "img")), lambda t: part(
+        "image", t["pos"], alt=attribute(t, "alt"), url=attribute(t, "src"), width=attribute(t, "width")))
+    titled = F.filter("_titled", lambda p: (p["one"]["kind"] == "open") & F.coalesce(p["next"]["kind"] == "close", F.lit(False)))
+    headings = F.transform(titled, lambda p: part("heading", p["next"]["pos"], p["one"]["tag"], words(p["one"]["pos"], p["next"]["pos"])))
+
+    in_heading = lambda t: F.exists("_titled", lambda p: (p["one"]["kind"] == "open") & (t["pos"] > p["one"]["pos"]) & (
+        p["next"].isNull() | (t["pos"] < p["next"]["pos"])))
+    starts = F.transform("_marks", lambda t, i: F.struct(
+        t.alias("one"), F.get("_marks", i - 1).alias("before"),
+        F.get(F.filter("_marks", lambda x: (x["pos"] > t["pos"]) & ~is_open(x, *TEXT_BLOCKS)), 0).alias("next")))
+    paragraphs = F.filter(starts, lambda p: is_open(p["one"], *TEXT_BLOCKS) & ~in_heading(p["one"]) & ~F.coalesce(
+        is_open(p["before"], *TEXT_BLOCKS), F.lit(False)) & F.coalesce(is_close(p["next"], *TEXT_BLOCKS), F.lit(False)))
+    paragraphs = F.transform(paragraphs, lambda p: part("text", p["next"]["pos"], p["one"]["tag"], words(p["one"]["pos"], p["next"]["pos"])))
+
+    df = df.withColumn("_ended", F.filter("_buttons", lambda b: b["ends"].isNotNull()))
+    told = lambda b: F.element_at(F.filter(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
+        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"]))), -1)["text"]
+    button = lambda b: part("cta", b["ends"], F.lit("a"), F.coalesce(F.nullif(strip(told(b)), F.lit("")), F.lit("Shop Now")), attribute(b, "href"))
+    with_data = lambda b: F.exists(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
+        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"])))
+    plain = lambda b: part("cta", b["ends"], F.lit("a"), F.lit("Shop Now"), attribute(b, "href"))
+    buttons = F.transform("_ended", lambda b: F.when(with_data(b), button(b)).otherwise(plain(b)))
+    number = {"cta": lambda x: F.array_position(F.transform("_buttons", lambda b: b["ends"]), x["at"]).cast("int")}
+
+    def slots(found: Column, prefix: str, kind: str) -> Column:
+        return F.transform(found, lambda x, i: x.withField("slot", F.concat(F.lit(f"{prefix}_"), number.get(kind, lambda _: i + 1)(x).cast("string"))))
+
+    df = df.withColumns({
+        "_images": slots(images, "image", "image"),
+        "_headings": slots(F.filter(headings, lambda x: F.length(x["text"]) > 2), "heading", "heading"),
+        "_paragraphs": slots(F.filter(paragraphs, lambda x: F.length(x["text"]) > 10), "body", "text"),
+        "_ctas": slots(buttons, "cta", "cta"),
+    })
+    every = F.array_sort(F.concat("_images", "_headings", "_paragraphs", "_ctas"), lambda a, b: a["at"] - b["at"])
+    return df.withColumn("blocks", F.transform(every, lambda x: F.struct(*(x[c].alias(c) for c in ("type", "slot", "tag", "text", "url", "alt", "width")))))
+
+
+PARTS = {
+    "clean": (_clean, ["clean"]),
+    "text": (_text, ["visible_text", "all_text"]),
+    "structure": (_structure, ["links", "images", "headings", "list_count", "has_viewport", "has_dark_mode", "copy_text"]),
+    "signals": (_signals, ["signals"]),
+    "blocks": (_blocks, ["blocks"]),
+}
+
+
 def html_features(df: DataFrame, parts=("text", "structure", "signals"), html: str = "html", keep_html: bool = True) -> DataFrame:
-    """Adds the requested parts as columns; the HTML is parsed once."""
-    out = df.withColumn("_f", parse_udf(parts)(F.col(html)))
-    cols = [c for c in df.columns if keep_html or c != html]
-    return out.select(*cols, "_f.*")
+    """Adds the requested parts as columns; the HTML is read once. The part ``error`` says why a page's rest could not be read."""
+    out = df.withColumn("_parsed", token_udf()(F.col(html))).withColumn("_tokens", F.col("_parsed.tokens"))
+    if set(parts) - {"clean", "error"}:
+        out = _texts(out)
+    for part in parts:
+        out = out.withColumn("error", F.col("_parsed.error")) if part == "error" else PARTS[part][0](out)
+    made = [c for part in parts for c in (["error"] if part == "error" else PARTS[part][1])]
+    return out.select(*(c for c in df.columns if keep_html or c != html), *made)
 
 
 def clean_html(df: DataFrame, html: str = "html") -> DataFrame:
@@ -65,16 +250,24 @@ def visible_text(df: DataFrame, html: str = "html") -> DataFrame:
     return out.withColumn("preview", F.left("visible_text", F.lit(PREVIEW_CHARS)))
 
 
-def template_blocks(df: DataFrame, html: str = "html") -> DataFrame:
-    """One row per template block (image, heading, cta, text), first twenty of a mail."""
-    out = html_features(df, ("blocks",), html, keep_html=False)
+def _cut(blocks: str, first: int | None, body_chars: int | None) -> Column:
+    found = F.slice(blocks, 1, first) if first is not None else F.col(blocks)
+    if body_chars is None:
+        return found
+    return F.transform(found, lambda b: F.when(b["type"] == "text", b.withField("text", F.left(b["text"], F.lit(body_chars)))).otherwise(b))
+
+
+def template_blocks(df: DataFrame, html: str = "html", first: int | None = TEMPLATE_BLOCKS, body_chars: int | None = BODY_CHARS) -> DataFrame:
+    """One row per template block (image, heading, cta, text). A template is the ``first`` blocks of a mail with texts of
+    at most ``body_chars``; None gives all blocks and whole texts."""
+    out = html_features(df, ("blocks",), html, keep_html=False).withColumn("blocks", _cut("blocks", first, body_chars))
     keys = [c for c in out.columns if c != "blocks"]
     return out.select(*keys, F.posexplode("blocks").alias("pos", "b")).select(*keys, "pos", "b.*")
 
 
-def template_structure(df: DataFrame, html: str = "html") -> DataFrame:
-    """Hero flag and block counts of every mail."""
-    out = html_features(df, ("blocks",), html, keep_html=False)
+def template_structure(df: DataFrame, html: str = "html", first: int | None = TEMPLATE_BLOCKS) -> DataFrame:
+    """Hero flag and block counts of every mail's template (its ``first`` blocks)."""
+    out = html_features(df, ("blocks",), html, keep_html=False).withColumn("blocks", _cut("blocks", first, None))
 
     def number(kind):
         return F.size(F.filter("blocks", lambda b: b["type"] == kind))
