@@ -21,10 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mailprism.llm.common import Scratch, pieces, remainder, spark_of
 
@@ -32,7 +34,8 @@ ORDER = 5  # bytes of context; at most 6, so that context and follower fit in a
 BLOCK = 32 << 20  # bytes of text that are scored together
 END = 0xFF  # never a byte of UTF-8
 ALPHABET = 256
-DENSE = 1 << 25  # entries of a table of possible strings; a larger one is replaced by sorting
+STEP = 1 << 20  # bytes of text that are numbered at once
+DENSE = 1 << 23  # entries of a table of possible strings; a larger one is replaced by sorting
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -117,10 +120,9 @@ def extract(docs: DataFrame, order: int, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(order), TaskContext.get().partitionId() << 32
         for batch in batches:
-            names, learn = batch.column(key).to_pylist(), batch.column("learn").to_pylist()
-            lists = [words_of(x) for x in batch.column("text").to_pylist()]
-            for a, b in pieces([sum(map(len, x)) for x in lists]):
-                block.add(names[a:b], learn[a:b], lists[a:b])
+            names, learn, texts = (batch.column(c).to_pylist() for c in (key, "learn", "text"))
+            for a, b in pieces([len(x or "") for x in texts], STEP):
+                block.add(names[a:b], learn[a:b], [words_of(x) for x in texts[a:b]])
                 if block.size >= BLOCK:
                     yield from (pa.RecordBatch.from_pandas(x, schema, preserve_index=False) for x in block.rows(number))
                     block, number = Block(order), number + 1
@@ -208,17 +210,18 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
         F.col("block").alias("of"), "string", F.col("lp").cast("float").alias("lp"), F.lit(None).cast("binary").alias("word"), zero.alias("seen"))
     part = part.unionByName(in_block.select(F.col("block").alias("of"), zero.alias("string"), F.lit(0).cast("float").alias("lp"), "word", "seen"))
 
-    def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        names, raw = pickle.loads(zstandard.decompress(texts["texts"].iloc[0]))
-        given = known[known["word"].isna()]
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        names, raw = pickle.loads(zstandard.decompress(texts["texts"][0].as_py()))
+        of_string = pc.is_null(known["word"])
+        given = known.filter(of_string)
         order_of = np.argsort(given["string"].to_numpy())
-        every, lp = given["string"].to_numpy()[order_of], given["lp"].to_numpy(np.float64)[order_of]
+        every, lp = given["string"].to_numpy()[order_of], given["lp"].to_numpy()[order_of].astype(np.float64)
         total = np.zeros(len(raw))
-        for a, b in pieces([len(x) for x in raw]):
+        for a, b in pieces([len(x) for x in raw], STEP):
             keys, number, owner = strings(raw[a:b], order)
             total[a:b] = np.bincount(owner, lp[np.searchsorted(every, keys)][number], b - a)
-        given = known[known["word"].notna()]
-        seen = dict(zip(given["word"], given["seen"]))
+        given = known.filter(pc.invert(of_string))
+        seen = dict(zip(given["word"].to_pylist(), given["seen"].to_pylist()))
         base, size, hits = [], [], []
         for x in raw:
             counts = np.fromiter(map(seen.__getitem__, x.split()), np.int64)
@@ -226,12 +229,14 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
             base.append(np.log10(counts + 1.0).sum() - len(counts) * np.log10(tokens + kinds + 1))
             size.append(len(counts))
             hits.append((counts > 0).sum())
-        return pd.DataFrame({key: pd.Series(names, dtype=object), "n_tokens": size, "n_known": hits, "train_tokens": tokens, "base_score": base, "score": total})
+        return pa.table({"key": pa.array(names, named), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(hits, pa.int64()),
+                         "train_tokens": pa.array([tokens] * len(names), pa.int64()), "base_score": base, "score": total})
 
+    named = to_arrow_type(docs.schema[key].dataType)
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     texts = found.where("kind = 0").select("block", "texts")
-    return texts.groupBy("block").cogroup(part.groupBy("of")).applyInPandas(score, schema)
+    return texts.groupBy("block").cogroup(part.groupBy("of")).applyInArrow(score, schema).withColumnRenamed("key", key)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -28,13 +28,6 @@ def _has(df: DataFrame, col: str) -> Column:
     return F.col(col) if col in df.columns else F.lit(None).cast("string")
 
 
-def _cut(text: Column, n: int | None) -> Column:
-    return text if n is None else F.left(text, F.lit(n))
-
-
-# --- industry by keywords ---------------------------------------------------
-
-
 def _rule_array(rows, *names) -> Column:
     """Literal array<struct<names>> of rule rows (folded to one constant)."""
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
@@ -51,18 +44,18 @@ def _points(hits: Column, slots: int, worth) -> Column:
 
 
 def industry_by_keywords(df: DataFrame, rules: Rules | None = None, min_score: int = MIN_SCORE, ambiguity: float = AMBIGUITY,
-                         body: str | None = "body_text", body_chars: int | None = None, name: str = "kw_industry") -> DataFrame:
+                         body: str | None = "body_text", name: str = "kw_industry") -> DataFrame:
     """Adds the industry with a clear lead in keyword points, else null.
 
     A keyword adds its weight once, twice when the subject contains it. The whole body
-    counts; ``body_chars`` restricts it to a prefix. A tie or a close second gives null.
+    counts. A tie or a close second gives null.
     """
     keywords = (rules or Rules()).industry_keywords
     industries = list(dict.fromkeys(i for i, _, _ in keywords))
     table = _rule_array([(industries.index(i), k, w) for i, k, w in keywords], "pos", "k", "w")
     parts = [F.col("subject"), _has(df, "preview")]
     if body and body in df.columns:
-        parts.append(_cut(F.col(body), body_chars))
+        parts.append(F.col(body))
     # the lower-case texts become columns first, so the keyword lambdas do not repeat that work
     out = df.withColumns({"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", *[F.when(p != "", p) for p in parts]))})
     hits = F.filter(table, lambda r: F.contains(F.col("_text"), r["k"]) | F.contains(F.col("_subject"), r["k"]))
@@ -86,21 +79,20 @@ def keyword_hits(df: DataFrame, rules: Rules | None = None, key: str = "id") ->
 # --- campaign type ----------------------------------------------------------
 
 
-def campaign_type(df: DataFrame, rules: Rules | None = None, body: str | None = "body_text", body_chars: int | None = None,
-                  preview_chars: int | None = None, name: str = "kw_type") -> DataFrame:
+def campaign_type(df: DataFrame, rules: Rules | None = None, body: str | None = "body_text",
+                  name: str = "kw_type") -> DataFrame:
     """Adds the campaign type: a percentage in the subject is a sale, else the best score.
 
     Scores count keywords in subject, preview and body with weights 5, 2 and 1; among the types
-    over their threshold the highest score wins, the earlier type on ties. The whole preview and
-    body count; ``preview_chars`` and ``body_chars`` restrict them to prefixes.
+    over their threshold the highest score wins, the earlier type on ties. The whole preview and body count.
     """
     kinds = [k for k, _ in dims.CAMPAIGN_TYPES]
     table = _rule_array([(kinds.index(t), k) for t, k in (rules or Rules()).type_keywords], "pos", "k")
     texts = {"_subject": (_low("subject"), "subject")}
     if "preview" in df.columns:
-        texts["_preview"] = (_cut(_low("preview"), preview_chars), "preview")
+        texts["_preview"] = (_low("preview"), "preview")
     if body and body in df.columns:
-        texts["_body"] = (_cut(_low(body), body_chars), "body")
+        texts["_body"] = (_low(body), "body")
     out = df.withColumns({c: text for c, (text, _) in texts.items()})
 
     def worth(hit):
@@ -182,8 +174,7 @@ def fuzzy_brand_match(brands: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select("brand", "m.industry", F.when(F.col("m.rank") == 0, 1.0).otherwise(0.9).alias("confidence"))
 
 
-def classify_industry(df: DataFrame, rules: Rules | None = None, labeler=None, body: str | None = "body_text",
-                      body_chars: int | None = None) -> DataFrame:
+def classify_industry(df: DataFrame, rules: Rules | None = None, labeler=None, body: str | None = "body_text") -> DataFrame:
     """Adds new_industry, new_category, classified_by and confidence.
 
     Cascade: brand map (exact, then fuzzy), labels, keywords. Unknown brands go straight to
@@ -203,7 +194,7 @@ def classify_industry(df: DataFrame, rules: Rules | None = None, labeler=None, b
         out = out.join(labels, "brand", "left")
     else:
         out = out.withColumns({"_l_ind": F.lit(None).cast("string"), "_l_cat": F.lit(None).cast("string"), "_l_conf": F.lit(None).cast("double")})
-    out = industry_by_keywords(out, rules, body=body, body_chars=body_chars, name="_k_ind")
+    out = industry_by_keywords(out, rules, body=body, name="_k_ind")
     by = (
         F.when(F.col("_m_ind").isNotNull(), "keyword").when(F.col("_l_ind").isNotNull(), "ai")
         .when(F.col("_k_ind").isNotNull(), "content"))

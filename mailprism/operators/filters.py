@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailprism.functions.scalars import floor_days, window_label
 from mailprism.functions.subjects import has_emoji
-from mailprism.operators.ranking import newest_first, counts, known_brand
+from mailprism.operators.ranking import newest_first, counts, in_months, known_brand
 
 LIST_COLUMNS = ["id", "gmail_id", "subject", "sender", "brand", "category", "type", "industry", "received_at", "preview"]
 SEARCH_COLUMNS = ["subject", "preview", "brand", "type", "industry"]
@@ -83,11 +83,11 @@ def email_detail(df: DataFrame, email_id: int) -> DataFrame:
 
 
 def subject_lines(df, brand=None, industry=None, campaign_type=None, limit=100) -> DataFrame:
-    """Newest subjects with date, length and emoji flag (at most 500)."""
+    """The ``limit`` newest subjects with date, length and emoji flag."""
     for name, value in {"brand": brand, "industry": industry, "type": campaign_type}.items():
         if value:
             df = df.where(F.col(name).ilike(value))
-    out = df.orderBy(*newest_first()).limit(min(limit, 500))
+    out = df.orderBy(*newest_first()).limit(limit)
     return out.select(
         "id", "subject", "brand", "industry", F.col("type").alias("campaign_type"),
         F.date_format("received_at", "yyyy-MM-dd").alias("date"),
@@ -140,7 +140,8 @@ def active_window(df: DataFrame, t, preferred_days: int = 1) -> DataFrame:
 
 def in_active_window(df: DataFrame, t, preferred_days: int = 1) -> DataFrame:
     """Rows of the active window (its start is a scalar subquery, no join)."""
-    return df.where(F.col("received_at") >= active_window(df, t, preferred_days).select("since").scalar())
+    since = active_window(df, t, preferred_days).select("since").scalar()
+    return in_months(df, since).where(F.col("received_at") >= since)
 
 
 def orphan_industries(df: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from mailprism.functions.scalars import (
 from mailprism.functions.subjects import (
     has_emoji, is_discount, is_personal, overlap_words, subject_formula,
 )
-from mailprism.operators.ranking import counts, known_brand, present, top_n_per
+from mailprism.operators.ranking import counts, in_months, known_brand, present, top_n_per
 
 TREND_STEP = 20.0  # percent change that counts as rising or falling
 
@@ -24,9 +24,10 @@ def weeks_slice(df: DataFrame, t, back: int, known: bool = False) -> DataFrame:
     """Rows of the week of ``t`` and ``back`` weeks before, with ``week_no`` (0 = this week)."""
     start = week_start(_ts(t))
     ts = F.col("received_at")
-    rows = df.where(
-        (ts >= start - F.make_dt_interval(F.lit(7 * back)))
-        & (ts < start + F.make_dt_interval(F.lit(7)))
+    low, high = start - F.make_dt_interval(F.lit(7 * back)), start + F.make_dt_interval(F.lit(7))
+    rows = in_months(df, low, high).where(
+        (ts >= low)
+        & (ts < high)
         & F.col("subject").isNotNull()
     )
     if known:

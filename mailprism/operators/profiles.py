@@ -8,7 +8,7 @@ fit in one task; only its distinct items do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailprism.functions.scalars import (
@@ -42,8 +42,11 @@ def _fact(section: str, item: Column) -> Column:
     return F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"))
 
 
+OPEN = ["word", "brand"]  # sections whose items are not a taxonomy
+
+
 def section_counts(df: DataFrame, by, sections, lowest=()) -> DataFrame:
-    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at).
+    """Long form (by…, section, item, cnt, chars, subjects, emoji, first_at, last_at, is_open).
 
     ``lowest`` names further columns listed as sections of their own. The subject measures are
     taken on the one ``all`` fact of a mail only. Every buffer is a number or a time, so Spark
@@ -63,6 +66,8 @@ def section_counts(df: DataFrame, by, sections, lowest=()) -> DataFrame:
         F.count_if(has_emoji(subject, "analytics")).alias("emoji"),
         F.min("received_at").alias("first_at"),
         F.max("received_at").alias("last_at"),
+        # an aggregate, so that filters on it stay above the exchange and all readers share one
+        F.max(F.col("section").isin(*OPEN)).alias("is_open"),
     )
 
 
@@ -73,18 +78,23 @@ def profile(df: DataFrame, by, sections, lowest=()) -> DataFrame:
     top ten (``n_brand`` and ``brand_mails`` still count all); the other sections are small taxonomies.
     """
     by = _cols(by)
-    ordered = Window.partitionBy(*by, "section").orderBy(F.desc("cnt"), F.asc("item"))
-    tally = section_counts(df, by, sections, lowest).withColumn("_rank", F.row_number().over(ordered))
+    tally = section_counts(df, by, sections, lowest)
+    kept = tally.where("NOT is_open")
+    opened = [s for s in sections if s in OPEN]
+    if opened:  # cut with a group limit before the shuffle: a group's words and brands never meet in one task
+        best = top_n_per(tally.where("is_open"), [*by, "section"], [F.desc("cnt"), F.asc("item")], TOP, "_rank")
+        kept = kept.unionByName(best.drop("_rank"))
+    if "brand" in opened:
+        every = tally.where("is_open").groupBy(*by).agg(*[
+            F.sum(F.when(F.col("section") == "brand", x)).alias(n) for n, x in (("cnt", F.lit(1)), ("chars", F.col("cnt")))])
+        kept = kept.unionByName(every.withColumn("section", F.lit("all brands")), allowMissingColumns=True)
     entry = F.struct((-F.col("cnt")).alias("neg"), "item", "cnt", "first_at", "last_at")
 
     def only(section, value):
         return F.when(F.col("section") == section, value)
 
     def listed(section):
-        keep = F.col("section") == section
-        if section in ("word", "brand"):
-            keep = keep & (F.col("_rank") <= TOP)
-        return F.array_sort(F.collect_list(F.when(keep, entry))).alias(section)
+        return F.array_sort(F.collect_list(only(section, entry))).alias(section)
 
     aggs = [F.max(only(ALL, F.col(c))).alias(n) for c, n in
             [("cnt", "total"), ("chars", "chars"), ("subjects", "subjects"), ("emoji", "emoji"),
@@ -92,8 +102,8 @@ def profile(df: DataFrame, by, sections, lowest=()) -> DataFrame:
     aggs += [F.min(only(c, F.col("item"))).alias(c) for c in lowest]
     aggs += [listed(s) for s in sections]
     if "brand" in sections:
-        aggs += [F.count(only("brand", F.lit(1))).alias("n_brand"), F.sum(only("brand", F.col("cnt"))).alias("brand_mails")]
-    out = tally.groupBy(*by).agg(*aggs)
+        aggs += [F.coalesce(F.max(only("all brands", F.col("cnt"))), F.lit(0)).alias("n_brand"), F.max(only("all brands", F.col("chars"))).alias("brand_mails")]
+    out = kept.groupBy(*by).agg(*aggs)
     return out.withColumns({
         "avg_subject_length": mean_len("chars", "subjects"),
         "emoji_rate": pct("emoji", "subjects"),

@@ -30,6 +30,14 @@ def has_brand(col: str = "brand") -> Column:
     return F.col(col).isNotNull()
 
 
+def in_months(df: DataFrame, low: Column, high: Column | None = None) -> DataFrame:
+    """Only the months from ``low`` to ``high`` of a table that is partitioned by month (``sources.mail.write_emails``)."""
+    if "month" not in df.columns:
+        return df
+    df = df.where(F.col("month") >= F.date_format(low, "yyyy-MM"))
+    return df if high is None else df.where(F.col("month") <= F.date_format(high, "yyyy-MM"))
+
+
 def present(col) -> Column:
     """The value, null when empty."""
     return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(""))

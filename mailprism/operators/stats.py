@@ -231,8 +231,8 @@ def brand_subject_samples(df: DataFrame, brands: list[str], n: int = 10, seed: s
 # --- brand strategy ---------------------------------------------------------
 
 
-def brand_strategy(df: DataFrame, t, brand: str | None = None, top: int = 20) -> DataFrame:
-    """Type mix in the window, industry, rate and average subject length of the busiest brands.
+def brand_strategy(df: DataFrame, t, brand: str | None = None) -> DataFrame:
+    """Type mix in the window, industry, rate and average subject length of all brands.
 
     A named brand needs five mails in the window, others ten.
     """
@@ -251,18 +251,14 @@ def brand_strategy(df: DataFrame, t, brand: str | None = None, top: int = 20) ->
         F.coalesce(F.min("industry"), F.lit("DTC/Ecommerce")).alias("industry"),
         F.array_sort(F.collect_list(kind)).alias("types"))
     need = 10 if brand is None else 5
-    out = top_n_per(out.where(F.col("total") >= need), None, [F.desc("total"), F.asc("brand")], top)
-    return out.select(
+    return out.where(F.col("total") >= need).select(
         "brand", "industry", "total", per_week("total", mode="window", days=_window_days(df, t, 30)).alias("emails_per_week"),
         F.coalesce(F.bround(ratio("chars", "subjects"), 0), F.lit(0.0)).cast("long").alias("avg_subject_length"),
         F.coalesce(F.get("types", 0)["item"], F.lit("Newsletter")).alias("top_type"), "types")
 
 
-def brand_difference(df: DataFrame, t, a: str, b: str, sample: int | None = None) -> DataFrame:
-    """First difference that holds between two brands: rate, subject length or type.
-
-    ``sample`` limits the subjects averaged per brand (by id); None averages all of them.
-    """
+def brand_difference(df: DataFrame, t, a: str, b: str) -> DataFrame:
+    """First difference that holds between two brands: rate, length of all their subjects or type."""
     rows = df.where(F.col("brand").isin(a, b))
     cells = rows.groupBy("brand", "type", "industry").agg(
         _mails(F.col("received_at") >= _since(df, t, 30)).alias("recent"), _mails().alias("cnt"),
@@ -273,10 +269,6 @@ def brand_difference(df: DataFrame, t, a: str, b: str, sample: int | None = None
         F.sum("recent").alias("total"), F.sum("chars").alias("chars"), F.sum("subjects").alias("subjects"),
         F.coalesce(F.min(vote)["v"], F.lit("Unknown")).alias("top_type"),
         F.coalesce(F.min("industry"), F.lit("DTC/Ecommerce")).alias("industry"))
-    if sample is not None:
-        some = top_n_per(rows.where(F.col("subject").isNotNull()), "brand", [F.asc("id")], sample)
-        some = some.groupBy("brand").agg(F.sum(F.length("subject")).alias("chars"), F.count("subject").alias("subjects"))
-        out = out.drop("chars", "subjects").join(some, "brand", "left")
     facts = out.select(
         "brand", F.struct(
             per_week("total", mode="window", days=_window_days(df, t, 30)).alias("rate"),

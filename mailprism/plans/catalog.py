@@ -39,20 +39,17 @@ class Inputs:
         return self.view("emails")
 
     def spread(self, df: DataFrame, source: str) -> DataFrame:
-        """For work that is heavy per row: rows of a table held in fewer files than there are cores
-        are spread over the cores. A table of many files (the normal case at scale) is left alone."""
-        cores = self.spark.sparkContext.defaultParallelism
-        files = len(self.table(source).inputFiles())
-        return df.repartition(cores) if files < cores else df
+        """For work that is heavy per row: rows spread by key, whatever the layout of the files."""
+        return df.repartition(self.spark.sparkContext.defaultParallelism, source)
 
     @property
     def mails(self) -> DataFrame:
         """The e-mails for operators that are heavy per row."""
-        return self.spread(self.emails, "events")
+        return self.spread(self.emails, "id")
 
     @property
     def html(self) -> DataFrame:
-        return self.spread(self.view("email_html"), "pages")
+        return self.spread(self.view("email_html"), "page_id")
 
     @property
     def rules(self) -> dims.Rules:

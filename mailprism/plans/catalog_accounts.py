@@ -427,5 +427,5 @@ SELECT brand, strftime(min(received_at), '%Y-%m-%d %H:%M:%S') AS window_start, s
 def _(i):
     path = scratch_path(i.spark, "session")
     jobs.run_available(jobs.activity_windows(mail_stream(i), "session"), path, "complete")
-    out = jobs.newest_state(i.spark, path, ["brand", "window_start"])
+    out = jobs.whole_result(i.spark, path)
     return out.select("brand", stamp("window_start").alias("window_start"), stamp("window_end").alias("window_end"), "emails")

@@ -299,7 +299,7 @@ WITH x AS (SELECT *, {_in(30)} AS w FROM emails WHERE brand IS NOT NULL),
 ty AS (SELECT brand, string_agg(type || ':' || n, '|' ORDER BY n DESC, type) AS v, arg_min(type, (-n, type)) AS best FROM (SELECT brand, type, count(*) AS n FROM x WHERE w AND type IS NOT NULL GROUP BY brand, type) GROUP BY brand)
 SELECT x.brand, coalesce(min(industry), 'DTC/Ecommerce') AS industry, {s.count_if('w')} AS total, round_even({d(s.count_if('w'))} / {s.window_days(30)} * 7, 1) AS emails_per_week,
  CAST(round_even({d('sum(length(subject))')} / count(subject), 0) AS BIGINT) AS avg_subject_length, coalesce(any_value(ty.best), 'Newsletter') AS top_type, coalesce(any_value(ty.v), '') AS types
-FROM x LEFT JOIN ty ON x.brand = ty.brand GROUP BY x.brand HAVING {s.count_if('w')} >= 10 ORDER BY total DESC, x.brand LIMIT 20""")
+FROM x LEFT JOIN ty ON x.brand = ty.brand GROUP BY x.brand HAVING {s.count_if('w')} >= 10""")
 def _(i):
     return st.brand_strategy(i.emails, i.t).withColumn("types", pr.listing("types"))
 
@@ -424,7 +424,7 @@ f AS (SELECT kw.doc_id, kw.pos, h.* FROM kw JOIN h ON kw.word = h.word QUALIFY r
 SELECT doc_id AS text_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, sn) AS INTEGER) AS rank, word AS keyword, id, brand, subject, coalesce(type, 'Promotional') AS type, left(coalesce(preview, ''), 120) AS preview,
  strftime(received_at, '%A') AS day FROM f QUALIFY rank <= 10""")
 def _(i):
-    texts = i.spread(i.table("documents"), "documents").select(F.col("doc_id").alias("text_id"), "text")
+    texts = i.spread(i.table("documents"), "doc_id").select(F.col("doc_id").alias("text_id"), "text")
     return st.topic_match(i.mails, texts, i.t)
 
 

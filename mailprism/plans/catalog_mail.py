@@ -145,7 +145,7 @@ def _(i):
 WITH {s.keyword_cte('documents', 'doc_id', 'text')}
 SELECT d.doc_id, coalesce((SELECT string_agg(word, ' ' ORDER BY pos) FROM kw WHERE kw.doc_id = d.doc_id), '') AS keywords FROM documents d""")
 def _(i):
-    return i.spread(i.table("documents"), "documents").select("doc_id", F.array_join(sub.keywords("text"), " ").alias("keywords"))
+    return i.spread(i.table("documents"), "doc_id").select("doc_id", F.array_join(sub.keywords("text"), " ").alias("keywords"))
 
 
 @query("f15_window_label", f"""
@@ -269,7 +269,7 @@ def _(i):
 
 @query("p08_subject_lines", f"""
 SELECT id, subject, brand, industry, type AS campaign_type, strftime(received_at, '%Y-%m-%d') AS date, CAST(length(subject) AS BIGINT) AS length,
- {s.emoji('subject', 'analytics')} AS has_emoji FROM emails WHERE brand ILIKE 'k%' ORDER BY received_at DESC, id LIMIT 500""")
+ {s.emoji('subject', 'analytics')} AS has_emoji FROM emails WHERE brand ILIKE 'k%' ORDER BY received_at DESC, id LIMIT 900""")
 def _(i):
     return fl.subject_lines(i.emails, brand="k%", limit=900)
 

@@ -26,7 +26,7 @@ def stamp(col):
 _INDS = list(dict.fromkeys(i for i, _, _ in RULES.industry_keywords))
 KW = f"ikw(pos, industry, k, w) AS (VALUES {s.values([(_INDS.index(i), i, k, w) for i, k, w in RULES.industry_keywords])})"
 TK = f"tkw(type, k) AS (VALUES {s.values(RULES.type_keywords)}), tneed(pos, type, need) AS (VALUES {s.values([(n, t, x) for n, (t, x) in enumerate(dims.CAMPAIGN_TYPES)])})"
-KEYS = f"bkey(pos, key, industry) AS (VALUES {s.values(RULES.brand_industry_rows())})"
+KEYS = f"bkey(pos, key, industry) AS (VALUES {s.values([(n, k, v) for n, (k, v) in enumerate(RULES.brand_industry)])})"
 SENDERS = f"known(pos, key, brand) AS (VALUES {s.values([(n, k, b) for n, (k, b) in enumerate(RULES.known_senders)])})"
 
 

@@ -32,9 +32,13 @@ def build_session(app: str = "mailprism", master: str | None = None, **conf) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The folder named by the cluster. Where none is set, a local session gets a temporary one; on a cluster that
+    folder would be another one on every machine, so there it is an error."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="mailprism-")
         spark.conf.set(CHECKPOINT_KEY, folder)
     if spark.sparkContext.getCheckpointDir() is None:

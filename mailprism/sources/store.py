@@ -51,6 +51,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def keep_only(spark: SparkSession, folder: str, name: str) -> None:
+    """Delete all entries of ``folder`` but ``name``."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in system.listStatus(target):
+        if entry.getPath().getName() != name:
+            system.delete(entry.getPath(), True)
+
+
 def skip_listed(batch: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Batch rows whose key is not in a list of processed ids."""
     return batch.join(ids.select(F.trim("value").alias(key)).where(F.col(key) != ""), key, "left_anti")

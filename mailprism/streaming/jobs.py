@@ -29,10 +29,13 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_tri
 def run_available(stream: DataFrame, path: str, mode: str = "update", checkpoint: str | None = None) -> None:
     """Process everything that is available; each micro-batch replaces its own folder below ``path``.
 
-    A batch that is retried after a failure overwrites the same folder, so no row is doubled.
+    A batch that is retried after a failure overwrites the same folder, so no row is doubled. In complete mode a
+    batch is the whole result: once it is written, the folders of the batches before it are removed.
     """
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        if mode == "complete":
+            store.keep_only(batch.sparkSession, f"{path}/data", f"batch={batch_id}")
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
@@ -40,6 +43,11 @@ def run_available(stream: DataFrame, path: str, mode: str = "update", checkpoint
     query.awaitTermination()
 
 
+def whole_result(spark: SparkSession, path: str) -> DataFrame:
+    """Result of a complete-mode stream after its last batch."""
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").drop("batch")
+
+
 def newest_state(spark: SparkSession, path: str, keys) -> DataFrame:
     """Latest emitted row of every key of an update-mode stream."""
     rows = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
@@ -124,6 +132,7 @@ def start_ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
     def append(batch, batch_id):
         rows = mail.ingest(mail.with_headers(batch), t, rules, staging=f"{checkpoint}-staging/batch={batch_id}")
         store.append_to(batch.sparkSession, target, rows, "gmail_id")
+        store.keep_only(batch.sparkSession, f"{checkpoint}-staging", "")
 
     writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     if available_now:

@@ -58,10 +58,9 @@ def test_type_against_loop(sample):
     assert got == {i: label(s, p, b) for i, s, p, b in texts()}
 
 
-def test_prefix_parameters(table):
+def test_whole_body_counts(table):
     rows = table([(1, "hi", None, "x" * 50 + " sofa furniture mattress")], "id long, subject string, preview string, body_text string")
     assert classify.industry_by_keywords(rows, RULES).collect()[0]["kw_industry"] == "Home & Living"
-    assert classify.industry_by_keywords(rows, RULES, body_chars=20).collect()[0]["kw_industry"] is None
 
 
 def test_percent_rating_is_not_an_early_sale(table):
@@ -103,9 +102,19 @@ def test_fuzzy_match_against_loop(spark):
     assert got == want
 
 
-def test_last_value_first_position():
+def test_last_value_first_position(spark):
     rules = dims.Rules(brand_industry=[("a", "X"), ("b", "Y"), ("a", "Z")])
-    assert rules.brand_industry_rows() == [(0, "a", "Z"), (1, "b", "Y")]
+    assert [tuple(r) for r in dims.brand_industry_table(spark, rules).orderBy("pos").collect()] == [(0, "a", "Z"), (1, "b", "Y")]
+
+
+def test_large_brand_map_is_joined(spark, tmp_path):
+    (tmp_path / "brand_industry.csv").mkdir()
+    lines = "".join(f"{n},brand number {n},Pets\n" for n in range(12_000))
+    (tmp_path / "brand_industry.csv" / "p.csv").write_text("pos,key,industry\n" + lines)
+    rules = dims.Rules.load(spark, str(tmp_path), ["brand_industry"])
+    names = spark.createDataFrame([("Brand Number 11999",), ("Elsewhere",)], "brand string")
+    got = classify.exact_brand_match(names, dims.brand_industry_table(spark, rules)).collect()
+    assert {r["brand"]: r["industry"] for r in got} == {"Brand Number 11999": "Pets", "Elsewhere": None}
 
 
 def test_rules_from_files(spark, tmp_path):

@@ -129,3 +129,51 @@ def test_read_write_emails(spark, emails, tmp_path):
     assert "html" not in back.columns and back.count() == emails.count()
     assert spark.read.parquet(str(tmp_path / "h")).where("month = '2024-01'").count() == emails.count()
     assert store.LABEL_COLUMNS[0] == "brand_name"
+
+
+def test_weekly_reports_open_their_months_only(spark, mails, tmp_path):
+    from mailprism.operators import insights
+
+    made = mails([("A", f"2024-0{m}-1{d} 10:00:00", "hello there") for m in (1, 2, 3) for d in (0, 1, 8)])
+    path = str(tmp_path / "emails")
+    mail.write_emails(made, path)
+    report = insights.weeks_slice(mail.read_emails(spark, path), "2024-03-19 00:00:00", 1)
+    assert report.count() == 2
+    plan = report._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "2024-03" in plan
+    assert all("month=2024-03" in f for f in {r[0] for r in report.select("_metadata.file_path").collect()})
+
+
+def test_html_at_any_depth(spark, tmp_path):
+    import base64
+    import json
+
+    def nested(level):
+        part = {"mimeType": "text/html", "body": {"data": base64.urlsafe_b64encode(f"<p>{level}</p>".encode()).decode()}}
+        for _ in range(level - 1):
+            part = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "text/plain", "body": {"data": "eA"}}, part]}
+        return {"id": f"m{level}", "payload": {"mimeType": "multipart/mixed", "headers": [], "parts": [part]}}
+
+    (tmp_path / "box.json").write_text("\n".join(json.dumps(nested(n)) for n in range(1, 41)))
+    rows = mail.extract_body(mail.read_messages(spark, str(tmp_path))).collect()
+    assert {r["id"]: r["html"] for r in rows} == {f"m{n}": f"<p>{n}</p>" for n in range(1, 41)}
+
+
+def test_sessions_over_several_batches(spark, mails, tmp_path):
+    from pyspark.sql import functions as F
+
+    from mailprism.streaming import jobs
+
+    times = ["2024-01-09 10:00:00", "2024-01-10 20:00:00", "2024-01-12 01:00:00", "2024-01-20 00:00:00", "2024-01-08 09:00:00", "2024-01-21 23:00:00", "2024-01-30 00:00:00"]
+    made = mails([("A", t, "x") for t in times])
+    want = sorted((r["w"]["start"], r["emails"]) for r in made.groupBy(F.session_window("received_at", "48 hours").alias("w")).agg(F.count("id").alias("emails")).collect())
+    for files in (1, 3, 7):
+        source = tmp_path / f"in{files}"
+        for n, start in enumerate(reversed(range(0, 7, 7 // files if files < 7 else 1))):
+            part = made.where((F.col("id") >= start) & (F.col("id") < start + (7 // files if files < 7 else 1)))
+            part.coalesce(1).write.parquet(str(source / f"p{n}"))
+        stream = spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(source))
+        path = str(tmp_path / f"out{files}")
+        jobs.run_available(jobs.activity_windows(stream, "session", "90 days"), path, "complete")
+        got = sorted((r["window_start"], r["emails"]) for r in jobs.whole_result(spark, path).collect())
+        assert got == want
