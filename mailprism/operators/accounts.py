@@ -160,29 +160,68 @@ def reminder_cohort(users: DataFrame, t) -> DataFrame:
     return out.withColumn("trial_emails_sent", F.to_json(F.array_append("_sent", F.col("reminder")))).drop("_sent")
 
 
-def fold_events(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """(key, last_charge, cancelled): a charge counts only before the first cancellation."""
-    charged, cancelled = F.col("event") == "subscription.charged", F.col("event") == "subscription.cancelled"
+STATE = ["subscription_id", "tier", "billing_cycle", "activated_at", "last_charge", "cancelled"]
+
+
+def fold_events(events: DataFrame, state: DataFrame | None = None, key: str = "user_id") -> DataFrame:
+    """Subscription of every user after payment events: key, subscription_id, tier, billing_cycle, activated_at,
+    last_charge, cancelled.
+
+    An activation starts a new subscription with its tier and billing cycle; charges and cancellations count only
+    for the subscription that is current, and charges only until it is cancelled. So a user's last activation and
+    what follows it decide. ``state`` is what events before these have led to; a user without it and without an
+    activation has the subscription of the first event. Only aggregations and joins by user: no user's events are
+    sorted or gathered.
+    """
     stamp = F.struct("event_time", "event_id")
-    stops = events.where(cancelled).groupBy(key).agg(F.min(stamp).alias("_stop"))
-    seen = events.where(charged | cancelled).join(stops, key, "left")
-    alive = charged & (F.col("_stop").isNull() | (stamp < F.col("_stop")))
-    return seen.groupBy(key).agg(
-        F.max(F.when(alive, F.col("event_time"))).alias("last_charge"),
-        F.coalesce(F.bool_or(cancelled), F.lit(False)).alias("cancelled"))
+    named = F.struct("subscription_id", "tier", "billing_cycle", "event_time", "event_id")
+    started = F.col("event") == "subscription.activated"
+    known = F.col("event").isin("subscription.activated", "subscription.charged", "subscription.cancelled")
+    now = events.where(known).groupBy(key).agg(F.max_by(F.when(started, named), F.when(started, stamp)).alias("new"),
+                                               F.min(F.struct("event_time", "event_id", "subscription_id")).alias("first"))
+    if state is None:
+        old = now.select(key, F.lit(None).cast("struct<subscription_id:string,tier:string,billing_cycle:string,activated_at:timestamp,"
+                                               "last_charge:timestamp,cancelled:boolean>").alias("old"))
+    else:
+        old = state.select(key, F.struct(*STATE).alias("old"))
+    base = old.join(now, key, "full_outer").select(
+        key, "new", "old", F.coalesce("new.subscription_id", "old.subscription_id", "first.subscription_id").alias("current"))
+    after = events.join(base.select(key, F.col("current").alias("_c"), F.struct("new.event_time", "new.event_id").alias("_since"),
+                                    F.col("new").isNotNull().alias("_new")), key)
+    after = after.where((F.col("subscription_id") == F.col("_c")) & (~F.col("_new") | (stamp > F.col("_since"))))
+    stops = after.where(F.col("event") == "subscription.cancelled").groupBy(key).agg(F.min(stamp).alias("stop"))
+    charges = after.where(F.col("event") == "subscription.charged").join(stops, key, "left").where(F.col("stop").isNull() | (stamp < F.col("stop")))
+    charges = charges.groupBy(key).agg(F.max("event_time").alias("charge"))
+    out = base.join(stops, key, "left").join(charges, key, "left")
+    fresh = F.col("new").isNotNull()
+    gone = ~fresh & F.coalesce("old.cancelled", F.lit(False))
+    return out.select(
+        key, F.col("current").alias("subscription_id"), F.when(fresh, F.col("new.tier")).otherwise(F.col("old.tier")).alias("tier"),
+        F.when(fresh, F.col("new.billing_cycle")).otherwise(F.col("old.billing_cycle")).alias("billing_cycle"),
+        F.when(fresh, F.col("new.event_time")).otherwise(F.col("old.activated_at")).alias("activated_at"),
+        F.when(fresh, F.col("charge")).otherwise(F.coalesce(F.when(~gone, F.col("charge")), F.col("old.last_charge"))).alias("last_charge"),
+        (gone | F.col("stop").isNotNull()).alias("cancelled"))
 
 
 def fold_payments(users: DataFrame, events: DataFrame) -> DataFrame:
-    """Users with the expiry and subscription flag their payment events lead to."""
-    state = fold_events(events).withColumnRenamed("user_id", "id")
+    """Users with the tier, billing cycle, expiry and subscription flag their payment events lead to.
+
+    ``users`` has the ``subscription_id`` they start with. An activation or a charge sets the expiry.
+    """
+    none = F.lit(None).cast("timestamp")
+    start = users.select(F.col("id").alias("user_id"), "subscription_id", F.col("subscription_tier").alias("tier"), "billing_cycle",
+                         none.alias("activated_at"), none.alias("last_charge"), F.lit(False).alias("cancelled"))
+    state = fold_events(events, start).withColumnsRenamed({"user_id": "id", **{c: f"_{c}" for c in STATE}})
     out = users.join(state, "id", "left")
-    annual = F.coalesce(F.col("billing_cycle") == "annual", F.lit(False))
+    annual = F.coalesce(F.col("_billing_cycle") == "annual", F.lit(False))
     days = F.when(annual, CHARGE_DAYS["annual"]).otherwise(CHARGE_DAYS["monthly"])
-    expiry = F.col("last_charge") + F.make_dt_interval(days)
+    expiry = F.coalesce("_last_charge", "_activated_at") + F.make_dt_interval(days)
     return out.withColumns({
         "subscription_expires_at": F.coalesce(expiry, "subscription_expires_at"),
-        "has_subscription": ~F.coalesce("cancelled", F.lit(False)),
-    }).drop("last_charge", "cancelled")
+        "subscription_tier": F.col("_tier"), "billing_cycle": F.col("_billing_cycle"),
+        "subscription_id": F.when(~F.col("_cancelled"), F.col("_subscription_id")),
+        "has_subscription": ~F.coalesce("_cancelled", F.lit(False)),
+    }).drop(*(f"_{c}" for c in STATE))
 
 
 # --- library ----------------------------------------------------------------

@@ -119,16 +119,24 @@ def _(i):
     return ac.reminder_cohort(i.view("users"), i.t).select("id", "reminder", "days_left", "trial_emails_sent")
 
 
-_FOLD = """st AS (SELECT user_id, min((event_time, event_id)) AS stop FROM payment_events WHERE event = 'subscription.cancelled' GROUP BY user_id),
-fd AS (SELECT p.user_id, max(event_time) FILTER (WHERE event = 'subscription.charged' AND (stop IS NULL OR (event_time, event_id) < stop)) AS last_charge, bool_or(event = 'subscription.cancelled') AS cancelled FROM payment_events p LEFT JOIN st ON p.user_id = st.user_id GROUP BY p.user_id)"""
+_FOLD = """la AS (SELECT user_id, max((event_time, event_id)) AS since FROM payment_events WHERE event = 'subscription.activated' GROUP BY user_id),
+cu AS (SELECT p.user_id, p.subscription_id AS cur, p.tier, p.billing_cycle, p.event_time AS act, since FROM payment_events p JOIN la ON p.user_id = la.user_id AND (p.event_time, p.event_id) = since),
+ev AS (SELECT p.user_id, p.event, p.event_time, p.event_id FROM payment_events p LEFT JOIN cu ON p.user_id = cu.user_id
+ WHERE p.subscription_id = coalesce(cur, concat('sub', CAST(p.user_id AS VARCHAR), '-0')) AND (since IS NULL OR (p.event_time, p.event_id) > since)),
+st AS (SELECT user_id, min((event_time, event_id)) AS stop FROM ev WHERE event = 'subscription.cancelled' GROUP BY user_id),
+ch AS (SELECT ev.user_id, max(event_time) AS charge FROM ev LEFT JOIN st ON ev.user_id = st.user_id WHERE event = 'subscription.charged' AND (stop IS NULL OR (event_time, event_id) < stop) GROUP BY ev.user_id),
+fd AS (SELECT u.user_id, coalesce(cur, concat('sub', CAST(u.user_id AS VARCHAR), '-0')) AS subscription_id, tier, billing_cycle, act, charge, stop IS NOT NULL AS cancelled
+ FROM (SELECT DISTINCT user_id FROM payment_events) u LEFT JOIN cu ON u.user_id = cu.user_id LEFT JOIN st ON u.user_id = st.user_id LEFT JOIN ch ON u.user_id = ch.user_id)"""
 
 
 @query("e09_fold_payments", f"""
-WITH {_FOLD} SELECT u.id, strftime(coalesce(last_charge + to_days(CASE WHEN billing_cycle = 'annual' THEN 370 ELSE 35 END), subscription_expires_at), '%Y-%m-%d %H:%M:%S') AS expires_at, NOT coalesce(cancelled, false) AS has_subscription
+WITH {_FOLD} SELECT u.id, strftime(coalesce(coalesce(charge, act) + to_days(CASE WHEN coalesce(fd.billing_cycle, u.billing_cycle) = 'annual' THEN 370 ELSE 35 END), subscription_expires_at), '%Y-%m-%d %H:%M:%S') AS expires_at,
+ NOT coalesce(cancelled, false) AS has_subscription, coalesce(fd.tier, subscription_tier) AS subscription_tier, coalesce(fd.billing_cycle, u.billing_cycle) AS billing_cycle,
+ CASE WHEN NOT coalesce(cancelled, false) THEN coalesce(fd.subscription_id, u.subscription_id) END AS subscription_id
 FROM users u LEFT JOIN fd ON u.id = fd.user_id""")
 def _(i):
     out = ac.fold_payments(i.view("users"), i.view("payment_events"))
-    return out.select("id", stamp("subscription_expires_at").alias("expires_at"), "has_subscription")
+    return out.select("id", stamp("subscription_expires_at").alias("expires_at"), "has_subscription", "subscription_tier", "billing_cycle", "subscription_id")
 
 
 @query("a20_admin_metrics", f"""
@@ -384,13 +392,14 @@ def _(i):
     return jobs.newest_state(i.spark, path, ["week_start", "formula"]).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 
-@query("r04_payment_state_stream", f"WITH {_FOLD} SELECT user_id, coalesce(strftime(last_charge, '%Y-%m-%d %H:%M:%S'), 'never') AS last_charge, cancelled FROM fd")
+@query("r04_payment_state_stream", f"WITH {_FOLD} SELECT user_id, subscription_id, tier, billing_cycle, coalesce(strftime(act, '%Y-%m-%d %H:%M:%S'), 'never') AS activated_at, coalesce(strftime(charge, '%Y-%m-%d %H:%M:%S'), 'never') AS last_charge, cancelled FROM fd")
 def _(i):
-    events = jobs.read_table_stream(i.spark, i.sf_dir, "events").where("event_type IN ('purchase', 'error')")
-    kind = F.when(F.col("event_type") == "purchase", "subscription.charged").otherwise("subscription.cancelled")
-    rows = events.select("event_id", "user_id", F.col("ts").alias("event_time"), kind.alias("event"))
-    out = jobs.payment_state(i.spark, rows, scratch_path(i.spark, "payments"))
-    return out.select("user_id", F.coalesce(stamp("last_charge"), F.lit("never")).alias("last_charge"), "cancelled")
+    source = f"{scratch_path(i.spark, 'payment-events')}/events"
+    i.view("payment_events").write.parquet(source)
+    events = i.spark.readStream.schema(i.spark.read.parquet(source).schema).parquet(source)
+    out = jobs.payment_state(i.spark, events, scratch_path(i.spark, "payments"))
+    never = lambda c: F.coalesce(stamp(c), F.lit("never")).alias(c)
+    return out.select("user_id", "subscription_id", "tier", "billing_cycle", never("activated_at"), never("last_charge"), "cancelled")
 
 
 @query("r05_usage_stream", """

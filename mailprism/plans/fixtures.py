@@ -78,14 +78,21 @@ users AS (SELECT c_custkey AS id, concat('user', CAST(c_custkey AS STRING), '@ex
   CAST(DATE '2023-12-22' + CAST(c_custkey % 47 AS INT) AS TIMESTAMP) AS trial_ends_at,
   CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '2024-06-01 00:00:00' END AS subscription_expires_at,
   CASE WHEN c_custkey % 2 = 0 THEN 'monthly' ELSE 'annual' END AS billing_cycle,
-  CASE WHEN c_custkey % 4 = 0 THEN '["day4"]' END AS trial_emails_sent FROM customer),
+  CASE WHEN c_custkey % 4 = 0 THEN '["day4"]' END AS trial_emails_sent,
+  concat('sub', CAST(c_custkey AS STRING), '-0') AS subscription_id FROM customer),
 usage_daily AS (SELECT user_id, CAST(ts AS DATE) AS usage_date, sum(CASE WHEN event_type='view' THEN 1 ELSE 0 END) AS html_views,
   sum(CASE WHEN event_type='click' THEN 1 ELSE 0 END) AS brand_views, sum(CASE WHEN event_type='purchase' THEN 1 ELSE 0 END) AS html_exports,
   sum(CASE WHEN event_type='signup' THEN 1 ELSE 0 END) AS ai_generations FROM events GROUP BY user_id, CAST(ts AS DATE)),
 bookmarks AS (SELECT o_custkey AS user_id, o_orderkey % (SELECT count(*) FROM events) AS email_id, CAST(min(o_orderdate) AS TIMESTAMP) AS created_at
   FROM orders GROUP BY o_custkey, o_orderkey % (SELECT count(*) FROM events)),
-payment_events AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS event_time, CASE event_type WHEN 'purchase' THEN 'subscription.charged' ELSE 'subscription.cancelled' END AS event
-  FROM events WHERE event_type IN ('purchase','error')),
+payment_events AS (SELECT event_id, user_id, event_time, event,
+  concat('sub', CAST(user_id AS STRING), '-', CAST(CASE WHEN event <> 'subscription.activated' AND event_id % 7 = 0 AND started > 0 THEN started - 1 ELSE started END AS STRING)) AS subscription_id,
+  CASE WHEN event = 'subscription.activated' THEN CASE event_id % 2 WHEN 0 THEN 'starter' ELSE 'pro' END END AS tier,
+  CASE WHEN event = 'subscription.activated' THEN CASE event_id % 3 WHEN 0 THEN 'annual' ELSE 'monthly' END END AS billing_cycle
+  FROM (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS event_time,
+   CASE event_type WHEN 'purchase' THEN 'subscription.charged' WHEN 'signup' THEN 'subscription.activated' ELSE 'subscription.cancelled' END AS event,
+   count(CASE WHEN event_type = 'signup' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS started
+   FROM events WHERE event_type IN ('purchase','error','signup')) pe),
 follows AS (SELECT o_custkey AS user_id, concat('brand', CAST(o_orderkey % 23 AS STRING)) AS brand_name, CAST(min(o_orderdate) AS TIMESTAMP) AS created_at
   FROM orders GROUP BY o_custkey, concat('brand', CAST(o_orderkey % 23 AS STRING))),
 collections AS (SELECT o_orderkey AS id, o_custkey AS user_id, concat('Board ', o_orderpriority) AS name, CAST(o_orderdate AS TIMESTAMP) AS created_at

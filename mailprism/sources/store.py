@@ -51,14 +51,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _system(spark: SparkSession, path: str):
+    """(file system, path) as the JVM knows them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    system, target = _system(spark, folder)
+    return [entry.getPath().getName() for entry in system.listStatus(target)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _system(spark, path)
+    system.delete(target, True)
+
+
 def keep_only(spark: SparkSession, folder: str, name: str) -> None:
     """Delete all entries of ``folder`` but ``name``."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in system.listStatus(target):
-        if entry.getPath().getName() != name:
-            system.delete(entry.getPath(), True)
+    for entry in names(spark, folder):
+        if entry != name:
+            remove(spark, f"{folder}/{entry}")
 
 
 def skip_listed(batch: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

@@ -97,30 +97,24 @@ def activity_windows(stream: DataFrame, kind: str = "sliding", delay: str = "7 d
 
 
 def payment_state(spark: SparkSession, events: DataFrame, path: str, key: str = "user_id") -> DataFrame:
-    """Subscription state kept by a stream of payment events, in arrival order of the batches.
+    """Subscriptions kept by a stream of payment events, in arrival order of the batches.
 
-    Every micro-batch is folded with partial aggregates and merged with the state written by the
-    batch before it; a retried batch rewrites its own version.
+    Every micro-batch is folded into the state that the batch before it wrote; a retried batch rewrites its own
+    version. The version before it stays for that, older ones are removed.
     """
     def merge(batch, batch_id):
         session = batch.sparkSession
-        now = fold_events(batch, key)
-        if batch_id > 0:
-            old = session.read.parquet(f"{path}/state/v{batch_id - 1}")
-            old = old.select(key, F.col("last_charge").alias("_c"), F.col("cancelled").alias("_x"))
-            both = old.join(now, key, "full_outer")
-            now = both.select(
-                key, F.when(F.coalesce("_x", F.lit(False)), F.col("_c")).otherwise(F.coalesce("last_charge", "_c")).alias("last_charge"),
-                (F.coalesce("_x", F.lit(False)) | F.coalesce("cancelled", F.lit(False))).alias("cancelled"))
-        now.write.mode("overwrite").parquet(f"{path}/state/v{batch_id}")
+        old = session.read.parquet(f"{path}/state/v{batch_id - 1}") if batch_id > 0 else None
+        fold_events(batch, old, key).write.mode("overwrite").parquet(f"{path}/state/v{batch_id}")
+        if batch_id > 1:
+            store.remove(session, f"{path}/state/v{batch_id - 2}")
 
     query = (
         events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
         .trigger(availableNow=True).start())
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    version = last if store._exists(spark, f"{path}/state/v{last}") else last - 1
-    return spark.read.parquet(f"{path}/state/v{version}")
+    written = [int(name[1:]) for name in store.names(spark, f"{path}/state") if store._exists(spark, f"{path}/state/{name}/_SUCCESS")]
+    return spark.read.parquet(f"{path}/state/v{max(written)}")
 
 
 def start_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, t, rules=None, files_per_trigger: int = 16,

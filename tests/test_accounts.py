@@ -8,6 +8,7 @@ from mailprism.operators import accounts
 from mailprism.sources import store
 
 USER = "id long, subscription_tier string, subscription_expires_at string, trial_ends_at string, billing_cycle string, trial_emails_sent string"
+EVENT = "event_id long, user_id long, event_time string, event string, subscription_id string, tier string, billing_cycle string"
 
 
 def users(table, rows):
@@ -31,13 +32,36 @@ def test_reminder_windows(table):
     assert got == {0: ("day4", '["day4"]'), 1: ("day6", '["day6"]'), 3: ("day8", '["day8"]')}
 
 
-def test_charges_after_a_cancellation_are_ignored(table):
-    ev = table([(1, 7, "2024-01-01 00:00:00", "subscription.charged"), (2, 7, "2024-01-05 00:00:00", "subscription.cancelled"), (3, 7, "2024-01-09 00:00:00", "subscription.charged"),
-                (4, 8, "2024-01-02 00:00:00", "subscription.charged"), (5, 8, "2024-01-03 00:00:00", "other")], "event_id long, user_id long, event_time string, event string")
-    ev = ev.withColumn("event_time", F.col("event_time").cast("timestamp"))
-    rows = users(table, [(7, "pro", None, None, "monthly", None), (8, "pro", None, None, "annual", None), (9, "pro", "2024-05-05", None, None, None)])
-    got = {r["id"]: (str(r["subscription_expires_at"]), r["has_subscription"]) for r in accounts.fold_payments(rows, ev).collect()}
-    assert got == {7: ("2024-02-05 00:00:00", False), 8: ("2025-01-06 00:00:00", True), 9: ("2024-05-05 00:00:00", True)}
+def payments(table, rows):
+    full = [(n, u, t, f"subscription.{e}", s, *(extra or (None, None))) for n, (u, t, e, s, *extra) in enumerate(rows)]
+    return table(full, EVENT).withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
+PAYMENTS = [
+    (7, "2024-01-01", "charged", "a"), (7, "2024-01-05", "cancelled", "a"), (7, "2024-01-09", "charged", "a"),  # nothing after the end
+    (8, "2024-01-02", "charged", "b"), (8, "2024-01-03", "paused", "b"),
+    (10, "2024-01-02", "charged", "c"), (10, "2024-01-03", "cancelled", "c"), (10, "2024-01-10", "activated", "c2", "starter", "annual"),  # comes back
+    (10, "2024-01-12", "charged", "c"), (10, "2024-01-11", "cancelled", "c"),  # of the old one
+    (11, "2024-01-02", "activated", "d2", "pro", "monthly"), (11, "2024-01-20", "charged", "d2"), (11, "2024-01-25", "cancelled", "d2"),
+]
+USERS_BEFORE = [(7, "pro", None, None, "monthly", None), (8, "pro", None, None, "annual", None), (9, "pro", "2024-05-05", None, None, None),
+                (10, "pro", None, None, "monthly", None), (11, "free", None, None, None, None)]
+
+
+def test_payments_by_subscription(table):
+    rows = users(table, USERS_BEFORE).withColumn("subscription_id", F.element_at(F.array(*map(F.lit, "abzcd")), (F.col("id") - 6).cast("int")))
+    got = {r["id"]: (str(r["subscription_expires_at"])[:10], r["has_subscription"], r["subscription_tier"], r["subscription_id"]) for r in accounts.fold_payments(rows, payments(table, PAYMENTS)).collect()}
+    assert got == {7: ("2024-02-05", False, "pro", None), 8: ("2025-01-06", True, "pro", "b"), 9: ("2024-05-05", True, "pro", "z"),
+                   10: ("2025-01-14", True, "starter", "c2"), 11: ("2024-02-24", False, "pro", None)}
+
+
+def test_payments_fold_batch_by_batch(spark, table):
+    whole = {r["user_id"]: r.asDict() for r in accounts.fold_events(payments(table, sorted(PAYMENTS, key=lambda r: r[1]))).collect()}
+    state, rows = None, sorted(PAYMENTS, key=lambda r: r[1])
+    for at in range(0, len(rows), 3):
+        found = accounts.fold_events(payments(table, rows[at:at + 3]), state)
+        state = spark.createDataFrame(found.collect(), found.schema)
+    assert {r["user_id"]: r.asDict() for r in state.collect()} == whole
 
 
 def test_limits_and_upgrades(spark, table):

@@ -113,13 +113,17 @@ def test_stream_replay_equals_batch(spark, emails, tmp_path, files):
 
 
 def test_payment_stream_in_batches(spark, table, tmp_path):
-    events = [(1, 7, "2024-01-01 00:00:00", "subscription.charged"), (2, 7, "2024-01-05 00:00:00", "subscription.cancelled"), (3, 7, "2024-01-09 00:00:00", "subscription.charged"), (4, 8, "2024-01-09 00:00:00", "subscription.charged")]
-    schema = "event_id long, user_id long, event_time timestamp, event string"
-    for n, e in enumerate(events):
-        table([e], "event_id long, user_id long, event_time string, event string").withColumn("event_time", F.col("event_time").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
-    got = {r["user_id"]: (str(r["last_charge"]), r["cancelled"]) for r in jobs.payment_state(spark, stream, str(tmp_path / "st")).collect()}
-    assert got == {7: ("2024-01-01 00:00:00", True), 8: ("2024-01-09 00:00:00", False)}
+    events = [(1, 7, "2024-01-01 00:00:00", "charged", "a"), (2, 7, "2024-01-05 00:00:00", "cancelled", "a"), (3, 7, "2024-01-09 00:00:00", "charged", "a"),
+              (4, 8, "2024-01-09 00:00:00", "charged", "b"), (5, 7, "2024-01-10 00:00:00", "activated", "a2"), (6, 7, "2024-01-11 00:00:00", "charged", "a2")]
+    schema = "event_id long, user_id long, event_time timestamp, event string, subscription_id string, tier string, billing_cycle string"
+    for n, (i, u, t, e, s) in enumerate(events):
+        made = table([(i, u, t, f"subscription.{e}", s, None, None)], schema.replace("timestamp", "string")).withColumn("event_time", F.col("event_time").cast("timestamp"))
+        made.coalesce(1).write.parquet(str(tmp_path / "ev" / f"p{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "ev"))
+    for _ in range(2):  # the second run finds no new events
+        got = {r["user_id"]: (r["subscription_id"], str(r["last_charge"]), r["cancelled"]) for r in jobs.payment_state(spark, stream, str(tmp_path / "st")).collect()}
+        assert got == {7: ("a2", "2024-01-11 00:00:00", False), 8: ("b", "2024-01-09 00:00:00", False)}
+    assert len(store.names(spark, str(tmp_path / "st/state"))) == 2
 
 
 def test_read_write_emails(spark, emails, tmp_path):
