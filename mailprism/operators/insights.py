@@ -117,7 +117,7 @@ def biggest_mover(df: DataFrame, t, min_emails: int = 3) -> DataFrame:
 # --- sequences --------------------------------------------------------------
 
 
-def longest_runs(df: DataFrame, max_days: int = 7, min_count: int = 3, bucket_minutes: int = 60) -> DataFrame:
+def longest_runs(df: DataFrame, max_days: int = 7, min_count: int = 3, bucket_minutes: int = 1) -> DataFrame:
     """Per brand the anchor mail time with the most mails in [t, t + max_days + 1 days).
 
     (brand, anchor, run_count); the earliest anchor wins ties. The count of an anchor is
@@ -169,11 +169,11 @@ def sequence_members(df: DataFrame, t, max_days: int = 7, min_count: int = 3, to
     return inside.withColumn("gap_hours", gap)
 
 
-def previous_time(df: DataFrame, key: str, bucket: str = "hour") -> DataFrame:
+def previous_time(df: DataFrame, key: str, bucket: str = "minute") -> DataFrame:
     """Adds ``prev_at``, the time of the previous row of the key (ties by id).
 
-    ``lag`` runs inside (key, hour); the first row of an hour takes the last time of the
-    key's previous non-empty hour, so no task sees a whole hot key.
+    ``lag`` runs inside (key, minute); the first row of a minute takes the last time of the
+    key's previous non-empty minute, so no task sees a whole hot key.
     """
     rows = df.withColumn("_b", F.date_trunc(bucket, "received_at"))
     hours = rows.groupBy(key, "_b").agg(F.max("received_at").alias("_last"))

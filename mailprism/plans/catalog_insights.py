@@ -11,7 +11,7 @@ from mailprism.operators import ranking as rk
 from mailprism.operators import stats as st
 from mailprism.plans import registry
 from mailprism.plans import sqltext as s
-from mailprism.plans.catalog import query
+from mailprism.plans.catalog import ORACLES, query
 
 T = s.T
 THIS, LAST, END, PAST = (f"TIMESTAMP '2024-{d} 00:00:00'" for d in ("01-29", "01-22", "02-05", "01-01"))
@@ -462,16 +462,24 @@ def _(i):
 # --- registries and packs ---------------------------------------------------
 
 
+_REGISTERED = {"weekly_scoreboard": "a17_weekly_scoreboard", "brand_sequences": "o02_brand_sequences", "subject_formulas": "a18_subject_formulas", "new_tactics": "a19_new_tactics"}
+
+
 @query("u01_insight_registry")
 def _(i):
     out = None
     for name in registry.INSIGHTS:
         one = registry.run(name, i.emails, i.t)
-        rows = one.select(F.lit(name).alias("insight"), F.to_json(F.struct(*one.columns)).alias("data"))
+        rows = one.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("insight"), "rows")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+# every insight by name against the SQL of its own query
+ORACLES["u01_insight_registry"] = "\nUNION ALL ".join(
+    f"SELECT '{name}' AS insight, count({'DISTINCT brand' if name == 'new_tactics' else '*'}) AS rows FROM ({ORACLES[q]}) x" for name, q in _REGISTERED.items())
+
+
 @query("u02_statistic_registry")
 def _(i):
     out = None
