@@ -15,6 +15,7 @@ HIDDEN = 8  # units of a direction
 SPAN = 64  # bytes that a state is carried over
 ROWS = 2048  # spans that run side by side
 PER_LANGUAGE = 800  # documents of a language to fit on, at most
+LANGUAGES = 256  # languages to learn, at most: those with most documents
 SPANS = 6  # of a document to fit on, evenly over its text
 EPOCHS = 8
 UNKNOWN = "und"
@@ -146,7 +147,8 @@ def fit(sample: pd.DataFrame) -> dict:
 
 
 def training_rows(docs: DataFrame, learn_from: Column | None, per_language: int, key: str, text: str, lang: str) -> DataFrame:
-    """At most ``per_language`` rows (text, lang) of each language, in a pseudo-random order of their keys."""
+    """At most ``per_language`` rows (text, lang) of each of the ``LANGUAGES`` most frequent languages, in a
+    pseudo-random order of their keys."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     known = (known if learn_from is None else known.where(learn_from)).select(
         F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -155,7 +157,8 @@ def training_rows(docs: DataFrame, learn_from: Column | None, per_language: int,
         window = Window.partitionBy("lang").orderBy(*order)
         return df.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language).drop("n")
 
-    drawn = first(known.select("k", "lang").distinct().withColumn("h", F.xxhash64("k")), "h", "k")
+    often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
+    drawn = first(known.select("k", "lang").distinct().join(F.broadcast(often.select("lang")), "lang").withColumn("h", F.xxhash64("k")), "h", "k")
     texts = known.alias("t").join(F.broadcast(drawn).alias("d"), F.col("t.k").eqNullSafe(F.col("d.k")) & (F.col("t.lang") == F.col("d.lang")))
     rows = texts.select("t.lang", "t.text", F.xxhash64("t.k", "t.text").alias("h"))
     return first(rows, "h", "text").orderBy("h", "text", "lang").select("text", "lang")
@@ -167,8 +170,8 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
 
     Each byte gets a probability per language; their mean over the text is the document's. Null texts, texts
     without a letter, and all texts when no language is known, get ``und`` and score 0. ``learn_from``: condition
-    on rows that may be learnt from; at most ``per_language`` rows of a language are (the sample broadcast for
-    that holds keys only). Ties go to the first language by name; repeated rows are predicted each; empty tables
+    on rows that may be learnt from; at most ``per_language`` rows of a language and ``LANGUAGES`` languages
+    are (the sample broadcast for that holds keys only). Ties go to the first language by name; repeated rows are predicted each; empty tables
     give no rows; other columns are not looked at.
     """
     sample = training_rows(docs, learn_from, per_language, key, text, lang)
