@@ -47,7 +47,7 @@ def token_udf():
 def attribute(token: Column, name: str) -> Column:
     """Value of a token's last attribute of that name; empty when it has none."""
     found = F.filter(token["attrs"], lambda a: a["name"] == name)
-    return F.coalesce(F.element_at(F.when(F.size(found) > 0, found), -1)["value"], F.lit(""))
+    return F.coalesce(F.try_element_at(found, F.lit(-1))["value"], F.lit(""))
 
 
 def is_open(token: Column, *tags: str) -> Column:
@@ -197,13 +197,10 @@ def _blocks(df: DataFrame) -> DataFrame:
     paragraphs = F.transform(paragraphs, lambda p: part("text", p["next"]["pos"], p["one"]["tag"], words(p["one"]["pos"], p["next"]["pos"])))
 
     df = df.withColumn("_ended", F.filter("_buttons", lambda b: b["ends"].isNotNull()))
-    told = lambda b: F.element_at(F.filter(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
-        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"]))), -1)["text"]
-    button = lambda b: part("cta", b["ends"], F.lit("a"), F.coalesce(F.nullif(strip(told(b)), F.lit("")), F.lit("Shop Now")), attribute(b, "href"))
-    with_data = lambda b: F.exists(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
-        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"])))
-    plain = lambda b: part("cta", b["ends"], F.lit("a"), F.lit("Shop Now"), attribute(b, "href"))
-    buttons = F.transform("_ended", lambda b: F.when(with_data(b), button(b)).otherwise(plain(b)))
+    told = lambda b: F.try_element_at(F.filter(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
+        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"]))), F.lit(-1))["text"]
+    buttons = F.transform("_ended", lambda b: part(
+        "cta", b["ends"], F.lit("a"), F.coalesce(F.nullif(strip(told(b)), F.lit("")), F.lit("Shop Now")), attribute(b, "href")))
     number = {"cta": lambda x: F.array_position(F.transform("_buttons", lambda b: b["ends"]), x["at"]).cast("int")}
 
     def slots(found: Column, prefix: str, kind: str) -> Column:
