@@ -32,11 +32,15 @@ class Scratch:
         self.folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
         self.count = 0
 
-    def save(self, df: DataFrame, *by: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors."""
+    def save(self, df: DataFrame, *by: str, codec: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts the lineage and survives lost executors.
+
+        ``codec``: another compression than the session's. Zstandard keeps native memory per column and task, so it
+        is for long tables of few columns.
+        """
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path, partitionBy=list(by) or None)
+        df.write.parquet(path, partitionBy=list(by) or None, compression=codec)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.scratch_path = path
         return saved
