@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,13 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that lives on would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(sizes, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose sizes add up to about ``limit`` (one large row stands alone)."""
     start, total = 0, 0

@@ -171,8 +171,8 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
     Each byte gets a probability per language; their mean over the text is the document's. Null texts, texts
     without a letter, and all texts when no language is known, get ``und`` and score 0. ``learn_from``: condition
     on rows that may be learnt from; at most ``per_language`` rows of a language and ``LANGUAGES`` languages
-    are (the sample broadcast for that holds keys only). Ties go to the first language by name; repeated rows are predicted each; empty tables
-    give no rows; other columns are not looked at.
+    are (the sample broadcast for that holds keys only). Ties go to the first language by name; repeated rows are
+    predicted each; empty tables give no rows; other columns are not looked at.
     """
     sample = training_rows(docs, learn_from, per_language, key, text, lang)
     model = fit_in_task(sample, fit, "languages array<string>, parameters array<binary>")

@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from mailprism.llm.common import Scratch, pieces, remainder, spark_of
+from mailprism.llm.common import Scratch, give_back, pieces, remainder, spark_of
 
 ORDER = 5  # bytes of context; at most 6, so that context and follower fit in a positive long
 BLOCK = 32 << 20  # bytes of text that are scored together
@@ -45,8 +44,9 @@ def words_of(text: str | None) -> list[bytes]:
 def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys of the strings (context and follower) in a block of texts, and for each byte its string and document.
 
-    Each text stands behind ``order`` spaces and before the end mark; every later byte is a follower. The key is put together from the oldest byte on, and the strings found so
-    far are numbered anew after each, so that a small table replaces sorting.
+    Each text stands behind ``order`` spaces and before the end mark; every later byte is a follower. The key is put
+    together from the oldest byte on, and the strings found so far are numbered anew after each, so that a small
+    table replaces sorting.
     """
     pad = b" " * order
     data = np.frombuffer(b"".join(pad + x + bytes([END]) for x in texts), np.uint8)
@@ -79,55 +79,80 @@ def strings(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.
     return keys, number, np.repeat(np.arange(len(texts)), sizes)
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of (keys, counts) and their summed counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts, first)
+
+
+ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("string", pa.int64()), ("seen", pa.int64()), ("word", pa.binary()), ("texts", pa.binary())])
+
+
 class Block:
     """Documents that are scored together, and what they hold."""
 
     def __init__(self, order: int):
         self.order, self.size = order, 0
-        self.names, self.learn, self.texts = [], [], []
-        self.words: Counter = Counter()
+        self.names, self.texts = [], []
+        self.words: list[pa.Table] = []
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, names: list, learn: list[bool], lists: list[list[bytes]]) -> None:
         texts = [b" ".join(x) for x in lists]
         keys, number, owner = strings(texts, self.order)
         self.found.append((keys, np.bincount(number[np.array(learn, bool)[owner]], minlength=len(keys))))
+        if len(self.found) > 2:
+            self.found = [merged(self.found)]
+        counts = Counter()
         for x, use in zip(lists, learn):
             if use:
-                self.words.update(x)
+                counts.update(x)
             else:
                 for w in x:
-                    self.words.setdefault(w, 0)
+                    counts.setdefault(w, 0)
+        self.words.append(pa.table({"word": pa.array(counts.keys(), pa.binary()), "seen": pa.array(counts.values(), pa.int64())}))
         self.names += names
-        self.learn += learn
         self.texts += texts
         self.size += sum(map(len, texts))
 
-    def rows(self, number: int) -> Iterator[pd.DataFrame]:
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """kind 1: distinct strings, kind 2: words, both with their count in training; kind 0: the texts."""
-        keys, place = np.unique(np.concatenate([k for k, _ in self.found]), return_inverse=True)
-        seen = np.bincount(place, np.concatenate([n for _, n in self.found]), len(keys)).astype(np.int64)
-        yield pd.DataFrame({"kind": 1, "block": number, "string": keys, "seen": seen, "word": None, "texts": None})
-        yield pd.DataFrame({"kind": 2, "block": number, "string": 0, "seen": list(self.words.values()), "word": list(self.words), "texts": None})
+        def batch(kind: int, n: int, **given) -> pa.RecordBatch:
+            same = {"kind": kind, "block": number, "string": 0, "seen": 0, "word": None, "texts": None}
+            return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.repeat(pa.scalar(same[f.name], f.type), n) for f in ROWS], schema=ROWS)
+
         packed = zstandard.compress(pickle.dumps((self.names, self.texts)), 3)
-        yield pd.DataFrame({"kind": [0], "block": number, "string": 0, "seen": 0, "word": None, "texts": [packed]})
+        self.names, self.texts = [], []
+        yield batch(0, 1, texts=pa.array([packed], pa.binary()))
+        keys, seen = merged(self.found)
+        self.found = []
+        yield batch(1, len(keys), string=pa.array(keys), seen=pa.array(seen, pa.int64()))
+        words = pa.concat_tables(self.words).group_by("word", use_threads=False).aggregate([("seen", "sum")]).combine_chunks()
+        self.words = []
+        if len(words):
+            yield batch(2, len(words), word=words["word"].chunk(0), seen=words["seen_sum"].chunk(0))
 
 
 def extract(docs: DataFrame, order: int, key: str) -> DataFrame:
     """Documents (key, text, learn) as blocks: see ``Block.rows``. A block's number is its task and its place there."""
-    schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("string", pa.int64()), ("seen", pa.int64()), ("word", pa.binary()), ("texts", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, number = Block(order), TaskContext.get().partitionId() << 32
         for batch in batches:
-            names, learn, texts = (batch.column(c).to_pylist() for c in (key, "learn", "text"))
-            for a, b in pieces([len(x or "") for x in texts], STEP):
-                block.add(names[a:b], learn[a:b], [words_of(x) for x in texts[a:b]])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for a, b in pieces(sizes, STEP):
+                names, learn, texts = (batch.column(c).slice(a, b - a).to_pylist() for c in (key, "learn", "text"))
+                block.add(names, learn, [words_of(x) for x in texts])
+                give_back()
                 if block.size >= BLOCK:
-                    yield from (pa.RecordBatch.from_pandas(x, schema, preserve_index=False) for x in block.rows(number))
+                    yield from block.rows(number)
                     block, number = Block(order), number + 1
         if block.names:
-            yield from (pa.RecordBatch.from_pandas(x, schema, preserve_index=False) for x in block.rows(number))
+            yield from block.rows(number)
+        block = None
+        give_back()
 
     return docs.mapInArrow(run, "kind int, block long, string long, seen long, word binary, texts binary")
 
@@ -193,14 +218,14 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
     scratch = Scratch(spark_of(docs), "ppm")
     learn = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), learn.alias("learn"))
-    found = scratch.save(extract(own, order, "key"), "kind")
+    found = scratch.save(extract(own, order, "key"), codec="zstd")
     asked = found.where("kind = 1").select("block", "string", "seen")
     model = scratch.save(follow(asked.groupBy("string").agg(F.sum("seen").alias("seen")), order, scratch))
 
     by_word = Window.partitionBy("word")
     in_block = found.where("kind = 2").select("block", "word", F.sum("seen").over(by_word).alias("seen"),
                                               (F.min("block").over(by_word) == F.col("block")).alias("first"))
-    in_block = scratch.save(in_block)
+    in_block = scratch.save(in_block, codec="zstd")
     ends = own.where("learn").count()
     sums = in_block.where("first").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.when(F.col("seen") > 0, 1))).first()
     tokens, kinds = sums[0] + ends, sums[1] + (ends > 0)
@@ -220,6 +245,8 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
         for a, b in pieces([len(x) for x in raw], STEP):
             keys, number, owner = strings(raw[a:b], order)
             total[a:b] = np.bincount(owner, lp[np.searchsorted(every, keys)][number], b - a)
+        del every, lp, given
+        give_back()
         given = known.filter(pc.invert(of_string))
         seen = dict(zip(given["word"].to_pylist(), given["seen"].to_pylist()))
         base, size, hits = [], [], []
@@ -229,6 +256,8 @@ def scores(docs: DataFrame, learn_from: Column | None = None, order: int = ORDER
             base.append(np.log10(counts + 1.0).sum() - len(counts) * np.log10(tokens + kinds + 1))
             size.append(len(counts))
             hits.append((counts > 0).sum())
+        del seen
+        give_back()
         return pa.table({"key": pa.array(names, named), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(hits, pa.int64()),
                          "train_tokens": pa.array([tokens] * len(names), pa.int64()), "base_score": base, "score": total})
 
