@@ -260,6 +260,28 @@ def test_simhash_wide_finds_alike(docs_of):
     assert {r["doc_id"]: r["component"] for r in got} == want
 
 
+def test_near_copies_on_both_sides_of_the_threshold(docs_of):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shingles = lambda t: {tuple(w[k:k + 5]) for w in [t.split()] for k in range(max(1, len(w) - 4))}
+    rows = []
+    for n in range(160):
+        size = (8, 9, 13, 40, 120, 300)[n % 6]
+        text = [word() for _ in range(size)]
+        shingle_count = size - 4
+        rows.append((2 * n, " ".join(text)))
+        kind = n // 6 % 3  # words appended or cut so that the sets are 0.8 alike, or a little less, or twice the first text
+        more = shingle_count // 4 + (kind == 1)
+        other = text + [word() for _ in range(more)] if kind < 2 else text + text
+        rows.append((2 * n + 1, " ".join(other)))
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 40 < len(pairs) < 120
+    want = groups_of(sets, pairs)
+    kept = simhash.one_of_each(docs_of(rows), corpus_pipeline.SHINGLE, corpus_pipeline.RADIUS, corpus_pipeline.LANES).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+
+
 @pytest.mark.parametrize("tile", [4096, 32])
 def test_embeddings(frame, tile):
     rng = np.random.default_rng(6)
