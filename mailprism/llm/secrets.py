@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailprism.llm.common import Scratch, fresh, spark_of
 
-SHORTEST = 16  # characters of a candidate
+SHORTEST = 16  # characters of a candidate that nothing but its look marks; assigned ones have 6 or more
 CANDIDATE = r"([A-Za-z0-9+/_\-]{16,}={0,2})"
 SAMPLE = 10_000  # labelled findings of each class to fit on, at most
 TREES, DEPTH = 25, 6
@@ -26,8 +28,14 @@ FORMATS = {
     "stripe_key": r"^[rs]k_(live|test)_[0-9A-Za-z]{16,}$",
     "json_web_token": r"^eyJ[A-Za-z0-9_\-]{14,}$",
 }
-CREDENTIAL = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth)"
-ASSIGNED = CREDENTIAL + r"\S*\s*(:=|=|:|=>)\s*[\"']?$"
+CREDENTIAL = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth(?!ors?\b|ored|entic\b))"
+ASSIGNED = CREDENTIAL + r"\S*\s*(:=|=|:|=>)\s*[\"']?$|://[^\s/:@?#]*:$"
+NAME, SIGN = CREDENTIAL.replace("(passw(or)?d", "(?:passw(?:or)?d") + r"[^\s:=]*", r"(?:[:=]=|=>|[:=])"
+# What is assigned: up to the closing quote, else up to the next blank or further assignment without the marks that end a clause.
+VALUE = r"""["']?((?<=")[^"\s]{6,}|(?<=')[^'\s]{6,}|(?<!["'])[^\s"']\S{5,}?(?=[&;,]\w+=|[.,;)\]}>"'`]*$))"""
+IN_URL = r"://[^\s/:@?#]*:([^\s/?#]{6,})@"
+MAYBE = rf"{NAME}\s*[:=]|://"  # a text without it has no assigned values
+PLACEHOLDER = r"^(\$\{.*\}?|\$[A-Z_]+|\{\{.*|<.*>|%\w+%?|[A-Za-z_]\w*(\.\w+)*[(\[].*)$"
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 
 FEATURES = ["length", "digits", "capitals", "small", "marks", "runs", "digit_turns", "case_turns", "variety", "vowels",
@@ -35,17 +43,29 @@ FEATURES = ["length", "digits", "capitals", "small", "marks", "runs", "digit_tur
 
 
 def candidates(docs: DataFrame, key: str, text: str, path: str | None) -> DataFrame:
-    """Every run of at least 16 key characters, with the words around it: key, text_id, at, value, before, after, path."""
+    """Every run of at least 16 key characters and every value of at least 6 characters of any kind that follows a
+    credential word and an assignment sign or is a URL's password, with the words around it: key, text_id, at, value,
+    before, after, path."""
     own = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_id"),
                       (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"),
+                      F.coalesce(F.col(text).rlike(MAYBE), F.lit(False)).alias("maybe"),
                       F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
     w = F.col("w")
-    long_words = F.filter(F.transform(w, lambda x, i: F.when(F.length(x) >= SHORTEST, i)), lambda i: i.isNotNull())
-    around = F.transform(long_words, lambda i: F.struct(
-        i.alias("at"), F.get(w, i).alias("word"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("words_before"),
-        F.coalesce(F.get(w, i + 1), F.lit("")).alias("after")))
+    two_before = lambda i: F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
+    follows = lambda i: two_before(i).rlike(rf"{NAME}\s*{SIGN}$")
+    signed = lambda x, i: x.rlike("^[:=]") & F.coalesce(F.get(w, i - 1).rlike(f"{NAME}$"), F.lit(False))
+    looks = lambda x, i: (F.length(x) >= SHORTEST) | F.col("maybe") & (F.length(x) >= 6) & (
+        x.rlike(rf"{NAME}[:=]|://") | signed(x, i) | follows(i))
+    chosen = F.filter(F.transform(w, lambda x, i: F.when(looks(x, i), i)), lambda i: i.isNotNull())
+    around = F.transform(chosen, lambda i: F.struct(
+        i.alias("at"), F.get(w, i).alias("word"), two_before(i).alias("words_before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
+        follows(i).alias("follows"), signed(F.get(w, i), i).alias("signed")))
     found = own.select("key", "text_id", "path", F.inline(around))
-    found = found.withColumn("value", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(1)))))
+    every = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), F.lit(1))
+    none = F.array().cast("array<string>")
+    values = F.concat(every(CANDIDATE), every(f"{NAME}{SIGN}{VALUE}"), every(IN_URL), F.when(F.col("follows"), every(f"^{VALUE}")).otherwise(none),
+                      F.when(F.col("signed"), every(f"^{SIGN}{VALUE}")).otherwise(none))
+    found = found.withColumn("value", F.explode(F.array_distinct(values)))
     inside = F.expr("substring_index(word, value, 1)")
     return found.select("key", "text_id", "path", "at", "value", F.concat_ws(" ", "words_before", inside).alias("before"), "after")
 
@@ -101,10 +121,13 @@ def format_of(value: Column) -> Column:
 
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labels where no reviewed ones are at hand: 1 for documented formats and for mixed strings that are assigned to
-    a credential, 0 for strings of letters that are not, null otherwise."""
+    a credential, 0 for strings of letters that are not, for words of the corpus and for names of variables and calls
+    that are, null otherwise."""
     v = F.col("value")
-    sure = format_of(v).isNotNull() | (F.col("before").rlike(ASSIGNED) & v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-    plain = v.rlike(r"^[A-Za-z/_\-]+$") & ~F.col("before").rlike(CREDENTIAL)
+    filled_in = v.rlike(PLACEHOLDER)
+    sure = format_of(v).isNotNull() | (F.col("before").rlike(ASSIGNED) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~filled_in)
+    spelled = v.rlike("^[A-Z]?[a-z]+$") & (F.col("coverage") >= 0.75)
+    plain = v.rlike(r"^[A-Za-z/_\-]+$") & ~F.col("before").rlike(ASSIGNED) & ~F.col("before").rlike(CREDENTIAL) | spelled | filled_in
     return found.withColumn("label", F.when(sure, 1.0).when(plain, 0.0))
 
 
@@ -155,6 +178,9 @@ def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "
     names = [fresh(x, docs) for x in ("found_key", "found_text", "found_values")]
     values = found.groupBy(F.col(key).alias(names[0]), F.col("text_id").alias(names[1])).agg(F.collect_set("value").alias(names[2]))
     longest_first = F.array_sort(names[2], lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).otherwise(1))
-    cleaned = F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))
+    # A short value is replaced where it stands alone, not inside a longer word or number.
+    alone = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    literal = F.lit(re.sub(r"([\\$])", r"\\\1", mark))
+    cleaned = F.aggregate(longest_first, F.col(text), lambda t, v: F.when(F.length(v) < SHORTEST, F.regexp_replace(t, alone(v), literal)).otherwise(F.replace(t, v, F.lit(mark))))
     joined = docs.join(values, F.col(key).eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1])), "left")
     return joined.withColumn(text, F.when(F.col(names[2]).isNull(), F.col(text)).otherwise(cleaned)).select(*docs.columns)

@@ -331,6 +331,29 @@ def test_secrets(docs_of):
         assert cleaned[i] == (text.replace(secret[i], "[SECRET]") if secret[i] else text)
 
 
+def test_assigned_secrets_of_any_length_and_marks(docs_of):
+    rng = random.Random(10)
+    key = lambda n, chars="etaoinshrdlu": "".join(rng.choice(chars) for _ in range(n))
+    lexicon = [key(rng.randint(4, 8)) for _ in range(60)]
+    prose = lambda: " ".join(rng.choice(lexicon) for _ in range(20))
+    forms = ["password=Tr0ub4dor{}x", "PASSWORD: P@ssw0rd!{}", 'api_key = "a{}#b$c"', "pwd :=q7!w{}e.", "secret 'x{}-Y?z'", "https://joe:p4ss!{}w@host/x?a=b",
+             '{{"user":"x","password":"K!{}z-9","b":1}}', "x?token=zz9{}q&user=joe", "password {}word"]
+    values = ["Tr0ub4dor{}x", "P@ssw0rd!{}", "a{}#b$c", "q7!w{}e", None, "p4ss!{}w", "K!{}z-9", "zz9{}q", None]
+    rows, want = [], {}
+    for i in range(180):
+        n = 100 + i
+        form, value = forms[i % 9].format(n), values[i % 9]
+        rows.append((i, f"{prose()} {form} {prose()} {key(20)} password: {rng.choice([x for x in lexicon if len(x) > 6])} {prose()}"))
+        want[i] = value and value.format(n)
+    docs = docs_of(rows)
+    found = secrets.findings(docs, path="source")
+    got = {r["doc_id"]: r["value"] for r in found.collect()}
+    assert got == {i: v for i, v in want.items() if v}
+    cleaned = {r["doc_id"]: r["text"] for r in secrets.redact(docs, found).collect()}
+    for i, text in rows:
+        assert cleaned[i] == (text.replace(want[i], "[SECRET]") if want[i] else text)
+
+
 def test_secrets_learn_from_reviewed_labels(docs_of):
     from pyspark.sql import functions as F
 
