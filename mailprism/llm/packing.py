@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -25,19 +27,32 @@ CACHED = 400_000  # words whose ids a worker keeps
 BREAK = re.compile(r"(?<=\S) ")
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """Texts and ids of the added tokens in the .json file beside a ranks file; none if there is no such file."""
+    place = f"{os.path.splitext(path)[0]}.json"
+    if not os.path.exists(place):
+        return ()
+    with open(place, encoding="utf-8") as file:
+        return tuple((x["content"], x["id"]) for x in json.load(file)["added_tokens"])
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> tiktoken.Encoding:
+def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
 class Words(dict):
-    """Ids (little-endian 32 bit) of text runs; a run's ids do not depend on what stands around it."""
+    """Ids (little-endian 32 bit) of text runs; a run's ids do not depend on what stands around it.
+
+    ``added``: tokens (without blanks) that a text is cut at before all else.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: tuple[tuple[str, int], ...] = ()):
         super().__init__()
-        self.encode = encoder(path).encode_ordinary
+        model = encoder(path, added)
+        self.encode = partial(model.encode, allowed_special="all") if added else model.encode_ordinary
 
     def __missing__(self, run: str) -> bytes:
         if len(self) >= CACHED:
@@ -54,8 +69,8 @@ class Words(dict):
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
-    return Words(path)
+def words_of(path: str, added: tuple[tuple[str, int], ...]) -> Words:
+    return Words(path, added)
 
 
 def token_pieces(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text",
@@ -63,13 +78,15 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
     """Tokenise and cut: per piece of at most ``window`` ids key, start, length, doc_tokens, ids (little-endian 32 bit).
 
     A document's ids end with one id 0. It is cut from its start into full windows; what is left is its last
-    piece. A null or empty text has the end id only. ``path``: the ranks file of the tokenizer.
+    piece. A null or empty text has the end id only. ``path``: the ranks file of the tokenizer. The literal text of
+    an added token gets that token's id, as the tokenizer's own call gives it.
     """
     place = path or public_tokenizers.path(f"{VOCABULARY}.tiktoken")
+    added = added_tokens(place)
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = words_of(place)
+        words = words_of(place, added)
         for batch in batches:
             yield pd.Series([words.text(x) + END.to_bytes(4, "little") for x in batch])
 

@@ -76,6 +76,14 @@ def test_word_ids(text):
     assert np.frombuffer(got, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_tokenizer_gives_them(docs_of):
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>c", "x<|endoftext|>y <|endoftext", "<|endoftext |> plain  "]
+    rows = {r["doc_id"]: r["ids"] for r in packing.pack(docs_of(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert np.frombuffer(rows[i], "<u4").tolist() == [*model.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_best_fit_is_tightest():
     rng = random.Random(2)
     lengths = sorted((rng.randrange(1, 65) for _ in range(3000)), reverse=True)
