@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailprism.llm import decontamination, embeddings, language, packing, ppm, quality, secrets, simhash, tokencount, toxicity
+from mailprism.llm import decontamination, embeddings, language, neighbours, oracles, packing, ppm, quality, repair, secrets, simhash, spelling, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_spelling"] = oracles.SPELLING
+
+
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.query(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_repair"] = oracles.REPAIR
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.query(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_neighbours"] = oracles.NEIGHBOURS
