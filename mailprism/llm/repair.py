@@ -29,7 +29,7 @@ from mailprism.llm.common import Scratch, remainder
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 3, 4, 3, 3  # costs; CUT: of a truncated row that stays
 CHUNK = 4096  # rows of a conversation that a task holds at once
 CHUNK_CHARS = 8 << 20  # and their characters
-FAN = 64  # spans that one task combines in a round
+FAN = 64  # spans that become one in a round
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 STATES = {"s": ((0, 1),), "u": ((0, 2), (1, 2), (3, 2)), "a": ((2, 3),)}
 PAIRS = ((0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 2), (3, 3))
@@ -244,8 +244,8 @@ def parse(chunk: int, chars: int) -> Callable:
 
 
 def merge(rows: Iterator[dict]) -> Iterator[dict]:
-    """Adjacent spans of one conversation, sorted by ``part``, to one span."""
-    for conv, group in groupby(rows, key=lambda row: row["conv_id"]):
+    """Adjacent spans of one conversation and rank, sorted by ``part``, to one span."""
+    for (conv, rank), group in groupby(rows, key=lambda row: (row["conv_id"], row["rank"])):
         span, held, part = Span(), [], None
         for row in group:
             part = row["part"] if part is None else part
@@ -253,7 +253,7 @@ def merge(rows: Iterator[dict]) -> Iterator[dict]:
             held.append(unpack(row["cells"]))
             if len(held) >= FAN:
                 held = [combined(held)]
-        yield {"conv_id": conv, "part": part, **facts_of(span), "cells": pack(combined(held))}
+        yield {"conv_id": conv, "rank": rank, "part": part, **facts_of(span), "cells": pack(combined(held))}
 
 
 def solve(rows: Iterator[dict]) -> Iterator[dict]:
@@ -347,18 +347,21 @@ class Repair:
         placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "kind")
         self.parsed = scratch.save(map_rows(placed, parse(chunk, chars), PARSED))
         self.parts = self.parsed.where("NOT whole AND cells IS NOT NULL").select("conv_id", "part", *FACTS, "cells")
-        self.settled = scratch.save(self.combined_parts())
+        self.settled = self.combined_parts()
 
     def combined_parts(self) -> DataFrame:
-        """Spans of open conversations to one each, in rounds over ever fewer ranges of (conversation, part)."""
-        spans, many = self.parts, self.parts.count()
+        """Spans of open conversations to one each: in every round, up to ``FAN`` neighbours to one. Only (conversation, part) is numbered
+        in a window; spans are large, numbers are not."""
+        ranks = self.parts.select(F.col("part").alias("p"), F.expr("row_number() OVER (PARTITION BY conv_id ORDER BY part) - 1").cast("long").alias("rank"))
+        ranks = self.scratch.save(ranks)
+        last = ranks.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0]
+        spans = self.parts.join(ranks, F.col("part") == F.col("p")).drop("p")
         while True:
-            groups = -(-many // FAN)
-            ranged = spans.repartitionByRange(max(groups, 1), "conv_id", "part").sortWithinPartitions("conv_id", "part")
-            spans = map_rows(ranged, merge, SPANS)
-            if groups <= 1:
-                return spans
-            spans, many = self.scratch.save(spans), groups
+            spans = spans.withColumn("rank", F.floor(F.col("rank") / FAN))
+            met = spans.repartition("conv_id", "rank").sortWithinPartitions("conv_id", "rank", "part")
+            spans, last = self.scratch.save(map_rows(met, merge, f"{SPANS}, rank long")), last // FAN
+            if last == 0:
+                return spans.drop("rank")
 
     def open_audits(self) -> DataFrame:
         cell = F.col("cells")[0]

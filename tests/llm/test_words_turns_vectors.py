@@ -167,7 +167,9 @@ def conversations(seed, convs=60):
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 1000])
-def test_repair_against_plain_steps(frame, chunk):
+def test_repair_against_plain_steps(frame, chunk, monkeypatch):
+    if chunk == 1:
+        monkeypatch.setattr(repair, "FAN", 3)  # several rounds
     rows = conversations(chunk)
     turns = frame([(*r, 9, "x", 1) for r in rows], TURNS)
     done = repair.Repair(repair.damaged(turns), chunk=chunk)
