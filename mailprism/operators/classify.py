@@ -13,7 +13,9 @@ from mailprism.dims import Rules
 from mailprism.functions.brands import clean_brand, letters_and_digits, normalize_brand
 from mailprism.functions.scalars import title_case
 from mailprism.functions.subjects import contains_any
+from mailprism.operators import patterns
 from mailprism.operators.ranking import computed_once, counts, known_brand
+from mailprism.session import local_table
 
 MIN_SCORE = 4
 AMBIGUITY = 0.7
@@ -48,9 +50,11 @@ def industry_by_keywords(df: DataFrame, rules: Rules | None = None, min_score: i
     """Adds the industry with a clear lead in keyword points, else null.
 
     A keyword adds its weight once, twice when the subject contains it. The whole body
-    counts. A tie or a close second gives null.
+    counts. A tie or a close second gives null. Rules that are a DataFrame are joined (see ``patterns``), a list becomes one expression.
     """
     keywords = (rules or Rules()).industry_keywords
+    if isinstance(keywords, DataFrame):
+        return _industry_by_table(df, keywords, min_score, ambiguity, body, name)
     industries = list(dict.fromkeys(i for i, _, _ in keywords))
     table = _rule_array([(industries.index(i), k, w) for i, k, w in keywords], "pos", "k", "w")
     parts = [F.col("subject"), _has(df, "preview")]
@@ -67,9 +71,35 @@ def industry_by_keywords(df: DataFrame, rules: Rules | None = None, min_score: i
     return computed_once(out, **{name: F.when((best["x"] >= min_score) & clear, label)}).drop("_s", "_subject", "_text")
 
 
+def _mail_texts(df: DataFrame, body: str | None) -> dict[str, Column]:
+    """Lower-case subject, and subject, preview and body in one text."""
+    parts = [F.col("subject"), _has(df, "preview")]
+    if body and body in df.columns:
+        parts.append(F.col(body))
+    return {"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", *[F.when(p != "", p) for p in parts]))}
+
+
+def _industry_by_table(df: DataFrame, keywords: DataFrame, min_score: int, ambiguity: float, body: str | None, name: str) -> DataFrame:
+    held, distinct = patterns.with_text_id(df, _mail_texts(df, body))
+    order = keywords.groupBy("industry").agg(F.min("pos").alias("order"))
+    found = patterns.hits(distinct, keywords.join(order, "industry"), ["_subject", "_text"])
+    worth = F.col("weight").cast("long") * F.when(F.col("in_subject"), 2).otherwise(1)
+    points = found.groupBy("_text_id", "industry").agg(F.sum(worth).alias("x"), F.min("order").alias("order"))
+    ranked = points.groupBy("_text_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("x", (-F.col("order")).alias("neg"), "industry")), asc=False), 1, 2).alias("s"))
+    best, second = F.get("s", 0), F.get("s", 1)
+    clear = F.coalesce(F.try_divide(second["x"].cast("double"), best["x"]) <= ambiguity, F.lit(True))
+    label = ranked.select("_text_id", F.when((best["x"] >= min_score) & clear, best["industry"]).alias(name)).where(F.col(name).isNotNull())
+    return held.join(label, "_text_id", "left").drop("_text_id")
+
+
 def keyword_hits(df: DataFrame, rules: Rules | None = None, key: str = "id") -> DataFrame:
     """(key, industry, keyword, weight, in_subject) for every industry keyword found in subject or preview."""
-    table = _rule_array((rules or Rules()).industry_keywords, "industry", "keyword", "weight")
+    keywords = (rules or Rules()).industry_keywords
+    if isinstance(keywords, DataFrame):
+        held, distinct = patterns.with_text_id(df, {"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", "subject", _has(df, "preview")))})
+        found = patterns.hits(distinct, keywords, ["_subject", "_text"])
+        return held.select(key, "_text_id").join(found, "_text_id").select(key, "industry", "keyword", F.col("weight").cast("int").alias("weight"), "in_subject")
+    table = _rule_array(keywords, "industry", "keyword", "weight")
     out = df.withColumns({"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", "subject", _has(df, "preview")))})
     hits = F.filter(table, lambda r: F.contains(F.col("_text"), r["keyword"]) | F.contains(F.col("_subject"), r["keyword"]))
     found = out.select(key, "_subject", F.inline(hits))
@@ -87,7 +117,10 @@ def campaign_type(df: DataFrame, rules: Rules | None = None, body: str | None =
     over their threshold the highest score wins, the earlier type on ties. The whole preview and body count.
     """
     kinds = [k for k, _ in dims.CAMPAIGN_TYPES]
-    table = _rule_array([(kinds.index(t), k) for t, k in (rules or Rules()).type_keywords], "pos", "k")
+    keywords = (rules or Rules()).type_keywords
+    if isinstance(keywords, DataFrame):
+        return _type_by_table(df, keywords, body, name)
+    table = _rule_array([(kinds.index(t), k) for t, k in keywords], "pos", "k")
     texts = {"_subject": (_low("subject"), "subject")}
     if "preview" in df.columns:
         texts["_preview"] = (_low("preview"), "preview")
@@ -105,12 +138,29 @@ def campaign_type(df: DataFrame, rules: Rules | None = None, body: str | None =
     needs = F.array(*[F.lit(n) for _, n in dims.CAMPAIGN_TYPES])
     rows = F.transform(_points(hits, len(kinds), worth), lambda x, i: F.struct((-x).alias("neg"), i.alias("pos"), (x >= F.get(needs, i)).alias("enough")))
     best = F.array_min(F.filter(rows, lambda r: r["enough"]))["pos"]
-    percent = F.rlike("_subject", F.lit(r"\p{Nd}+(?U:\s)*%"))
-    sale = percent & (contains_any("_subject", dims.PERCENT_SALE_WORDS) | ~contains_any("_subject", dims.PERCENT_OTHER_WORDS))
-    label = F.when(sale, "Sale").otherwise(F.get(F.array(*[F.lit(k) for k in kinds]), best))
+    label = F.when(_percent_sale("_subject"), "Sale").otherwise(F.get(F.array(*[F.lit(k) for k in kinds]), best))
     return computed_once(out, **{name: label}).drop(*texts)
 
 
+def _percent_sale(subject: str) -> Column:
+    """A percentage that names a sale, or that no other word explains."""
+    percent = F.rlike(subject, F.lit(r"\p{Nd}+(?U:\s)*%"))
+    return percent & (contains_any(subject, dims.PERCENT_SALE_WORDS) | ~contains_any(subject, dims.PERCENT_OTHER_WORDS))
+
+
+def _type_by_table(df: DataFrame, keywords: DataFrame, body: str | None, name: str) -> DataFrame:
+    sources = {"_subject": "subject"} | ({"_preview": "preview"} if "preview" in df.columns else {}) | ({"_body": body} if body and body in df.columns else {})
+    weights = {c: dims.TYPE_SOURCE_WEIGHTS[c[1:]] for c in sources}
+    held, distinct = patterns.with_text_id(df, {c: _low(source) for c, source in sources.items()})
+    found = patterns.hits(distinct, keywords.select("type", "keyword"), list(sources))
+    score = reduce(lambda x, y: x + y, [F.col(f"in{c}").cast("int") * w for c, w in weights.items()])
+    kinds = local_table(df.sparkSession, [(k, t, need) for k, (t, need) in enumerate(dims.CAMPAIGN_TYPES)], "order int, type string, need int")
+    scores = found.groupBy("_text_id", "type").agg(F.sum(score).alias("x")).join(F.broadcast(kinds), "type").where("x >= need")
+    best = scores.groupBy("_text_id").agg(F.min_by("type", F.struct(-F.col("x"), "order")).alias("_best"))
+    out = held.join(best, "_text_id", "left").withColumn("_low", _low("subject"))
+    return out.withColumn(name, F.when(_percent_sale("_low"), "Sale").otherwise(F.col("_best"))).drop("_text_id", "_best", "_low")
+
+
 # --- industry from the brand ------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from mailprism.plans.catalog import query
 from mailprism.session import scratch_path
 from mailprism.sources import mail as ml
 from mailprism.sources import store
-from mailprism.streaming import jobs
+from mailprism.streaming import jobs, payments
 
 T = s.T
 LIMITS = s.plan_limits_cte()
@@ -237,24 +237,34 @@ def _(i):
     return exported(i).select("id", stamp(ml.parse_mail_date("date_header", i.t)).alias("received_at"))
 
 
+# Files of all mails: the brand's folder, the day and the subject, and the id behind a name that an earlier mail has.
+_TREE = f"""
+tree AS (SELECT regexp_replace(left(regexp_replace(lower(coalesce(e.brand, 'unknown')), '[^a-z0-9]+', '-', 'g'), 60), '^-+|-+$', '', 'g') AS folder,
+  regexp_replace(left(regexp_replace(lower(e.subject), '[^a-z0-9]+', '-', 'g'), 60), '^-+|-+$', '', 'g') AS slug,
+  CASE WHEN e.id % 10 <> 0 THEN strftime(e.received_at, '%Y-%m-%d') END AS day, e.id, e.received_at, h.html FROM emails e JOIN email_html h ON e.page_id = h.page_id),
+named AS (SELECT folder, day, html, CASE WHEN day IS NULL AND slug = '' THEN 'untitled' ELSE slug END || CASE WHEN row_number() OVER (PARTITION BY folder, day, slug ORDER BY received_at, id) > 1 THEN '-' || id ELSE '' END AS slug FROM tree)"""
+
+
+def written_tree(i):
+    """All mails written as HTML files (every tenth without its day)."""
+    path = scratch_path(i.spark, "tree")
+    day = F.when(F.col("id") % 10 != 0, F.to_date("received_at"))
+    ml.write_html_tree(i.emails.join(i.view("email_html"), "page_id"), path, day)
+    return path
+
+
 @query("s05_html_tree", f"""
-WITH x AS (SELECT DISTINCT lower(regexp_replace(coalesce(brand, 'none'), '[^A-Za-z]+', '-', 'g')) AS b, strftime(received_at, '%Y-%m-%d') AS d, regexp_replace(left(regexp_replace(lower(subject), '[^a-z0-9]+', '-', 'g'), 60), '^-+|-+$', '', 'g') AS k, id % 10 = 0 AS bad FROM emails)
-SELECT DISTINCT {s.title('b')} AS brand, CASE WHEN bad THEN '0001-01-01' ELSE d END AS date, CASE WHEN bad THEN 'old_' || k ELSE {s.title("replace(k, '-', ' ')")} END AS subject, b || '/' || CASE WHEN bad THEN 'old_' ELSE d || '_' END || k || '.html' AS path FROM x""")
+WITH {_TREE} SELECT {s.title('folder')} AS brand, coalesce(day, '0001-01-01') AS date, CASE WHEN day IS NULL THEN slug ELSE {s.title("replace(slug, '-', ' ')")} END AS subject,
+ folder || '/' || coalesce(day || '_', '') || slug || '.html' AS path, md5(html) AS html_md5 FROM named""")
 def _(i):
-    e = i.emails
-    folder = F.lower(F.regexp_replace(F.coalesce("brand", F.lit("none")), "[^A-Za-z]+", "-"))
-    stem = F.when(F.col("id") % 10 == 0, F.lit("old")).otherwise(F.date_format("received_at", "yyyy-MM-dd"))
-    full = F.concat(F.lit("file:/tree/"), folder, F.lit("/"), stem, F.lit("_"), safe_filename("subject"), F.lit(".html"))
-    return ml.named_files(e.select(full.alias("_full")).distinct()).withColumn("date", F.col("date").cast("string"))
+    files = ml.read_html_tree(i.spark, written_tree(i))
+    return files.select("brand", F.col("date").cast("string").alias("date"), "subject", "path", F.md5("html").alias("html_md5"))
 
 
-@query("s06_write_html_tree", """
-WITH b AS (SELECT regexp_replace(left(regexp_replace(lower(coalesce(brand, 'unknown')), '[^a-z0-9]+', '-', 'g'), 60), '^-+|-+$', '', 'g') AS brand, count(*) AS files, CAST(sum(length(h.html)) AS BIGINT) AS chars
- FROM emails e JOIN email_html h ON e.page_id = h.page_id WHERE e.type = 'Welcome' GROUP BY 1) SELECT * FROM b""")
+@query("s06_write_html_tree", f"WITH {_TREE} SELECT folder AS brand, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS chars FROM named GROUP BY 1")
 def _(i):
-    path = scratch_path(i.spark, "tree")
-    ml.write_html_tree(i.emails.where("type = 'Welcome'").join(i.view("email_html"), "page_id"), path)
-    return i.spark.read.parquet(path).groupBy("brand").agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("chars"))
+    files = ml.read_html_tree(i.spark, written_tree(i))
+    return files.groupBy(F.substring_index("path", "/", 1).alias("brand")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("chars"))
 
 
 _NEW = "e.id % 3 <> 0"
@@ -397,7 +407,7 @@ def _(i):
     source = f"{scratch_path(i.spark, 'payment-events')}/events"
     i.view("payment_events").write.parquet(source)
     events = i.spark.readStream.schema(i.spark.read.parquet(source).schema).parquet(source)
-    out = jobs.payment_state(i.spark, events, scratch_path(i.spark, "payments"))
+    out = payments.payment_state(i.spark, events, scratch_path(i.spark, "payments"))
     never = lambda c: F.coalesce(stamp(c), F.lit("never")).alias(c)
     return out.select("user_id", "subscription_id", "tier", "billing_cycle", never("activated_at"), never("last_charge"), "cancelled")
 

@@ -115,6 +115,44 @@ def _(i):
     return cl.campaign_type(i.mails, i.rules).select("id", "kw_type")
 
 
+# A keyword per part: what previews say of the user with the part's number.
+_IND = s.values([(n, x) for n, x in enumerate(dims.INDUSTRIES)])
+_KINDS = s.values([(n, t) for n, (t, _) in enumerate(dims.CAMPAIGN_TYPES)])
+PART_KW = f"""inds(n, industry) AS (VALUES {_IND}), ikw AS (SELECT n AS pos, industry, 'of ' || p_partkey || CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END AS k, p_size % 7 + 1 AS w FROM part JOIN inds ON p_partkey % {len(dims.INDUSTRIES)} = n)"""
+PART_TK = f"""kinds(n, type) AS (VALUES {_KINDS}), tkw AS (SELECT type, ' ' || p_partkey || ' ' AS k FROM part JOIN kinds ON p_partkey % {len(dims.CAMPAIGN_TYPES)} = n UNION ALL SELECT type, lower(p_name) FROM part JOIN kinds ON p_partkey % {len(dims.CAMPAIGN_TYPES)} = n),
+ tneed(pos, type, need) AS (VALUES {s.values([(n, t, x) for n, (t, x) in enumerate(dims.CAMPAIGN_TYPES)])})"""
+
+
+def part_rules(i):
+    """Keyword rules as tables that grow with ``part``."""
+    part = i.table("part")
+    inds = local_table(i.spark, list(enumerate(dims.INDUSTRIES)), "n int, industry string")
+    kinds = local_table(i.spark, [(n, t) for n, (t, _) in enumerate(dims.CAMPAIGN_TYPES)], "n int, type string")
+    tail = F.when(F.col("p_size") % 2 == 0, " ").otherwise("")
+    key = F.concat(F.lit("of "), F.col("p_partkey").cast("string"), tail)
+    industry = part.join(inds, F.col("p_partkey") % len(dims.INDUSTRIES) == F.col("n")).select("industry", key.alias("keyword"), (F.col("p_size") % 7 + 1).alias("weight"), F.col("n").alias("pos"))
+    typed = part.join(kinds, F.col("p_partkey") % len(dims.CAMPAIGN_TYPES) == F.col("n"))
+    number = F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" "))
+    types = typed.select("type", F.explode(F.array(number, F.lower("p_name"))).alias("keyword"), F.col("n").alias("pos"))
+    return dims.Rules(industry_keywords=industry, type_keywords=types)
+
+
+@query("c01_industry_rule_table", f"WITH {PART_KW}, {kw_industry('emails', 'ki')} SELECT e.id, ki.industry AS kw_industry FROM emails e LEFT JOIN ki ON e.id = ki.id")
+def _(i):
+    return cl.industry_by_keywords(i.mails, part_rules(i)).select("id", "kw_industry")
+
+
+@query("c02_type_rule_table", f"WITH {PART_TK}, {kw_type('emails', 'kt')} SELECT id, type AS kw_type FROM kt")
+def _(i):
+    return cl.campaign_type(i.mails, part_rules(i)).select("id", "kw_type")
+
+
+@query("j12_hits_rule_table", f"""
+WITH {PART_KW} SELECT e.id, ikw.industry, k AS keyword, w AS weight, contains(lower(subject), k) AS in_subject FROM emails e JOIN ikw ON contains(lower(concat_ws(' ', subject, preview)), k)""")
+def _(i):
+    return cl.keyword_hits(i.mails, part_rules(i))
+
+
 @query("j09_exact_brand", f"WITH {KEYS} SELECT b.brand, bkey.industry FROM (SELECT DISTINCT brand FROM emails WHERE brand IS NOT NULL) b LEFT JOIN bkey ON {_norm_sql('b.brand')} = bkey.key")
 def _(i):
     brands = i.emails.where(rk.has_brand()).select("brand").distinct()

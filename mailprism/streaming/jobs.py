@@ -1,4 +1,4 @@
-"""Structured Streaming forms of ingest, counters, weekly metrics and subscription state."""
+"""Structured Streaming forms of ingest, counters, weekly metrics and activity windows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.functions.subjects import has_emoji, is_discount, subject_formula
-from mailprism.operators.accounts import USAGE_EVENTS, fold_events
+from mailprism.operators.accounts import USAGE_EVENTS
 from mailprism.sources import mail, store
 
 MONDAY_OFFSET = "4 days"  # 1970-01-01 was a Thursday: weeks that start on Monday
@@ -96,27 +96,6 @@ def activity_windows(stream: DataFrame, kind: str = "sliding", delay: str = "7 d
     return out.select("brand", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "emails")
 
 
-def payment_state(spark: SparkSession, events: DataFrame, path: str, key: str = "user_id") -> DataFrame:
-    """Subscriptions kept by a stream of payment events, in arrival order of the batches.
-
-    Every micro-batch is folded into the state that the batch before it wrote; a retried batch rewrites its own
-    version. The version before it stays for that, older ones are removed.
-    """
-    def merge(batch, batch_id):
-        session = batch.sparkSession
-        old = session.read.parquet(f"{path}/state/v{batch_id - 1}") if batch_id > 0 else None
-        fold_events(batch, old, key).write.mode("overwrite").parquet(f"{path}/state/v{batch_id}")
-        if batch_id > 1:
-            store.remove(session, f"{path}/state/v{batch_id - 2}")
-
-    query = (
-        events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start())
-    query.awaitTermination()
-    written = [int(name[1:]) for name in store.names(spark, f"{path}/state") if store._exists(spark, f"{path}/state/{name}/_SUCCESS")]
-    return spark.read.parquet(f"{path}/state/v{max(written)}")
-
-
 def start_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, t, rules=None, files_per_trigger: int = 16,
                  available_now: bool = True):
     """Message files → e-mail table, batch by batch, appending unseen ids only."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailprism import dims
-from mailprism.operators import classify, html, scoring
+from mailprism.operators import classify, patterns, html, scoring
 
 RULES = dims.Rules()
 
@@ -121,10 +121,47 @@ def test_rules_from_files(spark, tmp_path):
     (tmp_path / "industry_keywords.csv").mkdir()
     (tmp_path / "industry_keywords.csv" / "p.csv").write_text("pos,industry,keyword,weight\n2,Pets,cat,3\n1,Home,rug,2\n")
     rules = dims.Rules.load(spark, str(tmp_path), ["industry_keywords"])
-    assert rules.industry_keywords == [("Home", "rug", 2), ("Pets", "cat", 3)]
+    assert sorted(tuple(r)[:3] for r in rules.industry_keywords.collect()) == [("Home", "rug", "2"), ("Pets", "cat", "3")]
     assert rules.known_senders == dims.KNOWN_SENDERS
 
 
+def as_tables(spark, rules):
+    industry = spark.createDataFrame([(i, k, w, n) for n, (i, k, w) in enumerate(rules.industry_keywords)], "industry string, keyword string, weight int, pos long")
+    types = spark.createDataFrame([(t, k, n) for n, (t, k) in enumerate(rules.type_keywords)], "type string, keyword string, pos long")
+    return dims.Rules(industry_keywords=industry, type_keywords=types)
+
+
+def test_keyword_tables_equal_keyword_lists(spark, emails):
+    rules = dims.Rules(industry_keywords=[*RULES.industry_keywords, ("Pets", "o", 1), ("Pets", "ok", 9), ("Home & Living", "ok", 9)])
+    tables = as_tables(spark, rules)
+    mails = emails.withColumn("body_text", F.when(F.col("id") % 3 == 0, F.concat("subject", F.lit(" with skincare and a rug"))))
+    odd = mails.limit(3).withColumns({"id": -F.col("id") - 1, "subject": F.lit(None).cast("string"), "preview": F.lit("")})
+    mails = mails.unionByName(odd)
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    for call in (lambda r: classify.industry_by_keywords(mails, r).select("id", "kw_industry"), lambda r: classify.campaign_type(mails, r).select("id", "kw_type"),
+                 lambda r: classify.keyword_hits(mails, r)):
+        assert rows_of(call(tables)) == rows_of(call(rules))
+
+
+def test_plan_does_not_grow_with_keywords(spark, emails):
+    plans = []
+    for n in (20, 20_000):
+        words = spark.range(n).select(F.lit("Pets").alias("industry"), F.concat(F.lit("of "), F.col("id").cast("string"), F.lit(" ")).alias("keyword"), F.lit(5).alias("weight"), F.col("id").alias("pos"))
+        out = classify.industry_by_keywords(emails, dims.Rules(industry_keywords=words))
+        plans.append(out._jdf.queryExecution().optimizedPlan().treeString().count("\n"))
+        assert out.where("kw_industry = 'Pets'").count() > 0
+    assert plans[0] == plans[1]
+    none = dims.Rules(industry_keywords=words.where("false"))
+    assert classify.industry_by_keywords(emails, none).where("kw_industry IS NOT NULL").count() == 0
+
+
+def test_keywords_are_filed_under_rare_grams(spark):
+    words = spark.createDataFrame([("common head one",), ("common head two",), ("abc",), ("",), (None,), ("abc",)], "keyword string")
+    got = sorted((r["keyword"], r["gram"]) for r in patterns.filed(words).collect())
+    assert [k for k, _ in got] == ["abc", "abc", "common head one", "common head two"]
+    assert got[0][1] == "abc" and got[2][1] != got[3][1]
+
+
 @pytest.mark.parametrize("sender,subject,want", [
     ("Nykaa Fashion <x@mail.nykaa.com>", "hi", "Nykaa"),
     ("The Good Team <a@news.goodthings.co.uk>", "hi", "Good Team"),

@@ -6,10 +6,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from conftest import AS_OF, SMALL
 from mailprism.plans import registry
 from mailprism.sources import mail, store
-from mailprism.streaming import jobs
+from mailprism.streaming import jobs, payments
 
 
 def b64(text):
@@ -114,16 +114,87 @@ def test_stream_replay_equals_batch(spark, emails, tmp_path, files):
 
 def test_payment_stream_in_batches(spark, table, tmp_path):
     events = [(1, 7, "2024-01-01 00:00:00", "charged", "a"), (2, 7, "2024-01-05 00:00:00", "cancelled", "a"), (3, 7, "2024-01-09 00:00:00", "charged", "a"),
-              (4, 8, "2024-01-09 00:00:00", "charged", "b"), (5, 7, "2024-01-10 00:00:00", "activated", "a2"), (6, 7, "2024-01-11 00:00:00", "charged", "a2")]
+              (4, 8, "2024-01-09 00:00:00", "charged", "b"), (5, 7, "2024-01-10 00:00:00", "activated", "a2"), (6, 7, "2024-01-11 00:00:00", "charged", "a2"),
+              (7, 9, "2024-03-01 00:00:00", "charged", "c"), (8, 9, "2024-03-02 00:00:00", "paused", "c")]
     schema = "event_id long, user_id long, event_time timestamp, event string, subscription_id string, tier string, billing_cycle string"
     for n, (i, u, t, e, s) in enumerate(events):
         made = table([(i, u, t, f"subscription.{e}", s, None, None)], schema.replace("timestamp", "string")).withColumn("event_time", F.col("event_time").cast("timestamp"))
         made.coalesce(1).write.parquet(str(tmp_path / "ev" / f"p{n}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "ev"))
     for _ in range(2):  # the second run finds no new events
-        got = {r["user_id"]: (r["subscription_id"], str(r["last_charge"]), r["cancelled"]) for r in jobs.payment_state(spark, stream, str(tmp_path / "st")).collect()}
-        assert got == {7: ("a2", "2024-01-11 00:00:00", False), 8: ("b", "2024-01-09 00:00:00", False)}
-    assert len(store.names(spark, str(tmp_path / "st/state"))) == 2
+        got = {r["user_id"]: (r["subscription_id"], str(r["last_charge"]), r["cancelled"]) for r in payments.payment_state(spark, stream, str(tmp_path / "st")).collect()}
+        assert got == {7: ("a2", "2024-01-11 00:00:00", False), 8: ("b", "2024-01-09 00:00:00", False), 9: ("c", "2024-03-01 00:00:00", False)}
+    changes = spark.read.parquet(str(tmp_path / "st/changes"))
+    per_batch = {r["batch"]: r["u"] for r in changes.where("NOT expired").groupBy("batch").agg(F.array_sort(F.collect_set("user_id")).alias("u")).collect()}
+    assert all(len(users) == 1 for users in per_batch.values()) and len(per_batch) == 7  # a batch emits its own users only
+    late = {r["user_id"] for r in changes.where("expired").collect()}
+    assert late == {7, 8}  # their paid month is over when March begins
+    assert {r["user_id"] for r in payments.current_subscriptions(spark, str(tmp_path / "st")).where("expired").collect()} == {7, 8}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_payment_stream_equals_batch(spark, tmp_path, parts):
+    from mailprism.operators.accounts import fold_events
+    from mailprism.plans import fixtures
+
+    events = fixtures.view(spark, SMALL, "payment_events")
+    times = [r["event_time"] for r in events.select("event_time").orderBy("event_time").collect()]
+    cuts = [times[len(times) * k // parts] for k in range(1, parts)]
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        rows = events.where((F.lit(low is None) | (F.col("event_time") >= F.lit(low))) & (F.lit(high is None) | (F.col("event_time") < F.lit(high))))
+        rows.coalesce(1).write.parquet(str(tmp_path / "ev" / f"p{k}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "ev"))
+    names = ["user_id", "subscription_id", "tier", "billing_cycle", "activated_at", "last_charge", "cancelled"]
+    rows_of = lambda df: sorted(map(str, df.select(names).collect()))
+    assert rows_of(payments.payment_state(spark, stream, str(tmp_path / "st"))) == rows_of(fold_events(events))
+
+
+def test_payment_stream_with_first_states(spark, table, tmp_path):
+    users = table([(7, "a", "pro", "annual"), (8, "b", "starter", "monthly")], "user_id long, subscription_id string, tier string, billing_cycle string")
+    schema = "event_id long, user_id long, event_time timestamp, event string, subscription_id string, tier string, billing_cycle string"
+    made = table([(1, 7, "2024-01-01 00:00:00", "subscription.charged", "other", None, None), (2, 7, "2024-01-02 00:00:00", "subscription.charged", "a", None, None)], schema.replace("timestamp", "string"))
+    made.withColumn("event_time", F.col("event_time").cast("timestamp")).write.parquet(str(tmp_path / "ev"))
+    out = payments.payment_state(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "ev")), str(tmp_path / "st"), start=payments.as_state(users))
+    got = {r["user_id"]: (r["subscription_id"], r["tier"], str(r["last_charge"])) for r in out.collect()}
+    assert got == {7: ("a", "pro", "2024-01-02 00:00:00"), 8: ("b", "starter", "None")}
+
+
+def tree_of(root):
+    return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_html_sink(spark, table, tmp_path):
+    rows = [(1, "Big Brand!", "2024-01-02 10:00:00", "Hello, World", "<p>é\n1</p>"), (2, "Big Brand!", "2024-01-02 11:00:00", "hello world", "<p>2</p>"),
+            (3, None, None, "新商品", None), (4, "品", "2024-01-02 10:00:00", None, "")]
+    mails = table(rows, "id long, brand string, at string, subject string, html string").withColumn("received_at", F.col("at").cast("timestamp"))
+    mail.write_html_tree(mails, str(tmp_path / "t"))
+    want = {"big-brand/2024-01-02_hello-world.html": "<p>é\n1</p>", "big-brand/2024-01-02_hello-world-2.html": "<p>2</p>", "unknown/untitled.html": "", "unknown/2024-01-02_.html": ""}
+    assert tree_of(tmp_path / "t") == want
+    mail.write_html_tree(mails.where("id = 4"), str(tmp_path / "t"), mode="append")
+    assert tree_of(tmp_path / "t") == want
+    mail.write_html_tree(mails.where("id = 1"), f"file:{tmp_path}/t")
+    assert tree_of(tmp_path / "t") == dict(list(want.items())[:1])
+    assert [r["html"] for r in mail.read_html_tree(spark, str(tmp_path / "t")).collect()] == ["<p>é\n1</p>"]
+
+
+def test_html_sink_leaves_nothing_of_failed_and_repeated_tasks(spark, tmp_path):
+    spark.dataSource.register(mail.HtmlTreeSource)
+    rows = spark.range(40).select(F.lit("a").alias("folder"), F.concat("id", F.lit(".html")).alias("name"), F.col("id").cast("string").alias("content"))
+    rows.where("id < 10").write.format("html_tree").mode("append").save(str(tmp_path / "t"))
+    bad = rows.repartition(4).withColumn("content", F.when(F.col("name") == "33.html", F.raise_error(F.lit("no"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="no"):
+        bad.write.format("html_tree").mode("overwrite").save(str(tmp_path / "t"))
+    assert tree_of(tmp_path / "t") == {f"a/{k}.html": str(k) for k in range(10)}  # the old tree, no staging folder
+
+    from mailprism.sources.html_tree import HtmlTreeWriter, TaskFiles
+
+    writer = HtmlTreeWriter(str(tmp_path / "u"), False)
+    for attempt in ("0-1", "0-2"):  # two attempts of one task; only the second is committed
+        folder = tmp_path / "u" / writer.stage.rsplit("/", 1)[1] / attempt / "a"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / "x.html").write_text(attempt)
+    writer.commit([TaskFiles(str(folder.parent), 1), None])
+    assert tree_of(tmp_path / "u") == {"a/x.html": "0-2"} and [p.name for p in (tmp_path / "u").iterdir()] == ["a"]
 
 
 def test_read_write_emails(spark, emails, tmp_path):
@@ -166,7 +237,7 @@ def test_html_at_any_depth(spark, tmp_path):
 def test_sessions_over_several_batches(spark, mails, tmp_path):
     from pyspark.sql import functions as F
 
-    from mailprism.streaming import jobs
+    from mailprism.streaming import jobs, payments
 
     times = ["2024-01-09 10:00:00", "2024-01-10 20:00:00", "2024-01-12 01:00:00", "2024-01-20 00:00:00", "2024-01-08 09:00:00", "2024-01-21 23:00:00", "2024-01-30 00:00:00"]
     made = mails([("A", t, "x") for t in times])
