@@ -15,6 +15,7 @@ from mailprism.plans.catalog import query
 from mailprism.session import scratch_path
 from mailprism.sources import mail as ml
 from mailprism.sources import store
+from mailprism.sources.keyed import KeyedTable
 from mailprism.streaming import jobs, payments
 
 T = s.T
@@ -267,23 +268,28 @@ def _(i):
     return files.groupBy(F.substring_index("path", "/", 1).alias("brand")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("chars"))
 
 
-_NEW = "e.id % 3 <> 0"
+def keyed_mails(i):
+    """A third of the mails in a keyed table, and all mails twice as the next batch."""
+    table = KeyedTable(i.spark, scratch_path(i.spark, "keyed"), "gmail_id")
+    rows = i.emails.select("id", "gmail_id", "received_at")
+    table.append(rows.where("id % 3 = 0"))
+    return table, rows.unionByName(rows)
 
 
-@query("s07_append_new", f"""
-WITH n AS (SELECT gmail_id FROM emails e WHERE {_NEW} AND id % 2 = 0)
-SELECT (SELECT count(*) FROM n) AS created, (SELECT count(*) * 2 FROM emails WHERE id % 2 = 0) - (SELECT count(*) FROM n) AS skipped""")
+@query("s07_append_new", """
+SELECT strftime(received_at, '%Y-%m') AS month, count(*) FILTER (id % 3 <> 0) AS created, count(*) * 2 - count(*) FILTER (id % 3 <> 0) AS skipped, count(*) AS stored FROM emails GROUP BY 1""")
 def _(i):
-    stored = i.emails.where("id % 3 = 0").select("gmail_id")
-    batch = i.emails.where("id % 2 = 0")
-    return store.append_new(stored, batch.unionByName(batch), "gmail_id")[1]
+    table, batch = keyed_mails(i)
+    created = rk.counts(table.append(batch), "month", "created")
+    offered = rk.counts(batch, F.date_format("received_at", "yyyy-MM").alias("month"), "offered")
+    stored = rk.counts(table.rows(), "month", "stored")
+    return offered.join(created, "month").join(stored, "month").select("month", "created", (F.col("offered") - F.col("created")).alias("skipped"), "stored")
 
 
-@query("j01_unseen", f"SELECT id, gmail_id FROM emails e WHERE {_NEW} AND id % 2 = 0")
+@query("j01_unseen", "SELECT id, gmail_id FROM emails e WHERE id % 3 <> 0")
 def _(i):
-    stored = i.emails.where("id % 3 = 0").select("gmail_id")
-    batch = i.emails.where("id % 2 = 0")
-    return store.unseen(stored, batch.unionByName(batch), "gmail_id").select("id", "gmail_id")
+    table, batch = keyed_mails(i)
+    return table.fresh(batch).select("id", "gmail_id")
 
 
 @query("s08_skip_listed", "SELECT gmail_id AS id, subject FROM emails WHERE id % 4 <> 0")

@@ -34,46 +34,6 @@ def append_new(existing: DataFrame, batch: DataFrame, key: str = "gmail_id", ord
     return new, report
 
 
-def append_to(spark: SparkSession, path: str, batch: DataFrame, key: str = "gmail_id", partition: Column | None = None) -> None:
-    """Append unseen rows to a month-partitioned Parquet table. Re-running a batch adds nothing."""
-    month = partition if partition is not None else F.date_format("received_at", "yyyy-MM")
-    rows = batch.withColumn("month", month)
-    if _exists(spark, path):
-        rows = unseen(spark.read.parquet(path), rows, key)
-    else:
-        rows = rows.dropDuplicates([key])
-    rows.write.mode("append").partitionBy("month").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def _system(spark: SparkSession, path: str):
-    """(file system, path) as the JVM knows them."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def names(spark: SparkSession, folder: str) -> list[str]:
-    system, target = _system(spark, folder)
-    return [entry.getPath().getName() for entry in system.listStatus(target)]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    system, target = _system(spark, path)
-    system.delete(target, True)
-
-
-def keep_only(spark: SparkSession, folder: str, name: str) -> None:
-    """Delete all entries of ``folder`` but ``name``."""
-    for entry in names(spark, folder):
-        if entry != name:
-            remove(spark, f"{folder}/{entry}")
-
-
 def skip_listed(batch: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Batch rows whose key is not in a list of processed ids."""
     return batch.join(ids.select(F.trim("value").alias(key)).where(F.col(key) != ""), key, "left_anti")

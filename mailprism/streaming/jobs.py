@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.functions.subjects import has_emoji, is_discount, subject_formula
 from mailprism.operators.accounts import USAGE_EVENTS
-from mailprism.sources import mail, store
+from mailprism.sources import files, mail
+from mailprism.sources.keyed import KeyedTable
 
 MONDAY_OFFSET = "4 days"  # 1970-01-01 was a Thursday: weeks that start on Monday
 
@@ -35,7 +38,7 @@ def run_available(stream: DataFrame, path: str, mode: str = "update", checkpoint
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
         if mode == "complete":
-            store.keep_only(batch.sparkSession, f"{path}/data", f"batch={batch_id}")
+            files.keep_only(batch.sparkSession, f"{path}/data", f"batch={batch_id}")
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
@@ -98,14 +101,21 @@ def activity_windows(stream: DataFrame, kind: str = "sliding", delay: str = "7 d
 
 def start_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, t, rules=None, files_per_trigger: int = 16,
                  available_now: bool = True):
-    """Message files → e-mail table, batch by batch, appending unseen ids only."""
+    """Message files → e-mail table, batch by batch, appending unseen ids only (see ``KeyedTable``).
+
+    A batch is one run of the table, named by the checkpoint and its number, so a retried one replaces what it left.
+    """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     messages = (
         spark.readStream.schema(mail.message_schema()).option("maxFilesPerTrigger", files_per_trigger).json(source))
 
     def append(batch, batch_id):
-        rows = mail.ingest(mail.with_headers(batch), t, rules, staging=f"{checkpoint}-staging/batch={batch_id}")
-        store.append_to(batch.sparkSession, target, rows, "gmail_id")
-        store.keep_only(batch.sparkSession, f"{checkpoint}-staging", "")
+        run = f"{name}-{batch_id}"
+        table = KeyedTable(batch.sparkSession, target, "gmail_id")
+        new = table.fresh(batch.withColumn("gmail_id", F.col("id")), run=run).drop("gmail_id")  # known mails are not parsed again
+        rows = mail.ingest(mail.with_headers(new), t, rules, staging=f"{checkpoint}-staging/batch={batch_id}")
+        table.append(rows, run=run, checked=True)
+        files.keep_only(batch.sparkSession, f"{checkpoint}-staging", "")
 
     writer = messages.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     if available_now:

@@ -89,13 +89,6 @@ def test_append_skips_known_and_repeated(table):
     assert tuple(report.collect()[0]) == (1, 2)
 
 
-def test_append_to_table_is_idempotent(spark, table, tmp_path):
-    batch = table([("a", "2024-01-01 00:00:00"), ("b", "2024-02-01 00:00:00"), ("b", "2024-02-01 00:00:00")], "gmail_id string, received_at string").withColumn("received_at", F.col("received_at").cast("timestamp"))
-    for _ in range(2):
-        store.append_to(spark, str(tmp_path / "t"), batch)
-    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "t")).select("gmail_id").collect()) == ["a", "b"]
-
-
 def test_label_upsert(table):
     schema = "brand_name string, industry string, confidence double, classified_by string"
     cache = table([("A", "X", 1.0, "manual"), ("B", "X", 0.9, "keyword"), ("C", "X", 0.9, "ai")], schema)
