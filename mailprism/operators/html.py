@@ -9,23 +9,20 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailprism.functions import markup
+from mailprism.functions import blocks, markup
 
 cloudpickle.register_pickle_by_value(markup)
+cloudpickle.register_pickle_by_value(blocks)
 
 PREVIEW_CHARS = 200
 TEMPLATE_BLOCKS = 20
 BODY_CHARS = 200
 ROWS = 64  # pages whose tokens a worker holds at once
 
-# Element groups and the marks of logo images and button links.
+# Element groups and the marks of logo images.
 DROPPED = ["script", "object", "embed"]
 HEADINGS = ["h1", "h2", "h3", "h4"]
-BLOCK_HEADINGS = ["h1", "h2", "h3"]
-TEXT_BLOCKS = ["p", "td", "div"]
 LOGO_MARKS = ["logo", "brand", "header-logo", "main-logo", "site-logo"]
-BUTTON_STYLES = ["background-color", "background:", "padding:", "border-radius"]
-BUTTON_CLASSES = ["btn", "button", "cta"]
 
 
 def token_udf():
@@ -75,11 +72,6 @@ def between(tokens: Column, low: Column, high: Column) -> Column:
     return F.filter(tokens, lambda t: (t["pos"] > low) & (t["pos"] < high))
 
 
-def neighbours(tokens: Column) -> Column:
-    """Pairs (one, next) of tokens that follow each other in a list; the last one's next is null."""
-    return F.transform(tokens, lambda t, i: F.struct(t.alias("one"), F.get(tokens, i + 1).alias("next")))
-
-
 def escaped(text: Column, quotes: bool) -> Column:
     for plain, entity in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;"), ("'", "&#x27;")] if quotes else [])]:
         text = F.replace(text, F.lit(plain), F.lit(entity))
@@ -120,20 +112,12 @@ def _text(df: DataFrame) -> DataFrame:
 
 
 def _structure(df: DataFrame) -> DataFrame:
-    """A link reaches from a start tag to the next tag of a link; a heading's text is what directly follows its start tag."""
+    """A link reaches from a start tag to the next tag of a link; a heading's text is what directly follows its start tag.
+    The tokens know these texts, so every list is one pass over them."""
     data, tokens = F.col("_data"), F.col("_tokens")
-    df = df.withColumns({
-        "_anchors": neighbours(F.filter(tokens, lambda t: t["tag"] == "a")),
-        "_heads": F.filter(tokens, lambda t: is_close(t, *HEADINGS)),
-        "_titles": F.filter(data, lambda t: t["follows"].isin(*HEADINGS)),
-    })
-    pairs = F.filter("_anchors", lambda p: (p["one"]["kind"] == "open") & F.coalesce(p["next"]["kind"] == "close", F.lit(False)))
-    links = F.transform(pairs, lambda p: F.struct(
-        attribute(p["one"], "href").alias("href"), strip(joined(between(data, p["one"]["pos"], p["next"]["pos"]), "")).alias("text")))
-    linked = F.filter("_anchors", lambda p: p["one"]["kind"] == "open")
-    in_link = lambda t: F.exists(linked, lambda p: (t["pos"] > p["one"]["pos"]) & (p["next"].isNull() | (t["pos"] < p["next"]["pos"])))
-    heads = F.transform("_heads", lambda h, i: F.struct(
-        h["tag"].alias("tag"), strip(joined(between(F.col("_titles"), F.coalesce(F.get("_heads", i - 1)["pos"], F.lit(-1)), h["pos"]), "")).alias("text")))
+    links = F.transform(F.filter(tokens, lambda t: is_open(t, "a") & t["inner"].isNotNull()), lambda t: F.struct(
+        attribute(t, "href").alias("href"), strip(t["inner"]).alias("text")))
+    heads = F.transform(F.filter(tokens, lambda t: is_close(t, *HEADINGS)), lambda t: F.struct(t["tag"].alias("tag"), strip(t["inner"]).alias("text")))
     images = F.transform(F.filter(tokens, lambda t: is_open(t, "img")), lambda t: F.struct(attribute(t, "src").alias("src"), attribute(t, "alt").alias("alt")))
     viewport = lambda t: (F.lower(attribute(t, "name")) == "viewport") | F.lower(attribute(t, "content")).contains("viewport")
     return df.withColumns({
@@ -141,7 +125,7 @@ def _structure(df: DataFrame) -> DataFrame:
         "list_count": F.size(F.filter(tokens, lambda t: is_open(t, "ul", "ol"))),
         "has_viewport": F.exists(tokens, lambda t: is_open(t, "meta") & viewport(t)),
         "has_dark_mode": F.exists(tokens, lambda t: (t["kind"] == "text") & ~outside(t, "style") & t["text"].contains("prefers-color-scheme")),
-        "copy_text": strip(joined(F.filter(data, lambda t: ~in_link(t)), " ")),
+        "copy_text": strip(joined(F.filter(data, lambda t: ~t["linked"]), " ")),
     })
 
 
@@ -165,55 +149,29 @@ def _signals(df: DataFrame) -> DataFrame:
         F.when(F.col("_footer").isNotNull(), joined(inside, "")).alias("footer_text"), joined(F.col("_seen"), "").alias("all_text")))
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    """Template blocks in reading order: images, headings, button links and paragraphs, each numbered in its kind.
-
-    A heading is a start tag whose next heading tag is an end tag. A paragraph begins at a text element that stands
-    neither in one nor in a heading, and lasts to the first end of a text element unless a heading begins before.
-    """
-    tokens, data, void = F.col("_tokens"), F.col("_data"), F.lit(None).cast("string")
-    words = lambda low, high: strip(F.array_join(F.transform(between(data, low, high), lambda t: strip(t["text"])), " "))
-    part = lambda kind, pos, tag=void, text=void, url=void, alt=void, width=void: F.struct(
-        F.lit(kind).alias("type"), pos.alias("at"), tag.alias("tag"), text.alias("text"), url.alias("url"), alt.alias("alt"), width.alias("width"))
-    tags = [*BLOCK_HEADINGS, *TEXT_BLOCKS]
-    df = df.withColumns({
-        "_titled": neighbours(F.filter(tokens, lambda t: t["tag"].isin(*BLOCK_HEADINGS))),
-        "_marks": F.filter(tokens, lambda t: t["tag"].isin(*tags)),
-        "_buttons": F.filter(tokens, lambda t: is_open(t, "a") & (
-            F.lower(attribute(t, "style")).rlike("|".join(BUTTON_STYLES)) | F.lower(attribute(t, "class")).rlike("|".join(BUTTON_CLASSES)))),
-    })
-    images = F.transform(F.filter(tokens, lambda t: is_open(t, "img")), lambda t: part(
-        "image", t["pos"], alt=attribute(t, "alt"), url=attribute(t, "src"), width=attribute(t, "width")))
-    titled = F.filter("_titled", lambda p: (p["one"]["kind"] == "open") & F.coalesce(p["next"]["kind"] == "close", F.lit(False)))
-    headings = F.transform(titled, lambda p: part("heading", p["next"]["pos"], p["one"]["tag"], words(p["one"]["pos"], p["next"]["pos"])))
-
-    in_heading = lambda t: F.exists("_titled", lambda p: (p["one"]["kind"] == "open") & (t["pos"] > p["one"]["pos"]) & (
-        p["next"].isNull() | (t["pos"] < p["next"]["pos"])))
-    starts = F.transform("_marks", lambda t, i: F.struct(
-        t.alias("one"), F.get("_marks", i - 1).alias("before"),
-        F.get(F.filter("_marks", lambda x: (x["pos"] > t["pos"]) & ~is_open(x, *TEXT_BLOCKS)), 0).alias("next")))
-    paragraphs = F.filter(starts, lambda p: is_open(p["one"], *TEXT_BLOCKS) & ~in_heading(p["one"]) & ~F.coalesce(
-        is_open(p["before"], *TEXT_BLOCKS), F.lit(False)) & F.coalesce(is_close(p["next"], *TEXT_BLOCKS), F.lit(False)))
-    paragraphs = F.transform(paragraphs, lambda p: part("text", p["next"]["pos"], p["one"]["tag"], words(p["one"]["pos"], p["next"]["pos"])))
-
-    df = df.withColumn("_ended", F.filter("_buttons", lambda b: b["ends"].isNotNull()))
-    told = lambda b: F.try_element_at(F.filter(data, lambda t: (t["pos"] < b["ends"]) & ~F.exists(
-        "_ended", lambda o: (o["ends"] > t["pos"]) & (o["ends"] < b["ends"]))), F.lit(-1))["text"]
-    buttons = F.transform("_ended", lambda b: part(
-        "cta", b["ends"], F.lit("a"), F.coalesce(F.nullif(strip(told(b)), F.lit("")), F.lit("Shop Now")), attribute(b, "href")))
-    number = {"cta": lambda x: F.array_position(F.transform("_buttons", lambda b: b["ends"]), x["at"]).cast("int")}
-
-    def slots(found: Column, prefix: str, kind: str) -> Column:
-        return F.transform(found, lambda x, i: x.withField("slot", F.concat(F.lit(f"{prefix}_"), number.get(kind, lambda _: i + 1)(x).cast("string"))))
-
-    df = df.withColumns({
-        "_images": slots(images, "image", "image"),
-        "_headings": slots(F.filter(headings, lambda x: F.length(x["text"]) > 2), "heading", "heading"),
-        "_paragraphs": slots(F.filter(paragraphs, lambda x: F.length(x["text"]) > 10), "body", "text"),
-        "_ctas": slots(buttons, "cta", "cta"),
-    })
-    every = F.array_sort(F.concat("_images", "_headings", "_paragraphs", "_ctas"), lambda a, b: a["at"] - b["at"])
-    return df.withColumn("blocks", F.transform(every, lambda x: F.struct(*(x[c].alias(c) for c in ("type", "slot", "tag", "text", "url", "alt", "width")))))
+BLOCK = "struct<" + ",".join(f"{c}:string" for c in blocks.FIELDS) + ">"
+
+
+def _block_udf():
+    """Vectorised UDF html -> blocks."""
+    find = blocks.page_blocks
+
+    @F.pandas_udf(f"array<{BLOCK}>")
+    def found(pages: pd.Series) -> pd.Series:
+        return pages.map(find)
+
+    return found
+
+
+@F.udtf(returnType="pos int, " + ", ".join(f"{c} string" for c in blocks.FIELDS))
+class TemplateBlocks:
+    """Table function: one row per template block of a page. A template is the ``first`` blocks with texts of at most ``body_chars``
+    characters; null gives all blocks and whole texts."""
+
+    def eval(self, html: str, first: int = TEMPLATE_BLOCKS, body_chars: int = BODY_CHARS):
+        for pos, block in enumerate(blocks.page_blocks(html)[:first]):
+            text = block["text"]
+            yield (pos, *({**block, "text": text[:body_chars] if text is not None and block["type"] == "text" else text}).values())
 
 
 PARTS = {
@@ -221,18 +179,21 @@ PARTS = {
     "text": (_text, ["visible_text", "all_text"]),
     "structure": (_structure, ["links", "images", "headings", "list_count", "has_viewport", "has_dark_mode", "copy_text"]),
     "signals": (_signals, ["signals"]),
-    "blocks": (_blocks, ["blocks"]),
 }
 
 
 def html_features(df: DataFrame, parts=("text", "structure", "signals"), html: str = "html", keep_html: bool = True) -> DataFrame:
-    """Adds the requested parts as columns; the HTML is read once. The part ``error`` says why a page's rest could not be read."""
-    out = df.withColumn("_parsed", token_udf()(F.col(html))).withColumn("_tokens", F.col("_parsed.tokens"))
-    if set(parts) - {"clean", "error"}:
+    """Adds the requested parts as columns; the HTML is read once. The part ``error`` says why a page's rest could not be
+    read, the part ``blocks`` is the template's blocks, found in a pass of their own."""
+    out = df
+    if set(parts) - {"blocks"}:
+        out = out.withColumn("_parsed", token_udf()(F.col(html))).withColumn("_tokens", F.col("_parsed.tokens"))
+    if set(parts) - {"clean", "error", "blocks"}:
         out = _texts(out)
+    alone = {"error": lambda d: d.withColumn("error", F.col("_parsed.error")), "blocks": lambda d: d.withColumn("blocks", _block_udf()(F.col(html)))}
     for part in parts:
-        out = out.withColumn("error", F.col("_parsed.error")) if part == "error" else PARTS[part][0](out)
-    made = [c for part in parts for c in (["error"] if part == "error" else PARTS[part][1])]
+        out = (alone.get(part) or PARTS[part][0])(out)
+    made = [c for part in parts for c in ([part] if part in alone else PARTS[part][1])]
     return out.select(*(c for c in df.columns if keep_html or c != html), *made)
 
 
@@ -247,24 +208,18 @@ def visible_text(df: DataFrame, html: str = "html") -> DataFrame:
     return out.withColumn("preview", F.left("visible_text", F.lit(PREVIEW_CHARS)))
 
 
-def _cut(blocks: str, first: int | None, body_chars: int | None) -> Column:
-    found = F.slice(blocks, 1, first) if first is not None else F.col(blocks)
-    if body_chars is None:
-        return found
-    return F.transform(found, lambda b: F.when(b["type"] == "text", b.withField("text", F.left(b["text"], F.lit(body_chars)))).otherwise(b))
-
-
 def template_blocks(df: DataFrame, html: str = "html", first: int | None = TEMPLATE_BLOCKS, body_chars: int | None = BODY_CHARS) -> DataFrame:
-    """One row per template block (image, heading, cta, text). A template is the ``first`` blocks of a mail with texts of
-    at most ``body_chars``; None gives all blocks and whole texts."""
-    out = html_features(df, ("blocks",), html, keep_html=False).withColumn("blocks", _cut("blocks", first, body_chars))
-    keys = [c for c in out.columns if c != "blocks"]
-    return out.select(*keys, F.posexplode("blocks").alias("pos", "b")).select(*keys, "pos", "b.*")
+    """One row per template block (image, heading, cta, text): ``df`` in a lateral join with ``TemplateBlocks``."""
+    keys = [c for c in df.columns if c != html]
+    limits = (F.lit(n).cast("int") for n in (first, body_chars))
+    return df.lateralJoin(TemplateBlocks(F.col(html).outer(), *limits)).select(*keys, "pos", *blocks.FIELDS)
 
 
 def template_structure(df: DataFrame, html: str = "html", first: int | None = TEMPLATE_BLOCKS) -> DataFrame:
     """Hero flag and block counts of every mail's template (its ``first`` blocks)."""
-    out = html_features(df, ("blocks",), html, keep_html=False).withColumn("blocks", _cut("blocks", first, None))
+    out = html_features(df, ("blocks",), html, keep_html=False)
+    if first is not None:
+        out = out.withColumn("blocks", F.slice("blocks", 1, first))
 
     def number(kind):
         return F.size(F.filter("blocks", lambda b: b["type"] == kind))

@@ -301,15 +301,19 @@ def _(i):
 
 
 @query("s09_insight_store", """
-WITH x AS (SELECT DISTINCT brand FROM emails WHERE brand IS NOT NULL)
-SELECT 'weekly_scoreboard' AS insight_type, '2024-W05' AS week_label, 1 AS documents UNION ALL SELECT 'brand_counts', '2024-W05', count(*) FROM x""")
+WITH x AS (SELECT brand, count(*) AS cnt FROM emails WHERE brand IS NOT NULL GROUP BY brand), y AS (SELECT brand, count(*) AS cnt FROM emails WHERE brand IS NOT NULL AND type = 'Sale' GROUP BY brand)
+SELECT 'brand_counts' AS insight_type, '2024-W05' AS week_label, '2024-01-30 02:00:00' AS computed_at, brand, cnt FROM x
+UNION ALL SELECT 'brand_counts', '2024-W04', '2024-01-23 01:00:00', brand, cnt FROM x UNION ALL SELECT 'sale_counts', '2024-W05', '2024-01-30 01:00:00', brand, cnt FROM y""")
 def _(i):
     path = scratch_path(i.spark, "insights")
-    store.write_insight(ins.weekly_scoreboard(i.emails, i.t), "weekly_scoreboard", i.t, path, "2024-01-30 01:00:00")
-    tally = rk.counts(i.emails.where(rk.has_brand()), "brand")
-    store.write_insight(tally.limit(3), "brand_counts", i.t, path, "2024-01-30 01:00:00")
-    store.write_insight(tally, "brand_counts", i.t, path, "2024-01-30 02:00:00")  # replaces the three rows
-    return rk.counts(i.spark.read.parquet(path), ["insight_type", "week_label"], "documents")
+    mails = i.emails.where(rk.has_brand())
+    tally, sales = rk.counts(mails, "brand"), rk.counts(mails.where("type = 'Sale'"), "brand")
+    store.write_insight(tally, "brand_counts", "2024-01-23 00:00:00", path, "2024-01-23 01:00:00")
+    store.write_insight(sales, "sale_counts", i.t, path, "2024-01-30 01:00:00")
+    store.write_insight(sales, "brand_counts", i.t, path, "2024-01-30 01:00:00")
+    store.write_insight(tally, "brand_counts", i.t, path, "2024-01-30 02:00:00")  # replaces these rows and no others
+    return i.spark.read.parquet(path).select("insight_type", "week_label", stamp("computed_at").alias("computed_at"), F.get_json_object("data", "$.brand").alias("brand"),
+                                             F.get_json_object("data", "$.cnt").cast("long").alias("cnt"))
 
 
 @query("s10_latest_insight", """
@@ -337,12 +341,12 @@ def _(i):
 
 
 @query("s12_insert_absent", """
-SELECT (SELECT count(*) FROM (SELECT DISTINCT lower(trim(email)) AS k FROM users WHERE id % 2 = 0 EXCEPT SELECT lower(trim(email)) FROM users WHERE id % 3 = 0)) AS seeded,
- (SELECT count(*) FROM users WHERE id % 2 = 0) - (SELECT count(*) FROM users WHERE id % 2 = 0 AND id % 3 <> 0) AS skipped""")
+SELECT (SELECT count(*) FROM (SELECT DISTINCT lower(trim(email)) AS k FROM users EXCEPT SELECT lower(trim(email)) FROM users WHERE id % 3 = 0)) AS seeded,
+ (SELECT count(*) FROM users WHERE id % 3 = 0) AS skipped""")
 def _(i):
     users = i.view("users")
     existing = users.where("id % 3 = 0").select(F.concat(F.lit("  "), F.upper("email")).alias("email"))
-    return store.insert_absent(existing, users.where("id % 2 = 0").select("email"), "email")[1]
+    return store.insert_absent(existing, users.select("email"), "email")[1]
 
 
 _OLD = "SELECT s_name AS brand_name, 'Pets' AS industry, 0.5 AS confidence, CASE s_suppkey % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'keyword' ELSE 'ai' END AS classified_by FROM supplier WHERE s_suppkey % 2 = 0"

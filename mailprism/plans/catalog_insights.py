@@ -354,19 +354,18 @@ def _mt(k, name, cond):
             f"FROM (SELECT {r('now')} AS a, {r('NOT now')} AS b FROM x) WHERE a <> 0 AND b <> 0 AND abs(round(a - b, 1)) >= 2")
 
 
-_SHIFT = "(CASE WHEN id % 2 = 0 THEN received_at - INTERVAL 31 DAY ELSE received_at END)"
+_SHIFT = "(CASE WHEN id % 5 < 2 THEN received_at - INTERVAL 31 DAY ELSE received_at END)"
 
 
 @query("a32_month_trends", f"""
-WITH x AS (SELECT *, {_SHIFT} >= TIMESTAMP '2024-01-01' AS now FROM emails WHERE {_SHIFT} >= TIMESTAMP '2023-12-01' AND (id % 2 = 0 OR id % 3 > 0)),
+WITH x AS (SELECT *, {_SHIFT} >= TIMESTAMP '2024-01-01' AS now FROM emails WHERE {_SHIFT} >= TIMESTAMP '2023-12-01'),
 v AS (SELECT {s.count_if('now')} AS a, {s.count_if('NOT now')} AS b FROM x), vv AS (SELECT *, round_even({d('a - b')} / b * 100, 0) AS p FROM v WHERE a > 0 AND b > 0)
 SELECT 1 AS pos, 'volume' AS metric, CASE WHEN p > 0 THEN 'up' ELSE 'down' END AS direction, {d('a')} AS this_month, {d('b')} AS last_month, abs(p) AS change FROM vv WHERE abs(p) >= 5 UNION ALL
 {_mt(2, 'urgency language', s.has_any('subject', sub.URGENCY_WORDS['trend']))} UNION ALL {_mt(3, 'discount mentions', _DISC)} UNION ALL {_mt(4, 'question marks in subjects', "contains(subject, '?')")}""")
 def _(i):
-    # the events cover one month: even ids move back 31 days, and a third of the odd ones is left out so that volumes differ
-    moved = F.when(F.col("id") % 2 == 0, F.col("received_at") - F.expr("INTERVAL 31 DAYS")).otherwise(F.col("received_at"))
-    x = i.emails.withColumn("received_at", moved).where((F.col("id") % 2 == 0) | (F.col("id") % 3 > 0))
-    return st.month_trends(x, i.t)
+    # the events cover one month: two of five ids move back 31 days
+    moved = F.when(F.col("id") % 5 < 2, F.col("received_at") - F.expr("INTERVAL 31 DAYS")).otherwise(F.col("received_at"))
+    return st.month_trends(i.emails.withColumn("received_at", moved), i.t)
 
 
 @query("a29_data_points", f"""

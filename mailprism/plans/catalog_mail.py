@@ -320,8 +320,8 @@ def _(i):
 @query("p15_queue_and_targets", """
 WITH q AS (SELECT o_orderkey AS id, concat(o_orderpriority, ' ', o_orderstatus) AS content, CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'draft' ELSE 'approved' END AS status, o_orderdate AS created_at FROM orders),
 t AS (SELECT s_suppkey AS id, s_name AS handle, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(floor(s_acctbal) AS BIGINT) END AS follower_count, s_nationkey % 2 = 0 AS is_active FROM supplier)
-SELECT 'queue' AS part, id, content AS label, CAST(length(content) AS BIGINT) AS number FROM q WHERE status = 'approved'
-UNION ALL SELECT * FROM (SELECT 'target', id, handle, coalesce(follower_count, -1) FROM t WHERE is_active ORDER BY follower_count DESC NULLS LAST, handle LIMIT 30)""")
+SELECT status AS part, id, content AS label, CAST(length(content) AS BIGINT) AS number FROM q
+UNION ALL SELECT 'target', id, handle, coalesce(follower_count, -1) FROM t WHERE is_active""")
 def _(i):
     status = F.when(F.col("o_orderstatus") == "F", "posted").when(F.col("o_orderstatus") == "O", "draft").otherwise("approved")
     queue = i.table("orders").select(
@@ -329,9 +329,9 @@ def _(i):
     accounts = i.table("supplier").select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("handle"), (F.col("s_nationkey") % 2 == 0).alias("is_active"), F.lit(None).cast("string").alias("category"),
         F.when(F.col("s_suppkey") % 5 != 0, F.floor("s_acctbal").cast("long")).alias("follower_count"))
-    listed = fl.queue_list(queue, "approved").select(F.lit("queue").alias("part"), "id", F.col("content").alias("label"), F.col("char_count").alias("number"))
-    top = fl.targets(accounts).limit(30).select(F.lit("target").alias("part"), "id", F.col("handle").alias("label"), F.coalesce("follower_count", F.lit(-1)).cast("long").alias("number"))
-    return listed.unionByName(top)
+    listed = [fl.queue_list(queue, x).select(F.lit(x).alias("part"), "id", F.col("content").alias("label"), F.col("char_count").alias("number")) for x in ("approved", "posted", "draft")]
+    top = fl.targets(accounts).select(F.lit("target").alias("part"), "id", F.col("handle").alias("label"), F.coalesce("follower_count", F.lit(-1)).cast("long").alias("number"))
+    return listed[0].unionByName(listed[1]).unionByName(listed[2]).unionByName(top)
 
 
 @query("p16_newest_users", f"SELECT id, email, {s.ts('created_at')} AS created_at, (SELECT count(*) FROM users) AS total FROM users ORDER BY users.created_at DESC, id LIMIT 50 OFFSET 20")

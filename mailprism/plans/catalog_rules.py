@@ -159,14 +159,14 @@ def _(i):
     return cl.exact_brand_match(brands, dims.brand_industry_table(i.spark, i.rules)).select("brand", "industry")
 
 
-_BRANDS = """names AS (SELECT DISTINCT brand FROM emails WHERE brand IS NOT NULL UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT s_name || ' by apple store' FROM supplier UNION SELECT DISTINCT left(n_name, 4) FROM nation)"""
+_BRANDS = """names AS (SELECT DISTINCT brand FROM emails WHERE brand IS NOT NULL UNION SELECT DISTINCT p_name FROM part UNION SELECT DISTINCT s_name || ' by apple store' FROM supplier UNION SELECT DISTINCT n_name FROM nation)"""
 
 
 @query("j10_fuzzy_brand", f"WITH {KEYS}, {_BRANDS}, {fuzzy('names', 'fz')} SELECT brand, industry, CAST(confidence AS DOUBLE) AS confidence FROM fz")
 def _(i):
     names = (
         i.emails.where(rk.has_brand()).select("brand").union(i.table("part").select("p_name"))
-        .union(i.table("supplier").select(F.concat("s_name", F.lit(" by apple store")))).union(i.table("nation").select(F.left("n_name", F.lit(4)))))
+        .union(i.table("supplier").select(F.concat("s_name", F.lit(" by apple store")))).union(i.table("nation").select("n_name")))
     return cl.fuzzy_brand_match(names, dims.brand_industry_table(i.spark, i.rules))
 
 
@@ -389,10 +389,22 @@ def _(i):
         (sig["site_name"].isNull() & sig["twitter_site"].isNull() & sig["app_name"].isNull()).alias("no_meta"))
 
 
-@query("u04_html_udf")
+_IMG = "unnest(regexp_extract_all(html, '<img [^>]*>')) AS x, generate_subscripts(regexp_extract_all(html, '<img [^>]*>'), 1) AS n"
+_HEAD = "unnest(regexp_extract_all(html, '(?s)<h[1-3][^>]*>.*?</h[1-3]>')) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<h[1-3][^>]*>.*?</h[1-3]>'), 1) AS n"
+_BTN = "unnest(regexp_extract_all(html, '<a class=\"btn\"[^>]*>[^<]*</a>')) AS x, generate_subscripts(regexp_extract_all(html, '<a class=\"btn\"[^>]*>[^<]*</a>'), 1) AS n"
+_INNER = _UNESC.format(x="regexp_extract(x, '(?s)^<[^>]*>(.*)</[^>]*>$', 1)")
+
+
+@query("u04_html_udf", f"""
+WITH i AS (SELECT page_id, {_IMG} FROM email_html), h0 AS (SELECT page_id, {_HEAD} FROM email_html), b AS (SELECT page_id, {_BTN} FROM email_html),
+h1 AS (SELECT page_id, regexp_extract(x, '^<(h[1-3])', 1) AS tag, trim({_INNER}) AS text, n FROM h0), h AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) AS k FROM h1 WHERE length(text) > 2)
+SELECT page_id, 'image' AS type, 'image_' || n AS slot, NULL AS tag, NULL AS text, regexp_extract(x, 'src="([^"]*)"', 1) AS url, regexp_extract(x, 'alt="([^"]*)"', 1) AS alt, regexp_extract(x, 'width="([^"]*)"', 1) AS width FROM i
+UNION ALL SELECT page_id, 'heading', 'heading_' || k, tag, text, NULL, NULL, NULL FROM h
+UNION ALL SELECT page_id, 'cta', 'cta_' || n, 'a', {_INNER}, regexp_extract(x, 'href="([^"]*)"', 1), NULL, NULL FROM b""")
 def _(i):
-    f = ht.html_features(i.html, ("clean", "text", "structure", "signals", "blocks"), keep_html=False)
-    return f.select("page_id", F.length("clean").alias("clean_chars"), F.size("blocks").alias("blocks"), F.size("links").alias("links"), F.length("visible_text").alias("text_chars"))
+    i.html.createOrReplaceTempView("html_pages")
+    i.spark.udtf.register("page_blocks", ht.TemplateBlocks)
+    return i.spark.sql("SELECT page_id, b.type, b.slot, b.tag, b.text, b.url, b.alt, b.width FROM html_pages, LATERAL page_blocks(html, NULL, NULL) AS b WHERE b.type <> 'text'")
 
 
 # --- scores -----------------------------------------------------------------

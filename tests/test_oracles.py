@@ -21,7 +21,7 @@ def test_query(spark, duck, name):
     if name in ORACLES:
         problem = compare(df, duck, ORACLES[name])
         assert problem is None, problem
-    else:
+    elif name != "op9_secrets":  # this table has no secret: tests/llm compares its findings with a plain scan
         assert df.limit(1).count() == 1
 
 
