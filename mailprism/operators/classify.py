@@ -14,6 +14,7 @@ from mailprism.functions.brands import clean_brand, letters_and_digits, normaliz
 from mailprism.functions.scalars import title_case
 from mailprism.functions.subjects import contains_any
 from mailprism.operators import patterns
+from mailprism.operators.numbering import numbered
 from mailprism.operators.ranking import computed_once, counts, known_brand
 from mailprism.session import local_table
 
@@ -413,23 +414,10 @@ def merge_label_answers(rows: DataFrame, answers: DataFrame, allowed=None) -> Da
     return rows.join(last, ["batch_id", "pos"])
 
 
-def label_batches(df: DataFrame, size: int = 10, order: str = "id", ranges: int = 65_536) -> DataFrame:
-    """Adds batch_id and pos (1..size), numbering the rows by a unique integer ``order``.
-
-    Rows are numbered inside at most ``ranges`` equal id ranges and shifted by the count of the
-    ranges before, so no task numbers all rows.
-    """
-    ends = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi")).alias("e")).scalar()
-    width = F.ceil((F.col("_e.hi") - F.col("_e.lo") + 1) / ranges)
-    rows = df.withColumn("_e", ends)
-    rows = rows.withColumn("_range", F.floor((F.col(order) - F.col("_e.lo")) / width).cast("long")).drop("_e")
-    sizes = counts(rows, "_range", "_n")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
-    n = F.col("_rn") + F.col("_off") - 1
-    out = local.join(shift, "_range")
-    return out.withColumns({"batch_id": F.floor(n / size).cast("long"), "pos": (n % size + 1).cast("int")}).drop("_range", "_rn", "_off")
+def label_batches(df: DataFrame, size: int = 10, order: str = "id", ranges: int | None = None) -> DataFrame:
+    """Adds batch_id and pos (1..size), numbering the rows by a unique ``order`` (see ``numbered``)."""
+    n = F.col("_n")
+    return numbered(df, order, name="_n", ranges=ranges).withColumns({"batch_id": F.floor(n / size).cast("long"), "pos": (n % size + 1).cast("int")}).drop("_n")
 
 
 def validated(answers: DataFrame) -> DataFrame:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailprism.functions.subjects import has_emoji, is_discount, subject_formula
 from mailprism.operators.accounts import USAGE_EVENTS
+from mailprism.plans import registry
 from mailprism.sources import files, mail
 from mailprism.sources.keyed import KeyedTable
 
+REACH = 4  # weeks that an insight looks back
 MONDAY_OFFSET = "4 days"  # 1970-01-01 was a Thursday: weeks that start on Monday
 
 
@@ -59,6 +63,67 @@ def newest_state(spark: SparkSession, path: str, keys) -> DataFrame:
     return last.select(*keys, "_v.*")
 
 
+def run_current(stream: DataFrame, path: str, keys: list[str], period: str) -> None:
+    """Process everything that is available of an update-mode stream and keep one version of every period (a day, a week).
+
+    A micro-batch opens the periods of its own rows, puts its rows in place of those with the same ``keys`` and writes a new
+    version of these periods; then the old ones are removed. A batch that is retried finds one or both versions and
+    comes to the same rows. Closed periods are never opened again.
+    """
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        version = f"{batch_id:012d}-{os.urandom(4).hex()}"
+        batch = batch.withColumn("period", F.date_format(period, "yyyy-MM-dd"))
+        touched = [f"period={r[0]}" for r in batch.select("period").distinct().collect()]
+        old = {t: files.names(spark, f"{path}/data/{t}") for t in touched}
+        folders = [f"{path}/data/{t}" for t in touched if old[t]]
+        rows = batch.withColumn("version", F.lit(version))
+        if folders:
+            before = spark.read.schema(rows.schema).option("basePath", f"{path}/data").parquet(*folders)
+            rows = rows.unionByName(before)
+        values = [c for c in rows.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v")).select(*keys, "v.*").withColumn("version", F.lit(version))
+        newest.write.mode("append").partitionBy("period", "version").parquet(f"{path}/data")
+        for t in touched:
+            for name in old[t]:
+                files.remove(spark, f"{path}/data/{t}/{name}")
+
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``run_current`` keeps. Where a batch was lost before it removed an old version, the newest one counts."""
+    data = f"{path}/data"
+    newest = [f"{data}/{p}/{max(v)}" for p in files.names(spark, data) if p.startswith("period=") and (v := [n for n in files.names(spark, f"{data}/{p}") if n.startswith("version=")])]
+    return spark.read.option("basePath", data).parquet(*newest).drop("period", "version")
+
+
+def refresh_insights(spark: SparkSession, source: str, schema, path: str, checkpoint: str, names=None, files_per_trigger: int = 64) -> None:
+    """Recompute the stored insights of the weeks that new files of the mail table ``source`` touch, up to the newest week.
+
+    The file stream's offsets know which files are new. A mail counts in its week and in those that look back on it
+    (``REACH``); only these (insight, week) partitions of the store at ``path`` are replaced, each from its own months. Without new
+    files there is no micro-batch and nothing is written.
+    """
+    def refresh(batch, batch_id):
+        session = batch.sparkSession
+        found = [r[0] for r in batch.where("received_at IS NOT NULL").select(F.date_trunc("week", "received_at")).distinct().collect()]
+        mails = session.read.schema(schema).parquet(source)
+        last = mails.agg(F.max(F.date_trunc("week", "received_at"))).first()[0]
+        weeks = sorted({w + timedelta(weeks=k) for w in found for k in range(REACH + 1)})
+        for week in weeks:
+            if week <= last:
+                end = str(week + timedelta(days=7, seconds=-1))
+                for name in names or registry.INSIGHTS:
+                    registry.compute_and_store(name, mails, end, path, end)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 # --- streams ----------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Classifiers against plain loops, label handling, HTML and scores."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,37 @@ def test_label_answers(table):
     assert {(r["id"], r["new_type"]) for r in got.collect()} == {(0, "Sale"), (1, "Promotional")}
 
 
+def test_numbers_of_clustered_ids(spark):
+    from mailprism.operators.numbering import numbered
+
+    ids = spark.range(2000).select(F.when(F.col("id") < 1990, F.col("id")).otherwise(F.col("id") * 10**12).alias("id"))  # nearly all in one place
+    out = numbered(ids, "id", ranges=8)
+    rows = sorted((r["id"], r["number"]) for r in out.collect())
+    assert [n for _, n in rows] == list(range(2000))
+    sizes = [r["count"] for r in spark.read.parquet(re.sub(r"/[^/]*$", "", out.inputFiles()[0])).groupBy(F.spark_partition_id()).count().collect()]
+    parts = spark.read.parquet(re.sub(r"/[^/]*$", "", out.inputFiles()[0])).groupBy(F.shiftright("_at", 33)).count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 500 and sum(sizes) == 2000
+    assert numbered(ids.where("false"), "id").collect() == []
+
+
+def test_a_long_page_takes_linear_time(spark):
+    import time
+
+    from mailprism.functions import blocks
+
+    def seconds(n):
+        page = "<a class=btn href=x>go</a><p>some words in here</p><h2>Title</h2>" * n
+        begun = time.process_time()
+        assert len(blocks.page_blocks(page)) == 3 * n
+        return time.process_time() - begun
+
+    seconds(500)
+    assert seconds(8000) < 16 * 4 * max(seconds(500), 0.02)
+    page = spark.createDataFrame([("<a href=x>go</a><p>some words in here</p><h2>Title</h2>" * 6000,)], "html string")  # 60,000 tokens
+    row = html.html_features(page, ("structure",)).select(F.size("links"), F.size("headings"), F.length("copy_text")).first()
+    assert tuple(row)[:2] == (6000, 6000)
+
+
 def test_clean_html(table):
     rows = table([(1, '<img width="1" src=x><p onclick=a>t</p><script>"</p>"</script>'), (2, "<object><p>x</p></object><b>1 &lt; 2</b><embed src=q>"), (3, None)], "id long, html string")
     got = {r["id"]: r["html"] for r in html.clean_html(rows).collect()}

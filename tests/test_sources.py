@@ -112,6 +112,37 @@ def test_stream_replay_equals_batch(spark, emails, tmp_path, files):
     assert pairs(got, "emails") == pairs(want, "count")
 
 
+def test_current_state_holds_one_version_per_week(spark, emails, tmp_path):
+    rows = emails.select("id", "gmail_id", "brand", "subject", "received_at")
+    rows.repartitionByRange(4, "received_at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.run_current(jobs.weekly_metrics_stream(stream, "60 days"), str(tmp_path / "out"), ["week_start", "formula"], "week_start")
+    got = jobs.current_state(spark, str(tmp_path / "out"))
+    from mailprism.functions.subjects import subject_formula
+
+    want = rows.groupBy(F.date_trunc("week", "received_at").alias("week_start"), subject_formula("subject").alias("formula")).count()
+    pairs = lambda df, c: sorted((str(r["week_start"]), r["formula"], r[c]) for r in df.collect())
+    assert pairs(got, "emails") == pairs(want, "count")
+    weeks = [p for p in (tmp_path / "out/data").iterdir() if p.name.startswith("period=")]
+    assert len(weeks) == rows.select(F.date_trunc("week", "received_at")).distinct().count() and all(len(list(w.iterdir())) == 1 for w in weeks)
+
+
+def test_insights_of_touched_weeks_only(spark, emails, tmp_path):
+    source, store_path, mark = (str(tmp_path / n) for n in ("mails", "store", "mark"))
+    first = emails.where("received_at < '2024-01-15'")
+    first.coalesce(1).write.parquet(source)
+    run = lambda: jobs.refresh_insights(spark, source, emails.schema, store_path, mark, ["weekly_scoreboard"])
+    written = lambda: {str(p.relative_to(store_path)): p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    run()
+    before = written()
+    run()  # no new files
+    assert written() == before and len(before) == first.select(F.date_trunc("week", "received_at")).distinct().count()
+    emails.where("received_at >= '2024-01-22'").coalesce(1).write.mode("append").parquet(source)
+    run()
+    after = written()
+    assert {k: v for k, v in after.items() if k in before} == before and len(after) > len(before)
+
+
 def test_payment_stream_in_batches(spark, table, tmp_path):
     events = [(1, 7, "2024-01-01 00:00:00", "charged", "a"), (2, 7, "2024-01-05 00:00:00", "cancelled", "a"), (3, 7, "2024-01-09 00:00:00", "charged", "a"),
               (4, 8, "2024-01-09 00:00:00", "charged", "b"), (5, 7, "2024-01-10 00:00:00", "activated", "a2"), (6, 7, "2024-01-11 00:00:00", "charged", "a2"),
