@@ -16,13 +16,24 @@ from mailprism.llm.common import Scratch, fresh, spark_of
 GAPS = (3, 6, 9)  # from the first kept run of three tokens to the second
 WINDOW = 12
 SUBSTITUTED = 2
-SHORTEST = 6  # tokens of an item that a mask can cover
+MASKED = 6  # tokens of an item that a mask can cover; shorter items are sought whole
+TELLING = 3  # tokens of an item whose occurrence makes a document go
 BROADCAST_ROWS = 400_000  # seeds of 24 bytes that every executor may hold
 
 
+# Scripts without spaces between words: each of their characters is a token.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+
+
 def words(text: str) -> Column:
-    """Runs of letters and digits, lower-cased; null and empty texts have none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    """Runs of letters and digits, lower-cased, and single characters of scripts without spaces; null and empty texts have none."""
+    apart = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")
+    return F.array_remove(F.split(apart, r"[^\p{L}\p{N}]+"), "")
+
+
+def whole(tokens: Column) -> Column:
+    """Hash of all tokens of a list."""
+    return F.xxhash64(F.size(tokens), tokens)
 
 
 def seeds(df: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
@@ -36,6 +47,14 @@ def seeds(df: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
     return placed.select(*keep, "at", F.explode(masked).alias("seed")).where("seed IS NOT NULL")
 
 
+def stretches(df: DataFrame, tokens: str, keep: list[str], sizes: list[int]) -> DataFrame:
+    """Per token position and size the hash of as many tokens: ``keep``, at, seed."""
+    t = F.col(tokens)
+    place = lambda n: lambda x, i: F.when(i + n <= F.size(t), F.struct(i.alias("at"), whole(F.slice(t, i + 1, n)).alias("seed")))
+    hashed = [F.transform(t, place(n)) for n in sizes]
+    return df.select(*keep, F.explode(F.concat(*hashed)).alias("s")).where("s IS NOT NULL").select(*keep, "s.at", "s.seed")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
              item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Documents that hold a passage of a benchmark item with at most two substituted tokens in twelve.
@@ -43,9 +62,9 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     One row per document and item: ``doc_id``, ``text_id`` (hash of the document's text), ``item_id``, ``item_copies`` (items of equal tokens: the smallest
     id stands for all), ``item_tokens``, ``doc_start`` (token of the document that lies on the item's first,
     below zero if the document begins inside the item), ``overlap`` (tokens compared), ``matching`` (equal ones),
-    ``best_window`` (most equal tokens in twelve in a row). Items of 6 to 11 tokens have to occur whole and
-    unchanged; shorter ones say nothing and are passed over. Null, empty and short texts give no rows, nor do
-    empty tables; rows that repeat a key and a text are one document; a null key is a key like any other. Other
+    ``best_window`` (most equal tokens in twelve in a row). Items of fewer than 12 tokens have to occur whole and
+    unchanged; those of fewer than 6, which no mask covers, are sought by a hash of all their tokens. Null and empty texts give no
+    rows, nor do empty tables; rows that repeat a key and a text are one document; a null key is a key like any other. Other
     columns are not looked at.
 
     The training side is never shuffled for the search while the seeds are few (counted, at most
@@ -54,14 +73,21 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """
     scratch = Scratch(spark_of(docs), "decontamination")
     bench = (items.select(F.col(item_key).alias("item_id"), words(item_text).alias("item_words"))
-             .where(F.size("item_words") >= SHORTEST)
+             .where(F.size("item_words") > 0)
              .groupBy("item_words").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("item_copies")))
     bench = scratch.save(bench)
-    sought = scratch.save(seeds(bench, "item_words", ["item_id"]).withColumnRenamed("at", "item_at"))
+    sizes = [r[0] for r in bench.where(F.size("item_words") < MASKED).select(F.size("item_words")).distinct().collect()]  # five numbers at most
+    sought = seeds(bench, "item_words", ["item_id"])
+    if sizes:
+        sought = sought.unionByName(bench.where(F.size("item_words") < MASKED).select("item_id", F.lit(0).alias("at"), whole(F.col("item_words")).alias("seed")))
+    sought = scratch.save(sought.withColumnRenamed("at", "item_at"))
     if sought.count() <= broadcast_rows:
         sought = F.broadcast(sought)
     own = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_id"), F.col(text).alias("text"))
-    placed = seeds(own.select("doc_id", "text_id", words("text").alias("doc_words")), "doc_words", ["doc_id", "text_id"])
+    cut = own.select("doc_id", "text_id", words("text").alias("doc_words"))
+    placed = seeds(cut, "doc_words", ["doc_id", "text_id"])
+    if sizes:
+        placed = placed.unionByName(stretches(cut, "doc_words", ["doc_id", "text_id"], sorted(sizes)))
     hits = placed.join(sought, "seed").select("doc_id", "text_id", "item_id", (F.col("at") - F.col("item_at")).alias("doc_start"))
     hits = scratch.save(hits.distinct())
 
@@ -89,26 +115,33 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without passages of a benchmark item, with their columns."""
-    found = overlaps(docs, items, key, text).select(F.col("doc_id").alias("key"), "text_id").distinct()
+    """The rows of ``docs`` without passages of a benchmark item, with their columns. Items of one or two tokens occur in any
+    text and make no document go; ``overlaps`` reports them."""
+    found = overlaps(docs, items, key, text).where(F.col("item_tokens") >= TELLING).select(F.col("doc_id").alias("key"), "text_id").distinct()
     marked = docs.withColumn(mark := fresh("text_id", docs), F.xxhash64(F.col(text)))
     kept = marked.join(found, marked[key].eqNullSafe(found["key"]) & (marked[mark] == found["text_id"]), "left_anti")
     return kept.select(*docs.columns)
 
 
+_TOKENS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + r"])', ' \1 ', 'g'), '[\p{L}\p{N}]+')"
+
 ORACLE = r"""
 WITH bench AS (
  SELECT words, min(item_id) AS item_id, count(*) AS item_copies
- FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark)
- WHERE len(words) >= 6 GROUP BY words),
-docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+ FROM (SELECT item_id, <tokens> AS words FROM benchmark)
+ WHERE len(words) > 0 GROUP BY words),
+docs AS (SELECT doc_id, <tokens> AS words FROM documents),
+short AS (SELECT DISTINCT len(words) AS size FROM bench WHERE len(words) < 6),
 gaps(gap) AS (VALUES (3), (6), (9)),
 sought AS (
  SELECT item_id, pos - 1 AS item_at, gap, array_to_string(words[pos:pos + 2] || words[pos + gap:pos + gap + 2], ' ') AS seed
- FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM bench), gaps WHERE pos + gap + 2 <= len(words)),
+ FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM bench), gaps WHERE pos + gap + 2 <= len(words)
+ UNION ALL SELECT item_id, 0, -len(words), array_to_string(words, ' ') FROM bench WHERE len(words) < 6),
 placed AS (
  SELECT doc_id, pos - 1 AS pos, gap, array_to_string(words[pos:pos + 2] || words[pos + gap:pos + gap + 2], ' ') AS seed
- FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM docs), gaps WHERE pos + gap + 2 <= len(words)),
+ FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM docs), gaps WHERE pos + gap + 2 <= len(words)
+ UNION ALL SELECT doc_id, pos - 1, -size, array_to_string(words[pos:pos + size - 1], ' ')
+ FROM (SELECT *, unnest(range(1, len(words) + 1)) AS pos FROM docs), short WHERE pos + size - 1 <= len(words)),
 hits AS (SELECT DISTINCT doc_id, item_id, pos - item_at AS doc_start FROM placed JOIN sought USING (gap, seed)),
 found AS (
  SELECT h.doc_id, h.item_id, doc_start, b.words AS bw, d.words AS dw, item_copies, greatest(-doc_start, 0) AS first,
@@ -127,4 +160,4 @@ good AS (
 SELECT doc_id, item_id, item_copies, CAST(item_tokens AS INTEGER) AS item_tokens, CAST(doc_start AS INTEGER) AS doc_start,
  CAST(overlap AS INTEGER) AS overlap, CAST(matching AS INTEGER) AS matching, CAST(best_window AS INTEGER) AS best_window
 FROM good WHERE r = 1
-"""
+""".replace("<tokens>", _TOKENS)

@@ -9,13 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailprism.llm.common import fit_in_task, pieces, remainder, spark_of
+from mailprism.llm.common import Scratch, fit_in_task, pieces, remainder, spark_of
 
 HIDDEN = 8  # units of a direction
 SPAN = 64  # bytes that a state is carried over
-ROWS = 2048  # spans that run side by side
+ROWS = 2048  # spans that run side by side, at most
+CELLS = 1 << 25  # probabilities that they have, about
 PER_LANGUAGE = 800  # documents of a language to fit on, at most
-LANGUAGES = 256  # languages to learn, at most: those with most documents
+SAMPLE = 204_800  # documents to fit on: with more languages each has fewer, but at least one
 SPANS = 6  # of a document to fit on, evenly over its text
 EPOCHS = 8
 UNKNOWN = "und"
@@ -146,20 +147,28 @@ def fit(sample: pd.DataFrame) -> dict:
     return {"languages": names, "parameters": [network.p[k].astype("<f4").tobytes() for k in sorted(network.p)]}
 
 
-def training_rows(docs: DataFrame, learn_from: Column | None, per_language: int, key: str, text: str, lang: str) -> DataFrame:
-    """At most ``per_language`` rows (text, lang) of each of the ``LANGUAGES`` most frequent languages, in a
-    pseudo-random order of their keys."""
+def training_rows(docs: DataFrame, learn_from: Column | None, per_language: int, key: str, text: str, lang: str, sample: int = SAMPLE) -> DataFrame:
+    """Rows (text, lang) of every language, in a pseudo-random order of their keys: at most ``per_language`` of each, and
+    ``sample`` shared evenly among the languages, but one of each at least.
+
+    Before a language's keys are ranked they are cut by a hash threshold that its count sets, so that its task sees few
+    more than it keeps, however many files there are.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     known = (known if learn_from is None else known.where(learn_from)).select(
         F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    scratch = Scratch(spark_of(docs), "languages")
+    often = scratch.save(known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    each = max(1, min(per_language, sample // max(1, often.count())))
 
     def first(df: DataFrame, *order: str) -> DataFrame:
         window = Window.partitionBy("lang").orderBy(*order)
-        return df.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language).drop("n")
+        return df.withColumn("n", F.row_number().over(window)).where(F.col("n") <= each).drop("n")
 
-    often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
-    drawn = first(known.select("k", "lang").distinct().join(F.broadcast(often.select("lang")), "lang").withColumn("h", F.xxhash64("k")), "h", "k")
-    texts = known.alias("t").join(F.broadcast(drawn).alias("d"), F.col("t.k").eqNullSafe(F.col("d.k")) & (F.col("t.lang") == F.col("d.lang")))
+    place = F.col("h") / F.lit(2.0**64) + 0.5  # of a hash among all, from 0 to 1
+    keys = known.select("k", "lang").withColumn("h", F.xxhash64("k")).join(often, "lang").where(place <= (4 * each + 200) / F.col("rows"))
+    drawn = scratch.save(first(keys.select("k", "lang", "h").distinct(), "h", "k"))
+    texts = known.alias("t").join(drawn.alias("d"), F.col("t.k").eqNullSafe(F.col("d.k")) & (F.col("t.lang") == F.col("d.lang")))
     rows = texts.select("t.lang", "t.text", F.xxhash64("t.k", "t.text").alias("h"))
     return first(rows, "h", "text").orderBy("h", "text", "lang").select("text", "lang")
 
@@ -170,8 +179,7 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
 
     Each byte gets a probability per language; their mean over the text is the document's. Null texts, texts
     without a letter, and all texts when no language is known, get ``und`` and score 0. ``learn_from``: condition
-    on rows that may be learnt from; at most ``per_language`` rows of a language and ``LANGUAGES`` languages
-    are (the sample broadcast for that holds keys only). Ties go to the first language by name; repeated rows are
+    on rows that may be learnt from; every language is learnt, from at most ``per_language`` of its rows. Ties go to the first language by name; repeated rows are
     predicted each; empty tables give no rows; other columns are not looked at.
     """
     sample = training_rows(docs, learn_from, per_language, key, text, lang)
@@ -190,8 +198,9 @@ def languages(docs: DataFrame, learn_from: Column | None = None, per_language: i
             for a, b in pieces([len(x) for x in raw]):
                 data, lengths, owner = spans_of(raw[a:b])
                 total = np.zeros((b - a, max(1, len(names))))
-                for at in range(0, len(data) if names else 0, ROWS):
-                    part = slice(at, at + ROWS)
+                step = max(16, min(ROWS, CELLS // (SPAN * max(1, len(names)))))
+                for at in range(0, len(data) if names else 0, step):
+                    part = slice(at, at + step)
                     sums = (network.probabilities(data[part]) * (np.arange(SPAN)[:, None] < lengths[part])[:, :, None]).sum(axis=0)
                     for k in range(len(names)):
                         total[:, k] += np.bincount(owner[part], sums[:, k], b - a)

@@ -71,7 +71,8 @@ def test_decontamination(docs_of, edges, nothing, bench):
 
 
 def test_secrets(edges, nothing):
-    assert secrets.findings(edges, path="source").count() >= 0
+    assert secrets.findings(edges, path="source").collect() == []  # no text holds a secret
+    assert secrets.findings(edges, path="source").collect() == []  # no text holds a secret
     assert secrets.findings(nothing).collect() == []
     cleaned = secrets.redact(edges, secrets.findings(edges))
     assert cleaned.columns == edges.columns and cleaned.count() == len(IDS)

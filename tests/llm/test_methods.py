@@ -410,3 +410,30 @@ def test_pipeline_stages(spark, texts):
         ids = b"".join(part.sort_values("start")["ids"])
         assert np.frombuffer(ids, "<u4").tolist() == [*model.encode(after[doc], add_special_tokens=False).ids, 0]
         assert [zlib.crc32(x) for x in part["ids"]] == part["ids_crc32"].tolist()
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_secrets_equal_a_plain_scan(spark, folder):
+    """The planted secrets of these tables are assigned hexadecimal values; sf0.001 has none."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    want = {(r["doc_id"], m.group(1)) for r in docs.select("doc_id", "text").collect() for m in re.finditer(r"\btoken\s*=\s*\"([0-9a-f]{40})\"", r["text"] or "")}
+    got = {(r["doc_id"], r["value"]) for r in secrets.findings(docs, path="source").collect()}
+    assert got == want and (len(want) > 0) == (folder == "sf0.01")
+
+
+def test_every_language_is_learnt(docs_of):
+    rows = [(k, f"text {k}", f"l{k % 300}") for k in range(900)] + [(1000 + k, "text", "hot") for k in range(3000)] + [(5000, "text", None), (5001, "12", "digits")]
+    docs = docs_of(rows)
+    drawn = collections.Counter(r["lang"] for r in language.training_rows(docs, None, 5, "doc_id", "text", "lang").collect())
+    assert drawn == {**{f"l{k}": 3 for k in range(300)}, "hot": 5}
+    few = collections.Counter(r["lang"] for r in language.training_rows(docs, None, 5, "doc_id", "text", "lang", sample=200).collect())
+    assert set(few.values()) == {1} and len(few) == 301
+
+
+def test_short_items_and_scripts_without_spaces(docs_of, frame):
+    items = frame([(1, "Three short words"), (2, "one"), (3, "今日は天気がいいですね散歩しましょう"), (4, "five tokens in an item"), (5, "สวัสดีครับผมชื่อ")], "item_id long, text string")
+    texts = [(1, "here are three, short words again"), (2, "three short other words"), (3, "昨日。今日は天気がいいですね散歩しましょう。明日"), (4, "今日は雨です"), (5, "one"), (6, "four five tokens in an item"),
+             (7, "five tokens in an"), (8, "xสวัสดีครับผมชื่อy"), (9, "今日は天気がとても悪いですね散歩")]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs_of(texts), items).collect()}
+    assert found == {(1, 1), (3, 3), (5, 2), (6, 4), (8, 5)}
+    assert {r["doc_id"] for r in decontamination.clean(docs_of(texts), items).collect()} == {2, 4, 5, 7, 9}
