@@ -6,6 +6,8 @@ Brand rankings follow one pattern: one wide aggregate per brand, exploded into
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -601,22 +603,41 @@ def _topic_lines(df, t, text):
         F.lit("topic").alias("section"), "rank", F.concat_ws(" | ", "brand", "type", "subject").alias("line"))
 
 
+SECTIONS = {
+    "trends": lambda df, t, text: _trend_lines(df, t),
+    "outliers": lambda df, t, text: _ranked_lines(outlier_brands(df, t), "outliers"),
+    "timing": lambda df, t, text: _ranked_lines(timing_patterns(df, t), "timing"),
+    "bursts": lambda df, t, text: _burst_lines(df, t),
+    "topic": lambda df, t, text: _topic_lines(df, t, text),
+    "examples": lambda df, t, text: _sample_lines(df, t, EXAMPLES, "examples"),
+}
+EXAMPLES = 8
+# Sections of each pack, with the most ranks that it shows (None: all).
 PACKS = {
-    "counter": lambda df, t, text: [_trend_lines(df, t), _ranked_lines(outlier_brands(df, t), "outliers"), _ranked_lines(timing_patterns(df, t), "timing")],
-    "proof": lambda df, t, text: [_topic_lines(df, t, text), _sample_lines(df, t, 8, "examples")],
-    "playbook": lambda df, t, text: [_trend_lines(df, t), _burst_lines(df, t), _ranked_lines(outlier_brands(df, t), "outliers"), _ranked_lines(timing_patterns(df, t), "timing")],
-    "builder": lambda df, t, text: [_ranked_lines(outlier_brands(df, t), "outliers"), _trend_lines(df, t), _sample_lines(df, t, 5, "examples")],
+    "counter": {"trends": None, "outliers": None, "timing": None},
+    "proof": {"topic": None, "examples": EXAMPLES},
+    "playbook": {"trends": None, "bursts": None, "outliers": None, "timing": None},
+    "builder": {"outliers": None, "trends": None, "examples": 5},
 }
 
 
-def stat_pack(df: DataFrame, t, style: str, text: str | None = None) -> DataFrame:
-    """Lines of several statistics for one style: (pack, section, rank, line)."""
-    if style not in PACKS:
-        raise ValueError(f"unknown pack {style!r}; one of {sorted(PACKS)}")
-    if style == "proof" and not text:
+def stat_packs(df: DataFrame, t, styles=tuple(PACKS), text: str | None = None) -> DataFrame:
+    """Lines of several statistics for each style: (pack, section, rank, line). A section is computed once, whatever
+    number of packs show it."""
+    unknown = [x for x in styles if x not in PACKS]
+    if unknown:
+        raise ValueError(f"unknown pack {unknown[0]!r}; one of {sorted(PACKS)}")
+    if "proof" in styles and not text:
         raise ValueError("the proof pack needs a text")
-    parts = PACKS[style](df, t, text)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(style).alias("pack"), "section", "rank", "line")
+    parts = []
+    for section, lines in SECTIONS.items():
+        shown = [(style, PACKS[style][section]) for style in styles if section in PACKS[style]]
+        if shown:
+            packs = F.array(*[F.struct(F.lit(style).alias("pack"), F.lit(most).cast("int").alias("most")) for style, most in shown])
+            parts.append(lines(df, t, text).select(F.inline(packs), "section", "rank", "line"))
+    return reduce(DataFrame.unionByName, parts).where("most IS NULL OR rank <= most").drop("most")
+
+
+def stat_pack(df: DataFrame, t, style: str, text: str | None = None) -> DataFrame:
+    """The lines of one style."""
+    return stat_packs(df, t, (style,), text)

@@ -8,10 +8,12 @@ from mailprism.functions import subjects as sub
 from mailprism.operators import insights as ins
 from mailprism.operators import profiles as pr
 from mailprism.operators import ranking as rk
+from mailprism.operators import sketches
 from mailprism.operators import stats as st
 from mailprism.plans import registry
 from mailprism.plans import sqltext as s
 from mailprism.plans.catalog import ORACLES, query
+from mailprism.session import scratch_path
 
 T = s.T
 THIS, LAST, END, PAST = (f"TIMESTAMP '2024-{d} 00:00:00'" for d in ("01-29", "01-22", "02-05", "01-01"))
@@ -458,6 +460,17 @@ def _(i):
     return a.select(F.lit("all").alias("part"), "*").unionByName(b.select(F.lit("week").alias("part"), "*"))
 
 
+@query("a41_sketch_totals", """
+WITH d AS (SELECT unnest([7, 14, 30]) AS days), x AS (SELECT id, brand, page_id, received_at FROM emails)
+SELECT d.days, count(*) AS emails, count(DISTINCT brand) AS brands FROM x JOIN d ON CAST(x.received_at AS DATE) >= DATE '2024-01-30' - to_days(CAST(d.days AS INTEGER)) AND CAST(x.received_at AS DATE) < DATE '2024-01-30' GROUP BY 1""")
+def _(i):
+    path = scratch_path(i.spark, "cells")
+    sketches.distinct_cells(i.emails, ["brand"]).write.parquet(path)  # computed once; every window reads cells only
+    cells = i.spark.read.parquet(path)
+    windows = [sketches.window_totals(cells, ["brand"], i.t, days).select(F.lit(days).cast("int").alias("days"), "emails", F.col("brand").alias("brands")) for days in (7, 14, 30)]
+    return windows[0].unionByName(windows[1]).unionByName(windows[2])
+
+
 # --- registries and packs ---------------------------------------------------
 
 
@@ -489,10 +502,29 @@ def _(i):
     return out
 
 
+_PACK_TEXT = "A coffee sale for every morning trip"
+_PACK_KW = s.keyword_cte(f"(SELECT 0 AS doc_id, '{_PACK_TEXT}' AS text)", "doc_id", "text", 5)
+
+
+@query("u03_examples", f"""
+SELECT CAST(row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || '0'), id) AS INTEGER) AS rank, id, brand, type, subject FROM emails WHERE {_in(30)} AND brand IS NOT NULL AND subject IS NOT NULL QUALIFY rank <= 8""")
+def _(i):
+    rows = st.in_active_window(i.emails, i.t, 30).where("brand IS NOT NULL AND subject IS NOT NULL")
+    return rk.hash_sample(rows, st.EXAMPLES).select(F.col("sample_no").alias("rank"), "id", "brand", "type", "subject")
+
+
 @query("u03_stat_packs")
 def _(i):
-    out = None
-    for style in st.PACKS:
-        one = st.stat_pack(i.emails, i.t, style, "A coffee sale for every morning trip")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return st.stat_packs(i.emails, i.t, text=_PACK_TEXT)
+
+
+# the mails cover one month, so there are no trends
+ORACLES["u03_stat_packs"] = f"""
+WITH outliers AS (SELECT 'outliers' AS section, rank, concat_ws(' ', section, item, CAST(value AS VARCHAR)) AS line FROM ({ORACLES["a33_outlier_brands"]}) x),
+timing AS (SELECT 'timing' AS section, rank, concat_ws(' ', section, item, CAST(value AS VARCHAR)) AS line FROM ({ORACLES["a34_timing_patterns"]}) x),
+bursts AS (SELECT 'bursts' AS section, rank, concat_ws(' ', brand, day, CAST(cnt AS VARCHAR)) AS line FROM ({ORACLES["a35_burst_days"]}) x WHERE rank <= 3),
+topic AS (SELECT 'topic' AS section, rank, concat_ws(' | ', brand, type, subject) AS line FROM ({ORACLES["j21_topic_match"].replace(s.keyword_cte('documents', 'doc_id', 'text', 5), _PACK_KW)}) x),
+examples AS (SELECT 'examples' AS section, rank, concat_ws(' | ', brand, coalesce(type, 'Promo'), left(subject, 80)) AS line FROM (
+ {ORACLES["u03_examples"]}) x)
+SELECT pack, section, rank, line FROM (SELECT unnest(['counter', 'playbook', 'builder']) AS pack, * FROM outliers UNION ALL SELECT unnest(['counter', 'playbook']), * FROM timing
+ UNION ALL SELECT 'playbook', * FROM bursts UNION ALL SELECT 'proof', * FROM topic UNION ALL SELECT 'proof', * FROM examples UNION ALL SELECT 'builder', * FROM examples WHERE rank <= 5) y"""
