@@ -78,15 +78,15 @@ TOP_WORD_STOPS = ["the", "a", "an", "is", "are", "and", "or", "to", "for", "of",
                   "your", "you", "we", "our", "this", "that", "it", "with"]
 OVERLAP_STOPS = ["the", "and", "for", "you", "your", "are", "our", "this", "that", "with", "from",
                  "has", "have", "not", "all", "new"]
-KEYWORD_STOPS = """
-the a an is are was were be been being have has had do does did will would could
-should may might can shall to of in for on with at by from as into through during
-before after above below between out off over under again further then once here there when
-where why how all each every both few more most other some such no not only own same
-so than too very just don now and but or if this that these those i me my you your
-he she it we they what which who whom its his her our their about up get got
-like make think know see want use new one two way thing people really much even still
-""".split()
+KEYWORD_STOPS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during",
+    "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "not", "only", "own", "same",
+    "so", "than", "too", "very", "just", "don", "now", "and", "but", "or", "if", "this", "that", "these", "those", "i", "me", "my", "you", "your",
+    "he", "she", "it", "we", "they", "what", "which", "who", "whom", "its", "his", "her", "our", "their", "about", "up", "get", "got",
+    "like", "make", "think", "know", "see", "want", "use", "new", "one", "two", "way", "thing", "people", "really", "much", "even", "still",
+]
 
 WORD_PATTERN = r"\b[a-zA-Z]{3,}\b"
 

@@ -140,6 +140,16 @@ def recent_users(users: DataFrame, t, n: int = 10) -> DataFrame:
     return out.select("id", "email", F.coalesce("subscription_tier", F.lit("free")).alias("plan"), "is_on_trial", "created_at")
 
 
+def plan_revenue(users: DataFrame, prices: DataFrame, t) -> DataFrame:
+    """Per plan its prices, the users on it now by billing cycle, and what they pay in a month (annual prices by twelve)."""
+    annual = F.col("billing_cycle") == "annual"
+    on = effective_plan(users, t).groupBy("plan").agg(
+        F.count_if(~F.coalesce(annual, F.lit(False))).alias("monthly_users"), F.count_if(annual).alias("annual_users"))
+    out = prices.join(on, "plan", "left").fillna(0, ["monthly_users", "annual_users"])
+    per_month = F.col("monthly") * F.col("monthly_users") + F.col("annual") * F.col("annual_users") / 12
+    return out.withColumn("per_month", F.round(per_month, 2))
+
+
 # --- reminders and payments -------------------------------------------------
 
 
@@ -246,11 +256,6 @@ def collection_emails(members: DataFrame, emails: DataFrame, collection_id: int
     return rows.join(mail, "email_id").orderBy("collection_id", F.desc("added_at"), "email_id")
 
 
-def cascade(children: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
-    """Children whose parent is not deleted."""
-    return children.join(deleted.select(F.col(parent_key).alias(key)), key, "left_anti")
-
-
 def cap_library(library: DataFrame, users: DataFrame, t, feature: str, owner: str = "user_id", group: str | None = None,
                 order=("created_at",)) -> DataFrame:
     """The rows of a library each user's plan keeps (the first N of ``group``).

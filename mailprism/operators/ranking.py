@@ -138,8 +138,3 @@ def diverse_examples(df: DataFrame, by=None, per: int = 2, n: int = 15, brand: s
     by = _cols(by)
     capped = top_n_per(df, by + [brand], newest_first(), per, "_of_brand").drop("_of_brand")
     return top_n_per(capped, by, newest_first(), n)
-
-
-def duplicates(df: DataFrame, key) -> DataFrame:
-    """Keys that occur more than once, with their count."""
-    return counts(df, key).where("cnt > 1")

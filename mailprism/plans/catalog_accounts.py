@@ -70,6 +70,15 @@ def _(i):
     return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("limit", "remaining")}).select("user_id", "plan", "feature", "used", "limit", "allowed", "remaining", "upgrade_to")
 
 
+@query("e04_plan_revenue", f"""
+WITH prices(plan, monthly, annual) AS (VALUES {s.values([(p, *dims.PLAN_PRICES[p]) for p in dims.PLANS])}),
+n AS (SELECT {s.PLAN} AS plan, count(*) FILTER (billing_cycle = 'annual') AS a, count(*) FILTER (billing_cycle <> 'annual') AS m FROM users GROUP BY 1)
+SELECT plan, CAST(monthly AS BIGINT) AS monthly, CAST(annual AS BIGINT) AS annual, coalesce(m, 0) AS monthly_users, coalesce(a, 0) AS annual_users, round(monthly * coalesce(m, 0) + annual * coalesce(a, 0) / 12.0, 2) AS per_month
+FROM prices LEFT JOIN n USING (plan)""")
+def _(i):
+    return ac.plan_revenue(i.view("users"), dims.plan_prices_table(i.spark), i.t)
+
+
 @query("e04_min_plan", f"""
 WITH {LIMITS}, mp AS (SELECT feature, coalesce(arg_min(plan, rank) FILTER (WHERE kind = 'unlimited' OR (kind <> 'text' AND num_value > 0)), 'agency') AS min_plan FROM plan_limits GROUP BY feature)
 SELECT mp.feature, mp.min_plan, (SELECT count(*) FROM users u JOIN (SELECT DISTINCT plan, rank FROM plan_limits) r ON r.plan = {s.PLAN} WHERE r.rank >= (SELECT min(rank) FROM plan_limits x WHERE x.plan = mp.min_plan)) AS entitled FROM mp""")
