@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailprism.llm.common import fit_in_task, fresh, labelled_sample, pieces, remainder, spark_of
 
-ORDERS = (3, 4, 5, 6)  # bytes of an n-gram
+ORDERS = (3, 4, 5, 6)  # characters of an n-gram
 BITS = 18  # buckets of an order: 2 ** BITS
 SAMPLE = 12_000  # labelled documents to fit on, at most
 SMOOTH = 1.0  # added to each count
@@ -21,14 +21,14 @@ STEPS = 200
 
 
 def grams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per order: number of the order, document of each n-gram, bucket of each n-gram (A-Z lowered).
+    """Per order: number of the order, document of each n-gram of characters (lowered), its bucket.
 
     Documents stand between runs of spaces longer than any n-gram, so none spans two documents.
     """
-    pad = b" " * max(ORDERS)
-    raw = [(x or "").encode("utf-8", "surrogatepass").lower() for x in texts]
-    data = np.frombuffer(b"".join(pad + x for x in raw) + pad, np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(raw), dtype=np.uint32), [len(x) + len(pad) for x in raw])
+    pad = " " * max(ORDERS)
+    low = [(x or "").lower() for x in texts]
+    data = np.frombuffer("".join([pad + x for x in low] + [pad]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(low), dtype=np.uint32), [len(x) + len(pad) for x in low])
     n = len(data) - max(ORDERS)
     value = np.zeros(n, np.uint32)
     for width in range(1, max(ORDERS) + 1):

@@ -437,3 +437,34 @@ def test_short_items_and_scripts_without_spaces(docs_of, frame):
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.overlaps(docs_of(texts), items).collect()}
     assert found == {(1, 1), (3, 3), (5, 2), (6, 4), (8, 5)}
     assert {r["doc_id"] for r in decontamination.clean(docs_of(texts), items).collect()} == {2, 4, 5, 7, 9}
+
+
+def plain_features(text):
+    """Buckets of all character n-grams of a text between spaces, by plain loops."""
+    from mailprism.llm import toxicity
+
+    widest = max(toxicity.ORDERS)
+    points, found = [ord(c) for c in " " * widest + text.lower() + " " * widest], set()
+    for number, width in enumerate(toxicity.ORDERS):
+        for at in range(len(points) - widest):
+            value = 0
+            for p in points[at:at + width]:
+                value = (value * 16777619 + p + 1) % 2**32
+            mixed = (value ^ value >> 15) * 0x85EBCA6B % 2**32
+            found.add((mixed >> 32 - toxicity.BITS) + (number << toxicity.BITS))
+    return found
+
+
+def test_toxicity_equals_plain_loops(spark, texts):
+    from mailprism.llm import toxicity
+
+    chosen = [t or "" for _, t in sorted(texts.items())[:60]] + ["", "ÉÀß 漢字 😀 İ"]
+    chosen = [t[:400] + (" Awful ÉÀ!" if k % 3 == 0 else "") for k, t in enumerate(chosen)]
+    model = toxicity.fit(pd.DataFrame({"text": chosen, "label": [k % 3 == 0 for k in range(len(chosen))]}).astype({"label": float}))
+    weights = dict(zip(np.frombuffer(model["features"], "<i4").tolist(), np.frombuffer(model["weights"], "<f4").tolist()))
+    assert weights
+    docs = spark.createDataFrame(list(enumerate(chosen)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.scorer(spark, model)("text").alias("s")).collect()}
+    for k, text in enumerate(chosen):
+        margin = model["bias"] + sum(weights.get(f, 0.0) for f in plain_features(text))
+        assert abs(got[k] - 1 / (1 + math.exp(-margin))) < 1e-5
