@@ -474,22 +474,35 @@ def _(i):
 # --- registries and packs ---------------------------------------------------
 
 
-_REGISTERED = {"weekly_scoreboard": "a17_weekly_scoreboard", "brand_sequences": "o02_brand_sequences", "subject_formulas": "a18_subject_formulas", "new_tactics": "a19_new_tactics"}
+# Every insight by name: the query whose SQL has the same rows, and its columns.
+_SCORE_COLUMNS = [f"{c}_{side}" for c in ins.SCORES for side in ("this", "last", "change")]
+_REGISTERED = {
+    "weekly_scoreboard": ("a17_weekly_scoreboard", ["week", *_SCORE_COLUMNS, "busiest_day_this", "busiest_day_last", "mover_brand", "mover_change_pct", "mover_this_count", "mover_last_count"]),
+    "brand_sequences": ("o02_brand_sequences", ["brand", "email_count", "span_days", "keyword_overlap"]),
+    "subject_formulas": ("a18_subject_formulas", ["formula", "this_week_count", "this_week_pct", "trailing_avg_pct", "change_pct", "trend"]),
+    "new_tactics": ("a19_new_tactics", ["brand", "n_this", "n_past", "alert_count", "signal", "this_week", "trailing_avg", "change_type", "change_pct"]),
+}
+_FLAT = {
+    "brand_sequences": lambda rows: rows.withColumn("keyword_overlap", F.array_join("keyword_overlap", " ")),
+    "new_tactics": lambda rows: rows.select("brand", "n_this", "n_past", "alert_count", F.inline("alerts")).withColumn("change_pct", F.coalesce("change_pct", F.lit(0.0))),
+}
 
 
 @query("u01_insight_registry")
 def _(i):
+    """The rows of every insight as text: name=value of each column in a fixed order."""
     out = None
-    for name in registry.INSIGHTS:
-        one = registry.run(name, i.emails, i.t)
-        rows = one.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("insight"), "rows")
-        out = rows if out is None else out.unionByName(rows)
+    for name, (_, columns) in _REGISTERED.items():
+        rows = _FLAT.get(name, lambda x: x)(registry.run(name, i.emails, i.t))
+        texts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in columns]
+        one = rows.select(F.lit(name).alias("insight"), F.concat_ws("|", *texts).alias("row"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-# every insight by name against the SQL of its own query
 ORACLES["u01_insight_registry"] = "\nUNION ALL ".join(
-    f"SELECT '{name}' AS insight, count({'DISTINCT brand' if name == 'new_tactics' else '*'}) AS rows FROM ({ORACLES[q]}) x" for name, q in _REGISTERED.items())
+    "SELECT '{}' AS insight, concat_ws('|', {}) AS row FROM ({}) x".format(
+        name, ", ".join(f"concat('{c}=', coalesce(CAST({c} AS VARCHAR), '-'))" for c in columns), ORACLES[q]) for name, (q, columns) in _REGISTERED.items())
 
 
 @query("u02_statistic_registry")
