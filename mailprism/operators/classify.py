@@ -83,8 +83,9 @@ def _mail_texts(df: DataFrame, body: str | None) -> dict[str, Column]:
 def _industry_by_table(df: DataFrame, keywords: DataFrame, min_score: int, ambiguity: float, body: str | None, name: str) -> DataFrame:
     held, distinct = patterns.with_text_id(df, _mail_texts(df, body))
     order = keywords.groupBy("industry").agg(F.min("pos").alias("order"))
-    found = patterns.hits(distinct, keywords.join(order, "industry"), ["_subject", "_text"])
-    worth = F.col("weight").cast("long") * F.when(F.col("in_subject"), 2).otherwise(1)
+    once = keywords.groupBy("industry", "keyword").agg(F.sum(F.col("weight").cast("long")).alias("weight")).join(order, "industry")
+    found = patterns.hits(distinct, once, ["_subject", "_text"], ["_text"])
+    worth = F.col("weight") * F.when(F.col("in_subject"), 2).otherwise(1)
     points = found.groupBy("_text_id", "industry").agg(F.sum(worth).alias("x"), F.min("order").alias("order"))
     ranked = points.groupBy("_text_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("x", (-F.col("order")).alias("neg"), "industry")), asc=False), 1, 2).alias("s"))
     best, second = F.get("s", 0), F.get("s", 1)
@@ -98,7 +99,7 @@ def keyword_hits(df: DataFrame, rules: Rules | None = None, key: str = "id") ->
     keywords = (rules or Rules()).industry_keywords
     if isinstance(keywords, DataFrame):
         held, distinct = patterns.with_text_id(df, {"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", "subject", _has(df, "preview")))})
-        found = patterns.hits(distinct, keywords, ["_subject", "_text"])
+        found = patterns.hits(distinct, keywords, ["_subject", "_text"], ["_text"])
         return held.select(key, "_text_id").join(found, "_text_id").select(key, "industry", "keyword", F.col("weight").cast("int").alias("weight"), "in_subject")
     table = _rule_array(keywords, "industry", "keyword", "weight")
     out = df.withColumns({"_subject": _low("subject"), "_text": F.lower(F.concat_ws(" ", "subject", _has(df, "preview")))})
@@ -153,8 +154,9 @@ def _type_by_table(df: DataFrame, keywords: DataFrame, body: str | None, name: s
     sources = {"_subject": "subject"} | ({"_preview": "preview"} if "preview" in df.columns else {}) | ({"_body": body} if body and body in df.columns else {})
     weights = {c: dims.TYPE_SOURCE_WEIGHTS[c[1:]] for c in sources}
     held, distinct = patterns.with_text_id(df, {c: _low(source) for c, source in sources.items()})
-    found = patterns.hits(distinct, keywords.select("type", "keyword"), list(sources))
-    score = reduce(lambda x, y: x + y, [F.col(f"in{c}").cast("int") * w for c, w in weights.items()])
+    once = keywords.groupBy("type", "keyword").agg(F.count(F.lit(1)).alias("times"))
+    found = patterns.hits(distinct, once, list(sources))
+    score = reduce(lambda x, y: x + y, [F.col(f"in{c}").cast("int") * w for c, w in weights.items()]) * F.col("times")
     kinds = local_table(df.sparkSession, [(k, t, need) for k, (t, need) in enumerate(dims.CAMPAIGN_TYPES)], "order int, type string, need int")
     scores = found.groupBy("_text_id", "type").agg(F.sum(score).alias("x")).join(F.broadcast(kinds), "type").where("x >= need")
     best = scores.groupBy("_text_id").agg(F.min_by("type", F.struct(-F.col("x"), "order")).alias("_best"))

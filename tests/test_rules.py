@@ -163,6 +163,17 @@ def test_keywords_are_filed_under_rare_grams(spark):
     assert got[0][1] == "abc" and got[2][1] != got[3][1]
 
 
+def test_grams_of_many_keywords_meet_few_texts(spark):
+    # numbers of five digits share all grams of four characters with each other
+    words = spark.range(10_000, 40_000).select(F.concat(F.lit("of "), F.col("id").cast("string"), F.lit(" ")).alias("keyword"))
+    texts = spark.range(10_000, 12_000).select(F.col("id").alias("_text_id"), F.concat(F.lit("preview of "), F.col("id").cast("string"), F.lit(" view")).alias("_text"))
+    table = patterns.filed(words)
+    spread = texts.select("_text_id", F.explode(patterns.grams(F.col("_text"), F.array(F.lit(8)))).alias("gram"))
+    assert patterns.in_use(spread, table).join(table, "gram").count() < 4 * 2_000  # pairs to compare
+    found = patterns.hits(texts, words, ["_text"])
+    assert found.count() == 2_000 and found.where("NOT contains(keyword, cast(_text_id AS string))").isEmpty()
+
+
 @pytest.mark.parametrize("sender,subject,want", [
     ("Nykaa Fashion <x@mail.nykaa.com>", "hi", "Nykaa"),
     ("The Good Team <a@news.goodthings.co.uk>", "hi", "Good Team"),
