@@ -19,10 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailprism.llm.common import give_back, pieces as stretches
+
 VOCABULARY = "byte_bpe_50k"  # the same tokens as .json (ids by merges) and .tiktoken (ids by ranks)
 END = 0  # id after every document
 WINDOW = 1024
 HELD = 20_000  # pieces that are packed against each other
+COPIED = 2_000  # packed pieces that are put in order at a time
 CACHED = 400_000  # words whose ids a worker keeps
 BREAK = re.compile(r"(?<=\S) ")
 
@@ -86,9 +89,12 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", tex
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()  # what earlier tasks of this worker have freed
         words = words_of(place, added)
         for batch in batches:
-            yield pd.Series([words.text(x) + END.to_bytes(4, "little") for x in batch])
+            for a, b in stretches([len(x or "") for x in batch]):
+                yield pd.Series([words.text(x) + END.to_bytes(4, "little") for x in batch.iloc[a:b]])
+                give_back()
 
     ids = docs.select(F.col(key).alias("key"), encode(F.col(text)).alias("all")).withColumn("doc_tokens", (F.length("all") / 4).cast("long"))
     starts = F.sequence(F.lit(0).cast("long"), F.col("doc_tokens") - 1, F.lit(window).cast("long"))
@@ -157,18 +163,23 @@ def assign(pieces: DataFrame, documents: int, window: int = WINDOW) -> DataFrame
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
+        give_back()
 
         def placed(part: pa.Table, sequences: list[int], offsets: list[int]) -> list[pa.RecordBatch]:
             added = part.append_column("sequence_id", pa.array(sequences, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
             return added.to_batches()
 
-        def packed(part: pa.Table) -> list[pa.RecordBatch]:
+        def packed(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             nonlocal number
+            part = pa.concat_tables(held)
+            held.clear()
             lengths = part["length"].to_numpy()
             order = np.argsort(-lengths, kind="stable")
             where = best_fit(lengths[order].tolist(), window)
             first, number = number, number + max(a for a, _ in where) + 1
-            return placed(part.take(order), [first + a for a, _ in where], [b for _, b in where])
+            for at in range(0, len(order), COPIED):
+                some = where[at:at + COPIED]
+                yield from placed(part.take(order[at:at + COPIED]), [first + a for a, _ in some], [b for _, b in some])
 
         held: list[pa.Table] = []
         for batch in batches:
@@ -179,10 +190,11 @@ def assign(pieces: DataFrame, documents: int, window: int = WINDOW) -> DataFrame
             number += len(alone)
             held.append(whole.filter(pc.invert(full)))
             if sum(map(len, held)) >= HELD:
-                yield from packed(pa.concat_tables(held))
-                held = []
+                yield from packed(held)
+                give_back()
         if any(map(len, held)):
-            yield from packed(pa.concat_tables(held))
+            yield from packed(held)
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return pieces.repartition(max(1, -(-documents // HELD))).mapInArrow(run, schema)

@@ -52,6 +52,19 @@ def test_components(spark, frame):
     assert len({(r["root"], want[r["node"]]) for r in got}) == len(set(want.values())) == len({r["root"] for r in got})
 
 
+def test_packing_gives_rows_in_small_batches(spark, monkeypatch):
+    """What a worker copies at a time does not grow with the rows of a run or of an Arrow batch."""
+    monkeypatch.setattr(packing, "COPIED", 50)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    made = {}
+    frame = type("F", (), {"schema": [], "repartition": lambda self, n: self, "mapInArrow": lambda self, run, schema: made.setdefault("run", run)})()
+    packing.assign(frame, 1)
+    batch = packing.pa.record_batch({"length": packing.pa.array([1 + n % 1023 for n in range(400)], packing.pa.int64())})
+    out = list(made["run"](iter([batch])))
+    assert max(b.num_rows for b in out) <= 50
+    assert sorted(x for b in out for x in b["length"].to_pylist()) == sorted(batch["length"].to_pylist())
+
+
 def test_packing_round_trip(spark, texts):
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     model.encode_special_tokens = True
