@@ -153,12 +153,14 @@ BLOCK = "struct<" + ",".join(f"{c}:string" for c in blocks.FIELDS) + ">"
 
 
 def _block_udf():
-    """Vectorised UDF html -> blocks."""
-    find = blocks.page_blocks
+    """Vectorised UDF html -> blocks; ``ROWS`` pages at a time."""
+    find, rows = blocks.page_blocks, ROWS
 
     @F.pandas_udf(f"array<{BLOCK}>")
-    def found(pages: pd.Series) -> pd.Series:
-        return pages.map(find)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            for at in range(0, len(pages), rows):
+                yield pages.iloc[at:at + rows].map(find)
 
     return found
 

@@ -147,3 +147,13 @@ def test_window_labels(values):
     assert [r[0] for r in values([(0,), (7,), (8,), (90,), (91,)], "d long", scalars.window_label("d"))] == [
         "today", "this week", "this month", "in the last 3 months", "across our archive"]
     assert AS_OF.startswith("2024-01-30")
+
+
+def test_template_blocks_come_a_few_pages_at_a_time():
+    import pandas as pd
+    from mailprism.operators import html
+
+    pages = pd.Series(["<h1>Big news</h1>", None] * 100)
+    made = list(html._block_udf().func(iter([pages])))
+    assert max(map(len, made)) <= html.ROWS and sum(map(len, made)) == len(pages)
+    assert [len(x) for x in pd.concat(made)] == [1, 0] * 100
