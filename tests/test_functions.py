@@ -149,7 +149,7 @@ def test_window_labels(values):
     assert AS_OF.startswith("2024-01-30")
 
 
-def test_template_blocks_come_a_few_pages_at_a_time():
+def test_template_blocks_come_a_few_pages_at_a_time(spark):
     import pandas as pd
     from mailprism.operators import html
 
