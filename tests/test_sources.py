@@ -283,3 +283,15 @@ def test_sessions_over_several_batches(spark, mails, tmp_path):
         jobs.run_available(jobs.activity_windows(stream, "session", "90 days"), path, "complete")
         got = sorted((r["window_start"], r["emails"]) for r in jobs.whole_result(spark, path).collect())
         assert got == want
+
+
+def test_html_tree_names_are_made_without_html(spark):
+    """With a table of pages the HTML joins once, after the names; the files are those of mails that hold their HTML."""
+    pages = spark.createDataFrame([(1, "<p>a</p>"), (2, "<p>b</p>")], "page_id long, html string")
+    rows = [(n, "A b", "Hi", 1 + n % 3) for n in range(9)]
+    mails = spark.createDataFrame(rows, "id long, brand string, subject string, page_id long").withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    apart = mail.tree_files(mails, pages=pages)
+    joined = mail.tree_files(mails.join(pages, "page_id"))
+    assert sorted(apart.collect()) == sorted(joined.collect()) and apart.count() == 6
+    last = lambda df: next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "page_id" in last(apart) and "folder" in last(joined)
