@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -26,8 +25,6 @@ END = 0  # id after every document
 WINDOW = 1024
 HELD = 20_000  # pieces that are packed against each other
 COPIED = 2_000  # packed pieces that are put in order at a time
-CACHED = 400_000  # words whose ids a worker keeps
-BREAK = re.compile(r"(?<=\S) ")
 
 
 def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
@@ -46,29 +43,17 @@ def encoder(path: str, added: tuple[tuple[str, int], ...] = ()) -> tiktoken.Enco
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
-class Words(dict):
-    """Ids (little-endian 32 bit) of text runs; a run's ids do not depend on what stands around it.
+class Words:
+    """Ids (little-endian 32 bit) of whole texts, each in one call: looking runs up one by one costs more than it saves where words are new.
 
-    ``added``: tokens (without blanks) that a text is cut at before all else.
+    ``added``: tokens that a text is cut at before all else.
     """
 
     def __init__(self, path: str, added: tuple[tuple[str, int], ...] = ()):
-        super().__init__()
-        model = encoder(path, added)
-        self.encode = partial(model.encode, allowed_special="all") if added else model.encode_ordinary
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self[run] = b"".join(x.to_bytes(4, "little") for x in self.encode(run))
-        return ids
+        self.encode = partial(encoder(path, added).encode_to_numpy, allowed_special="all", disallowed_special=())
 
     def text(self, text: str) -> bytes:
-        """The pattern never joins a space to a non-space before it, so the text is cut there and the runs looked up."""
-        if not text:
-            return b""
-        first, *rest = BREAK.split(text)
-        return b"".join([self[first], *[self[" " + x] for x in rest]])
+        return self.encode(text).astype("<u4").tobytes() if text else b""
 
 
 @lru_cache(maxsize=2)

@@ -89,6 +89,20 @@ def test_word_ids(text):
     assert np.frombuffer(got, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_reads_a_text_in_one_call(monkeypatch):
+    path, calls = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+    model = packing.encoder(path)
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *args, **options: calls.append(name) or getattr(model, name)(*args, **options)
+
+    monkeypatch.setattr(packing, "encoder", lambda *given: Counted())
+    text = " ".join(f"w{n:x}ord" for n in range(2000))
+    assert np.frombuffer(packing.Words(path).text(text), "<u4").tolist() == model.encode_ordinary(text)
+    assert len(calls) == 1
+
+
 def test_added_tokens_as_the_tokenizer_gives_them(docs_of):
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["<|endoftext|>", "a <|endoftext|> b", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>c", "x<|endoftext|>y <|endoftext", "<|endoftext |> plain  "]
