@@ -474,14 +474,17 @@ def festival_list(df: DataFrame, festivals: DataFrame, min_rows: int = MIN_RANGE
 
 
 def festival_selection(df: DataFrame, festivals: DataFrame, slug: str | None = None, year: int | None = None) -> DataFrame:
-    """Relevant mails per festival and year, or all in range when fewer than five are relevant."""
+    """Relevant mails per festival and year, or all in range when fewer than five are relevant.
+
+    The counts have one row per festival and year, so they go to the mails: a shuffle would bring all mails of a festival into one task.
+    """
     if slug is not None:
         festivals = festivals.where(F.col("slug") == slug)
     if year is not None:
         festivals = festivals.where(F.col("year") == year)
     rows = festival_rows(df, festivals)
     thin = rows.groupBy("slug", "year").agg((F.count_if("relevant") < MIN_RANGE_ROWS).alias("_thin"))
-    return rows.join(thin, ["slug", "year"]).where(F.col("relevant") | F.col("_thin")).drop("_thin")
+    return rows.join(F.broadcast(thin), ["slug", "year"]).where(F.col("relevant") | F.col("_thin")).drop("_thin")
 
 
 def festival_profile(df: DataFrame, festivals: DataFrame, slug: str | None = None, year: int | None = None) -> DataFrame:

@@ -121,3 +121,23 @@ def test_plans_have_no_cross_joins_and_limit_groups_early(emails):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
     assert "WindowGroupLimit" in plan(profiles.similar_emails(emails))
     assert "ReadSchema: struct<user_id:bigint>" in plan(profiles.value_counts(emails, "brand")) or "html" not in plan(profiles.brand_stats(emails))
+
+
+def test_festival_counts_go_to_the_mails(mails, spark):
+    from mailprism import dims
+
+    rows = mails([("A", f"2024-01-02 10:00:0{n}", "gift" if n < 5 else "x") for n in range(7)] + [("A", "2024-02-02 10:00:00", "x")])
+    rows = rows.withColumn("type", F.lit(None).cast("string"))
+    fest = dims.festival_table(spark, [("f", "F", ["gift"], {2024: ("2024-01-02 00:00:00", "2024-01-03 00:00:00")}),
+                                       ("g", "G", ["gift"], {2024: ("2024-02-02 00:00:00", "2024-02-03 00:00:00")})])
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(kept, ("-1", "false")):  # as with counts over tables that are not known to be small
+            spark.conf.set(c, v)
+        out = profiles.festival_selection(rows, fest)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["slug"], r["id"]) for r in out.collect()} == {*(("f", n) for n in range(5)), ("g", 7)}
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert "BroadcastHashJoin [slug" in plan and "SortMergeJoin [slug" not in plan
