@@ -295,3 +295,11 @@ def test_html_tree_names_are_made_without_html(spark):
     assert sorted(apart.collect()) == sorted(joined.collect()) and apart.count() == 6
     last = lambda df: next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
     assert "page_id" in last(apart) and "folder" in last(joined)
+
+
+def test_a_body_is_decoded_once(table):
+    rows = table([("a",)], "id string").withColumn("payload", F.from_json(F.lit('{"mimeType":"text/html","body":{"data":"PGI-"}}'), mail.message_schema()["payload"].dataType))
+    out = mail.extract_body(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("unbase64") == 1 and "regexp_replace" not in plan
+    assert [r["html"] for r in out.collect()] == ["<b>"]
