@@ -117,7 +117,9 @@ def emoji_class(profile: str = "insights") -> str:
 
 
 def has_emoji(text, profile: str = "insights") -> Column:
-    return F.rlike(_c(text), F.lit(emoji_class(profile)))
+    text = _c(text)
+    ascii_only = F.octet_length(text) == F.length(text)  # no emoji is among those
+    return F.when(ascii_only, False).otherwise(F.rlike(text, F.lit(emoji_class(profile))))
 
 
 def extract_emojis(text, profile: str = "analytics") -> Column:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mailprism.functions import blocks, markup
 
@@ -26,14 +29,15 @@ LOGO_MARKS = ["logo", "brand", "header-logo", "main-logo", "site-logo"]
 
 
 def token_udf():
-    """Vectorised UDF html -> struct of tokens and error."""
-    read, rows = markup.tokenize, ROWS
+    """Vectorised UDF html -> struct of tokens and error. Tokens become Arrow arrays in one call; by way of pandas every value
+    of every token would be copied in Python first."""
+    read, rows, kind = markup.tokenize, ROWS, pa.struct(list(to_arrow_schema(StructType.fromDDL(markup.SCHEMA))))
 
-    @F.pandas_udf(markup.SCHEMA)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(markup.SCHEMA)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             for at in range(0, len(batch), rows):
-                yield pd.DataFrame([read(h) for h in batch.iloc[at:at + rows]])
+                yield pa.array([read(h) for h in batch.slice(at, rows).to_pylist()], type=kind)
 
     return parse
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailprism.functions.scalars import DAY_NAMES, ratio
-from mailprism.functions.subjects import contains_any, has_digit, has_emoji, shouted_words, words_of
+from mailprism.functions.subjects import contains_any, has_digit, has_emoji, shouted_words
 from mailprism.session import local_table
 
 # ---------------------------------------------------------------------------
@@ -22,6 +23,7 @@ GRADES = [(95, "A+"), (90, "A"), (85, "A-"), (80, "B+"), (70, "B"), (60, "C"), (
 WEIGHTS = {"subject": 20, "copy": 25, "cta": 20, "design": 15, "strategy": 20}
 STRONG = 80  # dimensions from here on get no suggestions
 MAX_SUGGESTIONS = 4
+NOTE = "struct<text:string,type:string>"
 
 URGENCY = ["now", "today", "hurry", "limited", "ending", "last chance", "final", "expires", "rush",
            "don't miss", "act now", "hours left", "ends tonight", "running out", "urgent", "deadline",
@@ -79,38 +81,85 @@ def calculate_grade(score) -> Column:
     return out.otherwise("F")
 
 
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+class _Numbered(NamedTuple):
+    """A text around a number."""
+
+    before: str
+    value: Column
+    after: str
+
+
+def _text(text) -> Column:
+    if isinstance(text, _Numbered):
+        return F.concat(F.lit(text.before), text.value.cast("string"), F.lit(text.after))
+    return F.lit(text) if isinstance(text, str) or text is None else text
+
+
+def _fitting(dimension: str, text) -> Column:
+    """Suggestions of a bad finding (an array): those whose trigger its text holds, in the order of the table. For texts that
+    are known beforehand but for a number, which is in no trigger, they are literals."""
+    table = [(trigger.lower(), suggestion) for d, trigger, suggestion in SUGGESTIONS if d == dimension]
+    if isinstance(text, Column):
+        # The lambda also keeps the sheets of a mail out of Spark's whole-stage method, which would be too long for the JVM to compile.
+        rows = F.array(*[F.struct(F.lit(k).alias("trigger"), F.lit(x).alias("text")) for k, x in table])
+        return F.transform(F.filter(rows, lambda r: F.contains(F.lower(text), r["trigger"])), lambda r: r["text"])
+    fixed = [x.lower() for x in ((text.before, text.after) if isinstance(text, _Numbered) else (text,))]
+    held = [F.lit(x) for k, x in table if any(k in f for f in fixed)]
+    return F.array(*held) if held else _none("string")
+
+
 class _Sheet:
-    """Collects the rules of one dimension: points added and findings reported."""
+    """Collects the rules of one dimension: points added, findings reported and what the bad ones suggest."""
 
-    def __init__(self):
-        self.points, self.findings = [F.lit(50)], []
+    def __init__(self, dimension: str):
+        self.dimension, self.points, self.findings, self.suggested = dimension, [F.lit(50)], [], []
 
     def choose(self, *branches):
         """First branch that holds: (condition, points, kind, text); kind None reports nothing."""
-        points = finding = None
+        points = finding = suggested = None
         for cond, worth, kind, text in branches:
-            text = F.lit(text) if isinstance(text, str) or text is None else text
-            note = F.struct(text.alias("text"), F.lit(kind).alias("type")) if kind else F.lit(None)
+            note = F.array(F.struct(_text(text).alias("text"), F.lit(kind).alias("type"))) if kind else _none(NOTE)
+            advice = F.array(_fitting(self.dimension, text)) if kind == "bad" else _none("array<string>")
             points = F.when(cond, worth) if points is None else points.when(cond, worth)
             finding = F.when(cond, note) if finding is None else finding.when(cond, note)
+            suggested = F.when(cond, advice) if suggested is None else suggested.when(cond, advice)
         if any(worth for _, worth, _, _ in branches):
             self.points.append(F.coalesce(points, F.lit(0)))
         if any(kind for _, _, kind, _ in branches):
-            self.findings.append(finding)
+            self.findings.append(finding.otherwise(_none(NOTE)))
+        if any(kind == "bad" for _, _, kind, _ in branches):
+            self.suggested.append(suggested.otherwise(_none("array<string>")))
 
     def score(self) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(100), reduce(add, self.points)))
 
     def notes(self) -> Column:
-        return F.array_compact(F.array(*self.findings))
+        # flatten is compiled together with the rules in it; a function with a lambda has all below it interpreted
+        return F.flatten(F.array(*self.findings))
+
+    def advice(self) -> Column:
+        """Of every bad finding its suggestions."""
+        return F.flatten(F.array(*self.suggested))
+
+    def filled(self, missing=None, worth: int = 0, text: str = "") -> tuple[Column, Column, Column]:
+        """Score, findings and advice; where ``missing`` holds, a fixed score and one bad finding instead."""
+        whole = self.score(), self.notes(), self.advice()
+        if missing is None:
+            return whole
+        instead = F.lit(worth), _note(text), F.array(_fitting(self.dimension, text))
+        return tuple(F.when(missing, x).otherwise(y) for x, y in zip(instead, whole))
 
 
 def _note(text: str) -> Column:
     return F.array(F.struct(F.lit(text).alias("text"), F.lit("bad").alias("type")))
 
 
-def _n(before: str, value: Column, after: str) -> Column:
-    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
+def _n(before: str, value: Column, after: str) -> _Numbered:
+    return _Numbered(before, value, after)
 
 
 def _array(col, kind: str) -> Column:
@@ -124,17 +173,16 @@ def _array(col, kind: str) -> Column:
 def subject_measures(subject="subject") -> dict:
     s = F.coalesce(_c(subject), F.lit(""))
     low = F.lower(s)
-    power = F.filter(F.array(*[F.lit(w) for w in POWER]), lambda w: F.contains(low, w))
     return {
-        "length": F.length(s), "token": contains_any(low, TOKENS), "urgent": contains_any(low, URGENCY), "power": power,
+        "length": F.length(s), "token": contains_any(low, TOKENS), "urgent": contains_any(low, URGENCY), "power": contains_any(low, POWER), "low": low,
         "digit": has_digit(s), "emoji": has_emoji(s, "scoring"), "question": F.contains(s, F.lit("?")),
-        "words": F.size(words_of(s)), "loud": shouted_words(s),
+        "words": _word_count(s), "loud": shouted_words(s),
     }
 
 
-def subject_sheet(m) -> tuple[Column, Column]:
+def subject_sheet(m) -> tuple[Column, Column, Column]:
     n, words, loud = m["length"], m["words"], m["loud"]
-    sheet = _Sheet()
+    sheet = _Sheet("subject")
     sheet.choose(
         (n.between(30, 60), 15, "good", _n("Good length (", n, " chars)")),
         (n.between(20, 29), 8, "neutral", _n("Slightly short (", n, " chars)")),
@@ -144,7 +192,9 @@ def subject_sheet(m) -> tuple[Column, Column]:
     )
     sheet.choose((m["token"], 10, "good", "Has personalization token"), (F.lit(True), 0, "bad", "No personalization detected"))
     sheet.choose((m["urgent"], 8, "good", "Contains urgency words"))
-    sheet.choose((F.size(m["power"]) > 0, 5, "good", F.concat(F.lit("Power words: "), F.array_join(F.slice(m["power"], 1, 3), ", "))))
+    # found only where there is one
+    power = F.filter(F.array(*[F.lit(w) for w in POWER]), lambda w: F.contains(m["low"], w))
+    sheet.choose((m["power"], 5, "good", F.concat(F.lit("Power words: "), F.array_join(F.slice(power, 1, 3), ", "))))
     sheet.choose((m["digit"], 5, "good", "Contains numbers (good for engagement)"))
     sheet.choose((m["emoji"], 3, "good", "Has emoji"))
     sheet.choose((m["question"], 3, "good", "Has question mark (drives curiosity)"))
@@ -152,8 +202,7 @@ def subject_sheet(m) -> tuple[Column, Column]:
         ((loud > words * 0.5) & (words > 2), -15, "bad", "Excessive ALL CAPS — may trigger spam filters"),
         (loud > 0, 2, "neutral", _n("", loud, " emphasized word(s)")),
     )
-    missing = n == 0
-    return F.when(missing, 0).otherwise(sheet.score()), F.when(missing, _note("No subject line")).otherwise(sheet.notes())
+    return sheet.filled(n == 0, 0, "No subject line")
 
 
 def _word_count(text) -> Column:
@@ -177,11 +226,11 @@ def preview_measure(preview="preview") -> Column:
     return F.coalesce(F.length(F.regexp_replace(_c(preview), r"(?U)^\s+|\s+$", "")) > 10, F.lit(False))
 
 
-def copy_sheet(m) -> tuple[Column, Column]:
+def copy_sheet(m) -> tuple[Column, Column, Column]:
     n, heads, lists = m["words"], m["headings"], m["lists"]
     mean = ratio(m["sentence_words"], m["sentences"])
     shown = F.bround(mean, 0).cast("long")
-    sheet = _Sheet()
+    sheet = _Sheet("copy")
     sheet.choose(
         (n.between(50, 500), 15, "good", _n("Good word count (", n, ")")),
         (n.between(501, 1000), 8, "neutral", _n("Lengthy copy (", n, " words)")),
@@ -201,7 +250,7 @@ def copy_sheet(m) -> tuple[Column, Column]:
     sheet.choose((lists > 0, 5, "good", _n("", lists, " list(s) found — scannable")), (F.lit(True), 0, "bad", "No bullet/numbered lists found"))
     sheet.choose((m["preview"], 5, "good", "Has preview text"), (F.lit(True), 0, "bad", "No preview text detected"))
     sheet.choose((m["token"], 5, "good", "Body uses personalization"))
-    return sheet.score(), sheet.notes()
+    return sheet.filled()
 
 
 def cta_measures(links="links", html="html") -> dict:
@@ -221,9 +270,9 @@ def cta_measures(links="links", html="html") -> dict:
     }
 
 
-def cta_sheet(m) -> tuple[Column, Column]:
+def cta_sheet(m) -> tuple[Column, Column, Column]:
     n = m["ctas"]
-    sheet = _Sheet()
+    sheet = _Sheet("cta")
     sheet.choose((F.lit(True), 0, "neutral", _n("", n, " CTA link(s) found")))
     sheet.choose(
         (n <= 3, 15, "good", "Good number of CTAs"),
@@ -236,8 +285,7 @@ def cta_sheet(m) -> tuple[Column, Column]:
     )
     sheet.choose((m["button"], 10, "good", "Styled button CTA detected"), (F.lit(True), 0, "bad", "Text-only CTAs — consider styled buttons"))
     sheet.choose(((m["place"] > 0) & (m["place"] < m["html_length"] * 0.3), 5, "good", "CTA placed above the fold"))
-    none = n == 0
-    return F.when(none, 30).otherwise(sheet.score()), F.when(none, _note("No CTA links found")).otherwise(sheet.notes())
+    return sheet.filled(n == 0, 30, "No CTA links found")
 
 
 def design_measures(images="images", text="copy_text", viewport="has_viewport", dark="has_dark_mode", html="html") -> dict:
@@ -252,11 +300,11 @@ def design_measures(images="images", text="copy_text", viewport="has_viewport",
     }
 
 
-def design_sheet(m) -> tuple[Column, Column]:
+def design_sheet(m) -> tuple[Column, Column, Column]:
     n, bare = m["images"], m["bare"]
     per_word = ratio(n, m["words"]) * 100
     some = n > 0
-    sheet = _Sheet()
+    sheet = _Sheet("design")
     sheet.choose((some, 10, "good", _n("", n, " image(s) found")), (F.lit(True), 0, "bad", "No images — consider adding visuals"))
     sheet.choose(
         (some & (bare == 0), 8, "good", "All images have alt text"),
@@ -271,7 +319,7 @@ def design_sheet(m) -> tuple[Column, Column]:
     sheet.choose((m["dark"], 8, "good", "Dark mode support detected"), (F.lit(True), 0, "bad", "No dark mode styles found"))
     sheet.choose((m["layout"], 5, "good", "Structured layout detected"))
     sheet.choose((m["inline"] > 5, 3, "good", "Uses inline styles (email-safe)"))
-    return sheet.score(), sheet.notes()
+    return sheet.filled()
 
 
 def strategy_measures(kind="type", industry="industry", received_at="received_at") -> dict:
@@ -279,10 +327,10 @@ def strategy_measures(kind="type", industry="industry", received_at="received_at
     return {"kind": _c(kind), "industry": _c(industry), "day": F.weekday(ts), "hour": F.hour(ts)}
 
 
-def strategy_sheet(m) -> tuple[Column, Column]:
+def strategy_sheet(m) -> tuple[Column, Column, Column]:
     kind, industry, day, hour = m["kind"], m["industry"], m["day"], m["hour"]
     name = F.get(F.array(*[F.lit(d) for d in DAY_NAMES]), day)
-    sheet = _Sheet()
+    sheet = _Sheet("strategy")
     sheet.choose((kind != "", 15, "neutral", F.concat(F.lit("Campaign type: "), kind)), (F.lit(True), 0, "bad", "No campaign type identified"))
     sheet.choose((industry != "", 10, "neutral", F.concat(F.lit("Industry: "), industry)), (F.lit(True), 0, "bad", "No industry classification"))
     sheet.choose(
@@ -296,7 +344,7 @@ def strategy_sheet(m) -> tuple[Column, Column]:
         (hour.between(6, 20), 3, "neutral", _n("Sent at ", hour, ":00 (business hours)")),
         (hour.isNotNull(), 0, "bad", _n("Sent at ", hour, ":00 (off-peak)")),
     )
-    return sheet.score(), sheet.notes()
+    return sheet.filled()
 
 
 MAIL_DIMENSIONS = {"subject": subject_measures, "strategy": strategy_measures}
@@ -321,10 +369,16 @@ def html_measures(features: DataFrame, key) -> DataFrame:
     return features.select(*keys, *[c.alias(n) for n, c in cols.items()])
 
 
-def score_dimensions(df: DataFrame, dimensions=tuple(WEIGHTS)) -> DataFrame:
-    """Adds ``<dimension>_score`` structs (score, grade, findings).
+def score_pages(measures: DataFrame) -> DataFrame:
+    """``html_measures`` with what follows from a page alone, so that it is not done again for every mail that joins it:
+    the scores of links and design (``cta_score``, ``design_score``). The copy is left to the mails, whose preview counts."""
+    return score_dimensions(measures, ["cta", "design"], keep=["copy"])
+
 
-    The HTML dimensions need the columns of ``html_measures``. Three projections: measures,
+def score_dimensions(df: DataFrame, dimensions=tuple(WEIGHTS), keep=()) -> DataFrame:
+    """Adds ``<dimension>_score`` structs (score, grade, findings, advice: the suggestions of every bad finding).
+
+    The HTML dimensions need the columns of ``html_measures``; the measures of those in ``keep`` stay. Three projections: measures,
     scores over measures, grades over scores. Every expensive value is referenced several
     times by the next step, so Catalyst keeps the steps apart and evaluates it once.
     """
@@ -332,21 +386,22 @@ def score_dimensions(df: DataFrame, dimensions=tuple(WEIGHTS)) -> DataFrame:
     if "copy" in dimensions:
         measured["_copy_preview"] = preview_measure() if "preview" in df.columns else F.lit(False)
     out = df.withColumns(measured)
-    names = [c for c in df.columns if not c.startswith(tuple(f"_{d}_" for d in SHEETS))]
+    names = [c for c in df.columns if not c.startswith(tuple(f"_{d}_" for d in SHEETS if d not in keep))]
     scored = {}
     for d in dimensions:
         prefix = f"_{d}_"
         m = {c[len(prefix):]: F.col(c) for c in out.columns if c.startswith(prefix)}
-        scored[f"_{d}_points"], scored[f"_{d}_notes"] = SHEETS[d](m)
+        scored[f"_{d}_points"], scored[f"_{d}_notes"], scored[f"_{d}_advice"] = SHEETS[d](m)
     out = out.select(*names, *[c.alias(n) for n, c in scored.items()])
     return out.select(*names, *[
-        F.struct(F.col(f"_{d}_points").alias("score"), calculate_grade(f"_{d}_points").alias("grade"), F.col(f"_{d}_notes").alias("findings")).alias(f"{d}_score")
+        F.struct(F.col(f"_{d}_points").alias("score"), calculate_grade(f"_{d}_points").alias("grade"), F.col(f"_{d}_notes").alias("findings"),
+                 F.col(f"_{d}_advice").alias("advice")).alias(f"{d}_score")
         for d in dimensions])
 
 
 def score_emails(df: DataFrame) -> DataFrame:
-    """Adds the five dimension structs, overall_score and overall_grade (see ``html_measures``)."""
-    out = score_dimensions(df)
+    """Adds the dimension structs that ``df`` has not yet (see ``html_measures`` and ``score_pages``), overall_score and overall_grade."""
+    out = score_dimensions(df, [d for d in WEIGHTS if f"{d}_score" not in df.columns])
     total = overall_score({d: F.col(f"{d}_score.score") for d in WEIGHTS})
     return out.withColumn("overall_score", total).withColumn("overall_grade", calculate_grade("overall_score"))
 
@@ -359,28 +414,25 @@ def suggestion_table(spark) -> DataFrame:
 def suggestions(scored: DataFrame, key: str = "id") -> DataFrame:
     """Up to four distinct suggestions per mail, weakest dimension first.
 
-    Every bad finding of a weak dimension takes its first trigger whose suggestion has not been
-    given yet; the trigger table is small and lives in an array literal, so the work is per row.
+    Every bad finding of a weak dimension takes the first of its ``advice`` (found from the texts where the structs have none)
+    that has not been given yet.
     """
+    def advice(d):
+        if "advice" in scored.schema[f"{d}_score"].dataType.names:
+            return F.col(f"{d}_score.advice")
+        return F.transform(F.filter(F.col(f"{d}_score.findings"), lambda f: f["type"] == "bad"), lambda f: _fitting(d, f["text"]))
+
     dims = F.array(*[
-        F.struct(F.col(f"{d}_score.score").alias("score"), F.lit(n).alias("pos"), F.lit(d).alias("dim"), F.col(f"{d}_score.findings").alias("findings"))
+        F.struct(F.col(f"{d}_score.score").alias("score"), F.lit(n).alias("pos"),
+                 F.when(F.col(f"{d}_score.score") < STRONG, advice(d)).otherwise(_none("array<string>")).alias("advice"))
         for n, d in enumerate(WEIGHTS)])
-    weak = F.array_sort(F.filter(dims, lambda d: d["score"] < STRONG))
-    table = F.array(*[F.struct(F.lit(d).alias("dim"), F.lit(t.lower()).alias("trigger"), F.lit(s).alias("text")) for d, t, s in SUGGESTIONS])
-
-    def matches(d):
-        bad = F.filter(d["findings"], lambda f: f["type"] == "bad")
-        return F.transform(bad, lambda f: F.transform(
-            F.filter(table, lambda r: (r["dim"] == d["dim"]) & F.contains(F.lower(f["text"]), r["trigger"])), lambda r: r["text"]))
-
-    per_finding = F.flatten(F.transform(weak, matches))  # array<array<suggestion>>
-    empty = F.array().cast("array<string>")
+    per_finding = F.flatten(F.transform(F.sort_array(dims), lambda d: d["advice"]))  # array<array<suggestion>>
 
     def take(acc, texts):
         fresh = F.array_except(texts, acc)
         return F.when((F.size(acc) < MAX_SUGGESTIONS) & (F.size(fresh) > 0), F.concat(acc, F.slice(fresh, 1, 1))).otherwise(acc)
 
-    picked = F.aggregate(per_finding, empty, take)
+    picked = F.aggregate(per_finding, _none("string"), take)
     return scored.select(key, F.posexplode(picked).alias("pos", "suggestion")).withColumn("pos", F.col("pos") + 1)
 
 

@@ -465,9 +465,9 @@ def _(i):
 
 
 def html_scored(i):
-    """Mails with all five scores; only narrow HTML measures join."""
+    """Mails with all five scores; only narrow HTML measures and scores join."""
     parsed = ht.html_features(i.html, ("structure",))
-    return sg.score_emails(i.mails.join(sg.html_measures(parsed, "page_id"), "page_id"))
+    return sg.score_emails(i.mails.join(sg.score_pages(sg.html_measures(parsed, "page_id")), "page_id"))
 
 
 _PAGE = f"""pg AS (SELECT page_id, len(regexp_extract_all(cp, '\\S+')) AS wn, len(regexp_extract_all(cp, '[^\\s.!?][^.!?]*')) AS sn, len(regexp_extract_all(cp, '[^\\s.!?]+')) AS sw, html FROM (SELECT page_id, html, {_COPY} AS cp FROM email_html)),

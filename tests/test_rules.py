@@ -282,3 +282,29 @@ def test_suggestions_weakest_first(table):
     assert row["cta_score"]["score"] == 30 and row["strategy_score"]["score"] == 50
     got = [r["suggestion"] for r in scoring.suggestions(scored).orderBy("pos").collect()]
     assert len(got) == 4 and got[0].startswith("Add at least one clear call-to-action") and len(set(got)) == 4
+
+
+def test_suggestions_by_rule_are_those_by_text(spark):
+    """The rules know what a bad finding suggests; looking the triggers up in the texts of the findings gives the same."""
+    from conftest import SMALL
+    from mailprism.plans.catalog import Inputs
+
+    i = Inputs(spark, SMALL)
+    words = "w " * 1200 + "</p>" + "<a href=x>look here</a>" * 9 + "<img src=a><img src=b alt=x>"
+    odd = F.when(F.col("page_id") % 5 == 0, F.lit(None)).when(F.col("page_id") % 5 == 1, F.lit("<p>" + words)).when(F.col("page_id") % 5 == 2, F.lit("<img src=x>" * 3)).otherwise(F.col("html"))
+    pages = scoring.score_pages(scoring.html_measures(html.html_features(i.html.withColumn("html", odd), ("structure",)), "page_id"))
+    mails = i.emails.withColumn("subject", F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 7 == 1, F.repeat(F.lit("long "), 20)).otherwise(F.col("subject")))
+    scored = scoring.score_emails(mails.join(pages, "page_id"))
+    by_text = scored.withColumns({f"{d}_score": F.col(f"{d}_score").dropFields("advice") for d in scoring.WEIGHTS})
+    got, want = (sorted(map(tuple, scoring.suggestions(x).collect())) for x in (scored, by_text))
+    assert got == want and len({text for _, _, text in got}) > 12
+
+
+def test_tokens_go_to_arrow_without_pandas():
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+
+    read = html.token_udf()
+    assert read.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    made = list(read.func(iter([pa.array(["<p a=1>x</p>"] * (html.ROWS + 1) + [None])])))
+    assert [len(x) for x in made] == [html.ROWS, 2] and [t["kind"] for t in made[0][0].as_py()["tokens"]] == ["open", "text", "close"]
