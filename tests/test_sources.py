@@ -303,3 +303,21 @@ def test_a_body_is_decoded_once(table):
     plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("unbase64") == 1 and "regexp_replace" not in plan
     assert [r["html"] for r in out.collect()] == ["<b>"]
+
+
+def sorted_rows(df):
+    """What the sort at the top of a plan gets, as a JVM Dataset."""
+    child = df._jdf.queryExecution().optimizedPlan().children().head()
+    return df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows(df.sparkSession._jsparkSession, child)
+
+
+def test_html_tree_is_read_in_few_tasks(spark, tmp_path):
+    """Many small files come in as many tasks as a shuffle has (4 here), not a few files a task; none is lost."""
+    (tmp_path / "a").mkdir()
+    for n in range(400):
+        (tmp_path / "a" / f"2024-01-{1 + n % 28:02d}_{n}.html").write_text(f"<p>{n}</p>")
+    for with_html in (True, False):
+        files = mail.read_html_tree(spark, str(tmp_path), with_html)
+        assert sorted_rows(files).rdd().getNumPartitions() == 4
+        assert {r["path"] for r in files.collect()} == {f"a/2024-01-{1 + n % 28:02d}_{n}.html" for n in range(400)}
+    assert {r["html"] for r in mail.read_html_tree(spark, str(tmp_path)).collect()} == {f"<p>{n}</p>" for n in range(400)}
