@@ -321,3 +321,24 @@ def test_html_tree_is_read_in_few_tasks(spark, tmp_path):
         assert sorted_rows(files).rdd().getNumPartitions() == 4
         assert {r["path"] for r in files.collect()} == {f"a/2024-01-{1 + n % 28:02d}_{n}.html" for n in range(400)}
     assert {r["html"] for r in mail.read_html_tree(spark, str(tmp_path)).collect()} == {f"<p>{n}</p>" for n in range(400)}
+
+
+def test_html_tree_is_sorted_without_html(spark, table, tmp_path):
+    """What is asked of the HTML is taken before the files are sorted; the rows are those that hold their HTML."""
+    rows = [(n, "A b", f"Hi {n % 3}", f"2024-01-0{1 + n % 2} 10:00:00", "<p>é\n" * (n + 1)) for n in range(8)]
+    mails = table(rows, "id long, brand string, subject string, at string, html string").withColumn("received_at", F.col("at").cast("timestamp"))
+    mail.write_html_tree(mails, str(tmp_path / "t"))
+    names = ["brand", "date", "subject", "path"]
+    short = mail.read_html_tree(spark, str(tmp_path / "t"), of_html=F.md5("html").alias("html_md5"))
+    whole = mail.read_html_tree(spark, str(tmp_path / "t")).select(F.md5("html").alias("html_md5"), *names)
+    assert short.collect() == whole.collect() and short.count() == 8
+    assert list(sorted_rows(short).columns()) == ["html_md5", *names]
+
+
+def test_s05_sorts_no_html(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["s05_html_tree"](spark, SMALL)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Sort":
+        plan = plan.children().head()
+    assert "html_md5#" in plan.output().toString() and "html#" not in plan.output().toString()
